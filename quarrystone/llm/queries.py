@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, secrets
+from . import bpe, chat, langid, secrets, substring
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op6_bpe_encode": bpe.op6_bpe_encode,
+    "op10_language_id": langid.op10_language_id,
 }
 ORACLES = {
     "op1_chat_format": chat.ORACLE,
+    "op3_substring_dedup": substring.ORACLE,
     "op4_secret_scan": secrets.ORACLE,
 }
