@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Multiplier of the rolling sums; odd, so that it has an inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -86,3 +87,8 @@ def batches(fn):
                 yield from fn(batch)
 
     return run
+
+
+def schema_with(df: DataFrame, keep: list[str], ddl: str) -> T.StructType:
+    """The columns keep of df, then those of ddl."""
+    return T.StructType([*df.select(*keep).schema.fields, *T.StructType.fromDDL(ddl).fields])

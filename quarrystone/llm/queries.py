@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, secrets, substring
+from . import bpe, chat, decontam, langid, licenses, secrets, substring
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_decontamination": decontam.op2_decontamination,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_bpe_encode": bpe.op6_bpe_encode,
+    "op8_license_scan": licenses.op8_license_scan,
     "op10_language_id": langid.op10_language_id,
 }
 ORACLES = {

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import rolling, word_hashes, words_of
+from .common import rolling, schema_with, word_hashes, words_of
 
 WINDOW, SEED = 13, 5
 
@@ -129,13 +129,9 @@ def dedup(docs: DataFrame, keep: list[str], window: int = WINDOW, seed: int = SE
         return _replies(key, pdf, (least[at] < low).astype(np.uint8), [len(a[0]) for a in asked], "w")
 
     names = [f.name for f in rows.schema["kept_cols"].dataType.fields]
-    schema = rows.select("kept_cols.*").schema
-    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")):
-        schema = schema.add(name, kind)
-    if spans:
-        schema = schema.add("repeats", "array<struct<start:int,end:int>>")
-    if texts:
-        schema = schema.add("kept_text", "string")
+    ddl = "n_words long, n_removed long, kept_sha256 string"
+    ddl += ", repeats array<struct<start:int,end:int>>" * spans + ", kept_text string" * texts
+    schema = schema_with(docs, keep, ddl)
 
     def cut(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         b = Block(pdf, window, seed, True)
