@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, langid, licenses, secrets, substring
+from . import bagminhash, bpe, chat, decontam, hpylm, langid, licenses, secrets, substring
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -10,11 +10,14 @@ QUERIES = {
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_bpe_encode": bpe.op6_bpe_encode,
+    "op7_lm_score": hpylm.op7_lm_score,
     "op8_license_scan": licenses.op8_license_scan,
+    "op9_near_dedup": bagminhash.op9_near_dedup,
     "op10_language_id": langid.op10_language_id,
 }
 ORACLES = {
     "op1_chat_format": chat.ORACLE,
     "op3_substring_dedup": substring.ORACLE,
     "op4_secret_scan": secrets.ORACLE,
+    "op9_near_dedup": bagminhash.ORACLE,
 }
