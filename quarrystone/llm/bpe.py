@@ -24,9 +24,11 @@ import unicodedata
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import batches
@@ -211,20 +213,21 @@ def encode(docs: DataFrame, path: str, keep: list[str], digests: bool = True, id
     if ids:
         schema = schema.add("token_ids", T.ArrayType(T.IntegerType()))
 
+    text = "text" if "text" in keep else "_text"
+
     def run(batch: pa.RecordBatch):
         enc = encoder(path)
-        got = [enc.encode(t) for t in batch.column("_text").to_pylist()]
+        got = [enc.encode(t) for t in batch.column(text).to_pylist()]
         cols = [batch.column(k) for k in keep] + [pa.array([len(g[0]) // 4 for g in got], pa.int64())]
         if digests:
             cols.append(pa.array([hashlib.sha256(g[0]).hexdigest() for g in got], pa.string()))
             cols.append(pa.array([hashlib.sha256(g[1].encode()).hexdigest() for g in got], pa.string()))
         if ids:
-            cols.append(pa.array([memoryview(g[0]).cast("I").tolist() if g[0] else [] for g in got], pa.list_(pa.int32())))
+            ends = np.cumsum([0, *[len(g[0]) // 4 for g in got]]).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(g[0] for g in got), "<i4")))
         yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    from pyspark.sql import functions as F
-
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(batches(run), schema)
+    return docs.select(*keep, *([] if text in keep else [F.col("text").alias(text)])).mapInArrow(batches(run), schema)
 
 
 def op6_bpe_encode(spark, sf_dir: str) -> DataFrame:

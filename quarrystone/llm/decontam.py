@@ -122,28 +122,28 @@ FOUND = T.ArrayType(T.StructType([T.StructField(k, T.LongType()) for k in ("item
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], least: int = 13, similarity: float = 0.8, block_chars: int = 8_000_000) -> DataFrame:
-    """keep and found: the verified overlaps of each document with items, asked in blocks of block_chars of benchmark text.
-
-    With several blocks a document comes once for each block.
-    """
+    """keep and found (the verified overlaps with items) for each row of docs; the benchmark is asked in blocks of block_chars."""
     spark = docs.sparkSession
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
+    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("found", FOUND)])
-    made = None
+    text = "text" if "text" in keep else "_text"
+    carried = [*keep, *([] if text in keep else [text])]
+    made = docs.select(*keep, *([] if text in keep else [F.col("text").alias(text)])).withColumn("found", F.array().cast(FOUND))
+    schema = made.schema
+    kind = pa.list_(pa.struct([(k, pa.int64()) for k in FOUND.elementType.names]))
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(Seeds(sorted((r["item_id"], r["text"]) for r in rows if r["item_id"] is not None)))
+        shared = spark.sparkContext.broadcast(Seeds(sorted((r["item_id"], r["text"]) for r in rows)))
 
         def run(batch: pa.RecordBatch, shared=shared):
-            got = [[dict(zip(("item_id", "start", "end", "item_start", "equal"), o)) for o in overlaps(shared.value, t, least, similarity)] for t in batch.column("_text").to_pylist()]
-            kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("item_id", "start", "end", "item_start", "equal")]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(got, kind)], names=schema.names)
+            got = [[dict(zip(FOUND.elementType.names, o, strict=True)) for o in overlaps(shared.value, t, least, similarity)] for t in batch.column(text).to_pylist()]
+            if blocks > 1:
+                got = [was + now for was, now in zip(batch.column("found").to_pylist(), got, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in carried], pa.array(got, kind)], names=schema.names)
 
-        part = docs.select(*keep, F.col("text").alias("_text")).mapInArrow(batches(run), schema)
-        made = part if made is None else made.unionByName(part)
-    return made
+        made = made.mapInArrow(batches(run), schema)
+    return made.select(*keep, "found")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
