@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bagminhash, bpe, chat, decontam, hpylm, langid, licenses, secrets, substring
+from . import bagminhash, bpe, chat, chroma, decontam, hpylm, langid, licenses, secrets, substring
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_audio_align": chroma.op5_audio_align,
     "op6_bpe_encode": bpe.op6_bpe_encode,
     "op7_lm_score": hpylm.op7_lm_score,
     "op8_license_scan": licenses.op8_license_scan,
