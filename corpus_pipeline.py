@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm import bagminhash, bpe, decontam, langid, secrets
-from quarrystone.llm.common import shared_dir, table
+from quarrystone.llm.common import shared_dir, table, unwrapped, wrapped
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that language identification rejects: those without a letter or with an unsure answer."""
-    columns = docs.columns
-    return langid.identify(docs, langid.fit(docs), columns).where(~F.col("rejected")).select(*columns)
+    named = langid.identify(wrapped(docs), langid.fit(docs), ["doc"])
+    return unwrapped(named.where(~F.col("rejected")), docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,18 +28,13 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that overlap a benchmark item."""
-    columns = docs.columns
-    found = decontam.find_overlaps(docs, table(spark, sf_dir, "benchmark"), columns)
-    return found.where(F.size("found") == 0).select(*columns)
+    found = decontam.find_overlaps(wrapped(docs), table(spark, sf_dir, "benchmark"), ["doc"])
+    return unwrapped(found.where(F.size("found") == 0), docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets and linked credential parts in the texts; n_chars follows the text."""
-    columns = docs.columns
-    clean = secrets.redact(docs)
-    if "n_chars" in columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return clean.select(*columns)
+    return secrets.redact(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

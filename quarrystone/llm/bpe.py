@@ -28,10 +28,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches
+from .common import batches, texts_of, with_text
 
 #: White space as the tokenizers library's regular expressions see it: a fixed value.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -213,11 +212,9 @@ def encode(docs: DataFrame, path: str, keep: list[str], digests: bool = True, id
     if ids:
         schema = schema.add("token_ids", T.ArrayType(T.IntegerType()))
 
-    text = "text" if "text" in keep else "_text"
-
     def run(batch: pa.RecordBatch):
         enc = encoder(path)
-        got = [enc.encode(t) for t in batch.column(text).to_pylist()]
+        got = [enc.encode(t) for t in texts_of(batch)]
         cols = [batch.column(k) for k in keep] + [pa.array([len(g[0]) // 4 for g in got], pa.int64())]
         if digests:
             cols.append(pa.array([hashlib.sha256(g[0]).hexdigest() for g in got], pa.string()))
@@ -227,7 +224,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], digests: bool = True, id
             cols.append(pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(g[0] for g in got), "<i4")))
         yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(*keep, *([] if text in keep else [F.col("text").alias(text)])).mapInArrow(batches(run), schema)
+    return with_text(docs, keep).mapInArrow(batches(run), schema)
 
 
 def op6_bpe_encode(spark, sf_dir: str) -> DataFrame:

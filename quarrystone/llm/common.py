@@ -92,3 +92,26 @@ def batches(fn):
 def schema_with(df: DataFrame, keep: list[str], ddl: str) -> T.StructType:
     """The columns keep of df, then those of ddl."""
     return T.StructType([*df.select(*keep).schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+def wrapped(docs: DataFrame, *own: str) -> DataFrame:
+    """doc (a struct of all columns of docs, whatever their names) beside the columns own: nothing can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *own)
+
+
+def unwrapped(docs: DataFrame, columns: list[str], **replaced) -> DataFrame:
+    """The columns that wrapped() put in doc, some replaced."""
+    return docs.select(*[replaced[c].alias(c) if c in replaced else F.col(f"doc.`{c}`").alias(c) for c in columns])
+
+
+def texts_of(batch: pa.RecordBatch) -> list[str | None]:
+    """The texts of a batch: of its column _text, or of text, or of text in the struct doc."""
+    names = batch.schema.names
+    if "_text" in names:
+        return batch.column("_text").to_pylist()
+    return (batch.column("text") if "text" in names else batch.column("doc").field("text")).to_pylist()
+
+
+def with_text(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns keep, and _text if none of them holds the text."""
+    return docs.select(*keep, *([] if "text" in keep or "doc" in keep else [F.col("text").alias("_text")]))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, rolling, word_hashes
+from .common import batches, rolling, texts_of, with_text, word_hashes
 
 #: Fixed masks: 1 counts, 0 is ignored.  Any stretch of 13 words with two substitutions holds a hit of one of them.
 MASKS = ("110100111", "111001011", "1100110101", "1011001011")
@@ -127,9 +127,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], least:
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
-    text = "text" if "text" in keep else "_text"
-    carried = [*keep, *([] if text in keep else [text])]
-    made = docs.select(*keep, *([] if text in keep else [F.col("text").alias(text)])).withColumn("found", F.array().cast(FOUND))
+    made = with_text(docs, keep)
+    carried = made.columns
+    made = made.withColumn("found", F.array().cast(FOUND))
     schema = made.schema
     kind = pa.list_(pa.struct([(k, pa.int64()) for k in FOUND.elementType.names]))
     for b in range(blocks):
@@ -137,7 +137,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], least:
         shared = spark.sparkContext.broadcast(Seeds(sorted((r["item_id"], r["text"]) for r in rows)))
 
         def run(batch: pa.RecordBatch, shared=shared):
-            got = [[dict(zip(FOUND.elementType.names, o, strict=True)) for o in overlaps(shared.value, t, least, similarity)] for t in batch.column(text).to_pylist()]
+            got = [[dict(zip(FOUND.elementType.names, o, strict=True)) for o in overlaps(shared.value, t, least, similarity)] for t in texts_of(batch)]
             if blocks > 1:
                 got = [was + now for was, now in zip(batch.column("found").to_pylist(), got, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in carried], pa.array(got, kind)], names=schema.names)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, texts_of, with_text
 
 LETTER = re.compile(r"[^\W\d_]")
 SIZES = (1, 2, 3, 4)
@@ -148,16 +148,15 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
     schema = docs.select(*keep).schema
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")):
         schema = schema.add(name, kind)
-    text = "text" if "text" in keep else "_text"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
     def run(batch: pa.RecordBatch):
-        got = [predict(shared.value, t) for t in batch.column(text).to_pylist()]
+        got = [predict(shared.value, t) for t in texts_of(batch)]
         cols = [batch.column(k) for k in keep]
         cols += [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
         yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(*keep, *([] if text in keep else [F.col("text").alias(text)])).mapInArrow(batches(run), schema)
+    return with_text(docs, keep).mapInArrow(batches(run), schema)
 
 
 def in_fold(doc_id, folds: int):

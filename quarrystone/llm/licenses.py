@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches, rolling, schema_with, table, word_hashes
+from .common import batches, rolling, schema_with, table, texts_of, with_text, word_hashes
 
 #: Base phrases and labels.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
@@ -86,7 +86,7 @@ def scan(docs: DataFrame, keep: list[str], coverage: float = 0.8, drift: int = 2
     def run(batch: pa.RecordBatch):
         task = TaskContext.get()
         out = []
-        for text in batch.column("_text").to_pylist():
+        for text in texts_of(batch):
             words = license_words(text)
             places, labels = base_places(words)
             grams = rolling(word_hashes(words), GRAM).view(np.int64)
@@ -105,7 +105,7 @@ def scan(docs: DataFrame, keep: list[str], coverage: float = 0.8, drift: int = 2
         yield from batches(run)(it)
 
     per_row = [*keep, "row", "n_words", "n_base", "first_word", "last_word", "base_labels"]
-    found = docs.select(*keep, F.col("text").alias("_text")).mapInArrow(numbered, schema)
+    found = with_text(docs, keep).mapInArrow(numbered, schema)
     grams = found.select(*per_row, F.posexplode_outer("grams").alias("pos", "gram"))
     hits = grams.join(F.broadcast(template_positions(docs.sparkSession)), "gram", "left").where(F.col("template").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
     # votes by diagonal; a row of each text stays, whether it has votes or not

@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unwrapped, wrapped
+
 #: The base patterns, with the group whose length counts and its least length.
 BASE_KINDS = [
     ("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 12),
@@ -88,10 +90,10 @@ def linked_parts(docs: DataFrame, scope: int = 200) -> DataFrame:
     return kept.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "rank", "end")).alias("weak"))
 
 
-def scan_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
-    """docs with added columns base and weak: arrays of struct(start, rank, end); rank is the place in ORDER.
+def scan_secrets(docs: DataFrame, scope: int = 200) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text and at most the struct doc) with k1, k2 and base; and weak for those k1, k2 that have some.
 
-    Works beside columns of any name but base, weak, k1, k2 and those of the kinds.
+    base and weak are arrays of struct(start, rank, end); rank is the place in ORDER.
     """
     keyed = docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.hash("text", "doc_id"))
     links = linked_parts(keyed.select("text", "k1", "k2"), scope)
@@ -118,9 +120,8 @@ def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, scope: int = 200) -> DataFrame:
-    """docs with every reported span of text replaced by [REDACTED]; overlapping spans become one."""
-    columns = docs.columns
-    found, links = scan_secrets(docs, scope)
+    """docs with every reported span of text replaced by [REDACTED], overlapping spans by one; n_chars follows the text."""
+    found, links = scan_secrets(wrapped(docs, "doc_id", "text"), scope)
     found = found.join(links, ["k1", "k2"], "left").withColumn("all", F.array_sort(F.concat("base", F.coalesce("weak", F.array().cast(SPAN)))))
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -130,8 +131,11 @@ def redact(docs: DataFrame, scope: int = 200) -> DataFrame:
         return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
     rest = lambda r: F.concat(F.array_join(r["out"], ""), F.substring(F.col("text"), r["at"] + 1, F.length("text")))
-    clean = F.when(F.size("all") > 0, F.aggregate("all", first, step, rest)).otherwise(F.col("text"))
-    return found.withColumn("text", clean).select(*columns)
+    found = found.withColumn("text", F.when(F.size("all") > 0, F.aggregate("all", first, step, rest)).otherwise(F.col("text")))
+    replaced = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        replaced["n_chars"] = F.when(F.size("all") > 0, F.length("text").cast("long")).otherwise(F.col("doc.n_chars"))
+    return unwrapped(found, docs.columns, **replaced)
 
 
 def _sql_places(kind: str, pattern: str, group: int, least: int) -> str:
