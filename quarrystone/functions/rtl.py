@@ -116,3 +116,25 @@ def module_info(c: Column | str) -> Column:
 
 def canonical_sha256(json_text: Column | str) -> Column:
     return F.sha2(_series(canonical_json, "string")(json_text), 256)
+
+
+def dump_values(c: Column | str) -> Column:
+    """array of struct(signal, value, time) of a value change dump."""
+    return F.from_json(_series(lambda x: json.dumps(vcd_values(x)), "string")(c), "array<struct<signal:string,value:string,time:long>>")
+
+
+def single_deletion(original: str | None, reduced: str | None) -> str | None:
+    """The one stretch whose removal turns original into reduced; null if there is none."""
+    if not original or reduced is None or len(reduced) >= len(original):
+        return None
+    gone = len(original) - len(reduced)
+    head = next((i for i, (a, b) in enumerate(zip(original, reduced)) if a != b), len(reduced))
+    return original[head : head + gone] if original[:head] + original[head + gone :] == reduced else None
+
+
+def deleted_clause(original: Column | str, reduced: Column | str) -> Column:
+    @F.pandas_udf("string")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([single_deletion(x, y) for x, y in zip(a, b, strict=True)])
+
+    return run(original, reduced)

@@ -19,9 +19,14 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(text: Column | str) -> Column:
+    """Without white space of any kind at either end."""
+    return F.btrim(col(text), F.lit(" \t\n\x0b\f\r"))
+
+
 def collapse(text: Column | str) -> Column:
     """White space runs become one space; ends trimmed; lower case."""
-    return F.lower(F.trim(F.regexp_replace(col(text), BLANKS, " ")))
+    return F.lower(strip(F.regexp_replace(col(text), BLANKS, " ")))
 
 
 def normalize_rtl(text: Column | str) -> Column:
@@ -32,7 +37,7 @@ def normalize_rtl(text: Column | str) -> Column:
 
 def normalize_keep_case(text: Column | str) -> Column:
     """Line comments only; case stays."""
-    return F.trim(F.regexp_replace(F.regexp_replace(col(text), r"//[^\n]*", ""), BLANKS, " "))
+    return strip(F.regexp_replace(F.regexp_replace(col(text), r"//[^\n]*", ""), BLANKS, " "))
 
 
 def source_hash(text: Column | str) -> Column:
@@ -66,22 +71,22 @@ def _first_true(items: Column, test) -> Column:
 def extract_rtl(text: Column | str, top: Column | str | None = None) -> Column:
     """Fenced blocks, else the whole text; of these the module that declares top, else all modules, else the body."""
     raw = F.coalesce(col(text), F.lit(""))
-    fenced = F.transform(F.regexp_extract_all(raw, F.lit(FENCE), F.lit(1)), F.trim)
+    fenced = F.transform(F.regexp_extract_all(raw, F.lit(FENCE), F.lit(1)), strip)
     body = F.when(F.size(fenced) > 0, F.array_join(fenced, "\n")).otherwise(raw)
     inside = F.regexp_extract_all(body, F.lit(MODULE), F.lit(0))
     blocks = F.when(F.size(inside) > 0, inside).otherwise(F.regexp_extract_all(raw, F.lit(MODULE), F.lit(0)))
-    joined = F.when(F.size(blocks) == 0, F.trim(body)).otherwise(F.array_join(F.transform(blocks, F.trim), "\n\n"))
+    joined = F.when(F.size(blocks) == 0, strip(body)).otherwise(F.array_join(F.transform(blocks, strip), "\n\n"))
     if top is None:
         return joined
     named = _first_true(blocks, lambda b: F.regexp_like(b, F.concat(F.lit(r"\bmodule\s+\Q"), col(top), F.lit(r"\E\b"))))
-    return F.coalesce(F.trim(named), joined)
+    return F.coalesce(strip(named), joined)
 
 
 def extract_module(text: Column | str) -> Column:
     """The first fence that holds a module, else the first complete module; null if there is neither."""
     fence = F.regexp_extract(col(text), FENCE, 1)
     module = F.regexp_extract(col(text), "(?i)" + MODULE, 0)
-    end = lambda c: F.concat(F.rtrim(c), F.lit("\n"))
+    end = lambda c: F.concat(F.rtrim(c, F.lit(" \t\n\x0b\f\r")), F.lit("\n"))
     return F.when(F.contains(fence, F.lit("module")), end(fence)).when(F.length(module) > 0, end(module))
 
 
@@ -99,7 +104,7 @@ def complete_modules(text: Column | str) -> Column:
     body = F.when(F.size(fenced) > 0, F.array_join(fenced, "\n\n")).otherwise(raw)
     found = F.regexp_extract_all(body, F.lit(MODULE), F.lit(0))
     found = F.when((F.size(found) == 0) & (F.size(fenced) > 0), F.regexp_extract_all(raw, F.lit(MODULE), F.lit(0))).otherwise(found)
-    return F.trim(F.array_join(F.transform(found, F.trim), "\n\n"))
+    return strip(F.array_join(F.transform(found, strip), "\n\n"))
 
 
 def extract_code_block(text: Column | str) -> Column:
@@ -110,7 +115,7 @@ def extract_code_block(text: Column | str) -> Column:
 def clean_description(text: Column | str) -> Column:
     """Without chat scaffolding: system blocks, instruction marks and tags."""
     bare = F.regexp_replace(col(text), r"(?s)<<SYS>>.*?<</SYS>>", "")
-    return F.trim(F.regexp_replace(bare, r"\[/?INST\]|</?s>|<\|[^|]*\|>", ""))
+    return strip(F.regexp_replace(bare, r"\[/?INST\]|</?s>|<\|[^|]*\|>", ""))
 
 
 def extract_header(text: Column | str) -> Column:
@@ -122,7 +127,7 @@ def extract_header(text: Column | str) -> Column:
 def trim_edge_lines(text: Column | str) -> tuple[Column, Column]:
     """The text without blank lines at its ends, and the number of lines cut before it."""
     every = lines(text)
-    filled = F.filter(F.transform(every, lambda x, i: F.when(F.length(F.trim(x)) > 0, i)), lambda i: i.isNotNull())
+    filled = F.filter(F.transform(every, lambda x, i: F.when(F.length(strip(x)) > 0, i)), lambda i: i.isNotNull())
     first, last = F.get(filled, F.lit(0)), F.try_element_at(filled, F.lit(-1))
     body = F.when(F.size(filled) == 0, F.lit("")).otherwise(F.array_join(F.slice(every, first + 1, last - first + 1), "\n"))
     return body, F.coalesce(first, F.lit(0))
@@ -134,7 +139,7 @@ def replace_word(text: Column | str, word: Column | str, by: Column | str) -> Co
 
 
 def slug(text: Column | str) -> Column:
-    return F.trim(F.regexp_replace(F.lower(col(text)), r"[^a-z0-9._]+", "-"), F.lit("-"))
+    return F.btrim(F.regexp_replace(F.lower(col(text)), r"[^a-z0-9._]+", "-"), F.lit("-"))
 
 
 def signal_label(flags: dict[str, Column], base: str = "diag") -> Column:
@@ -144,7 +149,7 @@ def signal_label(flags: dict[str, Column], base: str = "diag") -> Column:
 
 def first_filled(*cols: Column | str) -> Column:
     """The first value that is neither null nor blank."""
-    return F.coalesce(*[F.nullif(F.trim(col(c)), F.lit("")) for c in cols])
+    return F.coalesce(*[F.nullif(strip(col(c)), F.lit("")) for c in cols])
 
 
 def digest(*parts: Column | str, length: int = 24) -> Column:
@@ -185,14 +190,14 @@ def classify_response(protocol_error: Column, refusal: Column, incomplete: Colum
 
 def taxonomy(rtl: Column | str) -> Column:
     """code_lines, sequential, has_case and has_state of a module."""
-    code = F.filter(lines(rtl), lambda x: (F.length(F.trim(x)) > 0) & ~F.startswith(F.trim(x), F.lit("//")))
+    code = F.filter(lines(rtl), lambda x: (F.length(strip(x)) > 0) & ~F.startswith(strip(x), F.lit("//")))
     has = lambda p: F.regexp_like(col(rtl), F.lit(p))
     return F.struct(F.size(code).alias("code_lines"), has(r"\b(posedge|negedge|always_ff)\b").alias("sequential"), has(r"\bcase[xz]?\b").alias("has_case"), has(r"(?i)\bstate\b|next_state").alias("has_state"))
 
 
 def first_new_line(broken: Column | str, golden: Column | str) -> Column:
     """The first trimmed, filled line of broken that golden does not have."""
-    keep = lambda c: F.filter(F.transform(lines(c), F.trim), lambda x: F.length(x) > 0)
+    keep = lambda c: F.filter(F.transform(lines(c), strip), lambda x: F.length(x) > 0)
     gold = keep(golden)
     return _first_true(keep(broken), lambda x: ~F.array_contains(gold, x))
 

@@ -95,7 +95,7 @@ def chat_records(table, spark, sf):
     return got.select("conv_id", F.size("messages").cast("long").alias("n_messages"), F.md5(joined).alias("digest"))
 
 
-@query(r"""SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(text, '(?s)<<SYS>>.*?<</SYS>>', '', 'g'), '\[/?INST\]|</?s>|<\|[^|]*\|>', '', 'g'))) AS clean_md5 FROM conversations""")
+@query(r"""SELECT conv_id, turn, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<<SYS>>.*?<</SYS>>', '', 'g'), '\[/?INST\]|</?s>|<\|[^|]*\|>', '', 'g'), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) AS clean_md5 FROM conversations""")
 def clean_prompts(table, spark, sf):
     return table("conversations").select("conv_id", "turn", F.md5(T.clean_description("text")).alias("clean_md5"))
 

@@ -88,3 +88,14 @@ def latex_rows(spark: SparkSession, path: str, pattern: str, names: list[str]) -
     """Rows of a LaTeX table: the groups of a pattern over its lines; other lines give none."""
     lines = spark.read.text(path)
     return lines.where(F.regexp_like("value", F.lit(pattern))).select(*[F.trim(F.regexp_extract("value", pattern, i)).alias(n) for i, n in enumerate(names, 1)])
+
+
+def first_available(spark: SparkSession, paths: list[str | None], read) -> DataFrame:
+    """read(path) of the first path that exists and has rows."""
+    for path in filter(None, paths):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            df = read(path)
+            if df.limit(1).count():
+                return df
+    raise FileNotFoundError(f"none of {paths} has rows")

@@ -299,3 +299,34 @@ def test_stream_ingest_matching_and_windows(spark, tmp_path):
     assert sum(r["n"] for r in wins) == 5 and len(wins) == 2
     once = drain(SL.once_each(SL.read_events(spark, src, schema), ["call_id"], "ts", "1 day"), "append")
     assert sorted(r["call_id"] for r in once) == ["a", "b", "c"]
+
+
+def test_prompts_and_small_functions(spark):
+    from quarrystone.functions import prompts as Pr
+    from quarrystone.operators import reports as Rp
+
+    assert one(spark, Pr.block_after("t", "Broken RTL"), t="x\nBroken RTL (a.sv):\n```verilog\nmodule m;\n```\nend") == "module m;\n"
+    assert one(spark, Pr.block_after("t", "Other"), t="none") is None
+    assert one(spark, Pr.explanation_and_code("t"), t="why\n```\na\n```\n```\nb\n```").asDict() == {"explanation": "why", "code": "b\n"}
+    assert json.loads(one(spark, Pr.literal_json("t"), t="{'sequential': False, 'n': None}")) == {"sequential": False, "n": None}
+    assert R.single_deletion("keep this clause, and that", "keep and that") == "this clause, " and R.single_deletion("abc", "xbc") is None
+    assert one(spark, Rp.lookup_k(F.create_map(F.lit("5"), F.lit(0.5)), 5)) == 0.5
+    assert one(spark, Rp.scalar_or_mean(F.lit(None).cast("double"), F.array(F.lit(1.0), F.lit(None), F.lit(2.0)))) == 1.5
+    with pytest.raises(Exception, match="unknown event kind"):
+        Rp.public_events(spark.createDataFrame([("x", 1)], "event string, v int"), {"y": ["v"]}).collect()
+    kept, idle = Rp.select_paths(spark.createDataFrame([("a/b.py",), ("a/c.md",)], "path string"), ["a/*"], ["**/*.md", "z/*"])
+    assert [r[0] for r in kept.collect()] == ["a/b.py"] and [r[0] for r in idle.collect()] == ["z/*"]
+    full, cut = (spark.createDataFrame([(v,)], "estimate double") for v in (0.421, 0.158))
+    assert round(Rp.share_lost(full, cut).first()["lost"], 2) == 0.62
+
+
+def test_first_available_and_progress(spark, tmp_path):
+    from quarrystone.streaming.progress import ProgressLog
+
+    (tmp_path / "a.jsonl").write_text("")
+    (tmp_path / "b.jsonl").write_text('{"id": "x"}\n')
+    read = lambda p: readers.read_jsonl(spark, p, "id string")
+    assert readers.first_available(spark, [None, str(tmp_path / "no"), str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl")], read).count() == 1
+    with pytest.raises(FileNotFoundError):
+        readers.first_available(spark, [str(tmp_path / "no")], read)
+    assert ProgressLog().rows == []
