@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import datagen as D
 from ..operators import gates as G
 from ..operators import ledger as L
+from ..sources.scratch import scratch
 from ..sources.sinks import newest_runs, run_index
 from ..streaming import ledger as S
 from .registry import query
@@ -167,8 +168,7 @@ def retry_delays(table, spark, sf):
 def stream_running_rates(table, spark, sf):
     """The running rates of the event stream, read to its end."""
     stream = S.read_events(spark, f"{sf}/events.parquet*", table("events").schema)
-    name = f"rates_{abs(hash(sf)) % 10**8}"
-    with tempfile.TemporaryDirectory() as tmp:
-        q = S.running_rates(stream, ["event_type"], "value").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", tmp).trigger(availableNow=True).start()
-        q.awaitTermination()
+    name = f"rates_{uuid.uuid4().hex}"
+    q = S.running_rates(stream, ["event_type"], "value").writeStream.outputMode("complete").format("memory").queryName(name)
+    q.option("checkpointLocation", scratch(spark, "rates")).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
