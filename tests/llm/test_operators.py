@@ -324,13 +324,44 @@ def test_near_dedup_equals_brute_force(spark):
     assert all(r["class_size"] == sizes[r["class_id"]] for r in got)
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("share", [200_000, 7])
+def test_components_of_a_long_chain(spark, monkeypatch, share):
+    monkeypatch.setattr(bagminhash, "SHARE", share)
     edges = [(f"{i:04d}".encode(), f"{i + 1:04d}".encode()) for i in range(60)] + [(b"x", b"y")]
     random.Random(1).shuffle(edges)
     got = bagminhash.components(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in edges], "a binary, b binary")).collect()
     assert {bytes(r["root"]) for r in got} == {b"0000", b"x"} and len(got) == 63
 
 
+def test_pruned_pairs_are_no_links():
+    """The distance bound that leaves out pairs holds for weighted Jaccard."""
+    rng = np.random.default_rng(3)
+    keys = np.arange(1, 60, dtype=np.uint64)
+    for _ in range(300):
+        bags = []
+        base = rng.integers(1, 5, len(keys))
+        for _ in range(3):
+            counts = np.where(rng.random(len(keys)) < 0.3, rng.integers(0, 5, len(keys)), base)
+            bags.append((keys[counts > 0], counts[counts > 0]))
+        c, a, b = bags
+        assert abs(bagminhash.overlap(c, a) - bagminhash.overlap(c, b)) <= 1 - bagminhash.overlap(a, b) + 1e-12
+
+
+def test_large_near_copy_group_is_one_class(spark):
+    """Hundreds of variants around one text, many of them far from each other."""
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(900)]
+    base = rng.choices(words, k=200)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        copy = list(base)
+        for p in rng.sample(range(200), rng.randint(0, 6)):
+            copy[p] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_language_id_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs)
