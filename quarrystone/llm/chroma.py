@@ -137,7 +137,7 @@ def align(prints: DataFrame, votes: int = 2, most_errors: float = 0.2, least_fra
 
     Pairs: class_id (one that holds a query), other_id, frame_offset, votes, n_frames, bit_error.
     """
-    named = prints.withColumn("mark", F.when(F.length("ints") > 0, F.unhex(F.md5("ints"))))
+    named = materialise(prints.withColumn("mark", F.when(F.length("ints") > 0, F.unhex(F.md5("ints")))), "prints")
     classes = materialise(named.where(F.col("mark").isNotNull()).groupBy("mark").agg(F.min("id").alias("class_id"), F.max("is_query").alias("is_query"), F.first("ints").alias("ints"), F.first("seams").alias("seams")), "classes")
     member = named.select("id", "mark").join(classes.select("mark", "class_id"), "mark", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     seams = classes.select("class_id", "is_query", F.posexplode("seams").alias("pos", "seam"))
