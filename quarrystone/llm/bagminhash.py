@@ -11,9 +11,10 @@ earliest, and long texts cost little more than their shingles.  Two signatures a
 probability of the weighted Jaccard similarity (sum of least over sum of greatest counts).
 
 Signatures are cut into bands; texts that share a band are in a bucket.  In every bucket a
-few pivots are verified against the others by exact multiset overlap, so that the pairs
-grow with the rows and not with the square of a bucket; buckets that still hold several
-components go on with new pivots, until a turn finds no new link.  Exact copies are one
+few pivots are verified against the others by exact multiset overlap, in two turns, which
+brings most copies together.  In buckets that still hold several components, every pair of
+nodes of two components is then verified, but for pairs that sizes, distances to
+the bucket's center or parities of the bags rule out; all these bounds are exact.  Exact copies are one
 text from the start.  The links' components are found by repeated least labels, with the
 labels' shortcuts.
 
@@ -26,6 +27,7 @@ gives no rows.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import BASE, batches, materialise, mix, release, rolling, word_hashes, words_of
 
 SHINGLE, BANDS, ROWS = 5, 24, 4
+TURNS = 2  # turns of pivots before all pairs of components
+FEW, CHUNK, BITS = 32, 512, 2048
 
 
 def bag_of_words(words: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -251,34 +255,90 @@ def candidates(members: DataFrame, turn: int, pivots: int, threshold: float) ->
     return met.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b")).distinct()
 
 
+def parities(bag: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """BITS bits, each flipped by every shingle of the bag, as often as it counts, that falls on it.
+
+    Two bags' bits differ in no more places than the bags differ in shingles.
+    """
+    keys, counts = bag
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    place = mix(np.repeat(keys, counts) + nth.astype(np.uint64) * BASE) & np.uint64(BITS - 1)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
+def close_pairs(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Pairs (a, b) of other components that size, distance to the center and parities allow, between two chunks of a bucket or within one."""
+    node, chunk = pdf["node"].to_numpy(), pdf["chunk"].to_numpy()
+    root, size, near, inside = pd.factorize(pdf["root"])[0], pdf["size"].to_numpy(), pdf["near"].to_numpy(float), pdf["inside"].to_numpy(bool)
+    bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
+    within = pdf["low"].iat[0] == pdf["high"].iat[0]
+    out = []
+    for x in np.flatnonzero(~inside):  # of two components one is not the main one
+        far = (root == root[x]) | (np.minimum(size, size[x]) < threshold * np.maximum(size, size[x]) - 1e-9)
+        far |= np.nan_to_num(np.abs(near - near[x])) > 1 - threshold + 1e-9
+        if not within:
+            far |= chunk == chunk[x]
+        y = np.flatnonzero(~far)
+        y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1) <= (1 - threshold) / (1 + threshold) * (size[y] + size[x]) + 1e-9]
+        out += [(min(node[x], n), max(node[x], n)) for n in node[y]]
+    return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+
+
+def remaining(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of all nodes of a bucket that are of two components and not ruled out.
+
+    Buckets of up to FEW nodes are joined with themselves.  Larger ones are dealt in chunks of about
+    CHUNK nodes, and every two chunks are compared in one task, by the parities of their bags.
+    """
+    members = members.select("bucket", "node", "root", "size", "near", (F.col("root") == F.col("main")).alias("inside"))
+    members = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+    small = members.where(F.col("n") <= FEW)
+    other = small.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "size", "near")])
+    met = small.where(~F.col("inside")).join(other, "bucket").where(F.col("root") != F.col("root2"))
+    met = met.where(F.least("size", "size2") >= threshold * F.greatest("size", "size2") - 1e-9)
+    met = met.where(F.coalesce(F.abs(F.col("near") - F.col("near2")) <= 1 - threshold + 1e-9, F.lit(True)))
+    met = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+
+    def run(batch: pa.RecordBatch):
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([parities(bag_of(t)) for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "bits"])
+
+    large = members.where(F.col("n") > FEW)
+    bits = texts.join(large.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(batches(run), "node binary, bits binary")
+    chunks = F.ceil(F.col("n") / CHUNK)
+    dealt = large.join(bits, "node").withColumns({"chunk": F.pmod(F.xxhash64("node"), chunks), "k": F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))})
+    dealt = dealt.select("bucket", F.least("chunk", "k").alias("low"), F.greatest("chunk", "k").alias("high"), "chunk", "node", "root", "size", "near", "inside", "bits")
+    found = dealt.groupBy("bucket", "low", "high").applyInPandas(lambda pdf: close_pairs(pdf, threshold), "a binary, b binary")
+    return met.unionByName(found).distinct()
+
+
 def linked(buckets: DataFrame, texts: DataFrame, threshold: float, pivots: int) -> DataFrame | None:
     """node, root of every node with a link; buckets: bucket, node, size, center, for buckets of two or more.
 
-    Each turn compares the pivots of the buckets that still hold several components with
-    their members of other components.  A bucket is done when it holds one component, or, from
-    the second turn on, when a turn has brought none of its components together; the search ends when all are done.
+    TURNS turns compare pivots of the buckets that still hold several components with their
+    members of other components, which brings most copies together.  Then all pairs of
+    components that are left in a bucket are compared, but for those that are ruled out.
     """
-    members = buckets.withColumns({"near": F.lit(None).cast("double"), "root": F.col("node"), "main": F.lit(None).cast("binary"), "k": F.lit(1 << 40)})
-    roots, tested, turn = None, None, 0
-    while True:
-        pairs = candidates(members, turn, pivots, threshold)
+    members = buckets.withColumns({"near": F.lit(None).cast("double"), "root": F.col("node"), "main": F.lit(None).cast("binary")})
+    roots, tested = None, None
+    for turn in range(TURNS + 1):
+        pairs = candidates(members, turn, pivots, threshold) if turn < TURNS else remaining(members, texts, threshold)
         pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         seen = materialise(verified(pairs, texts), "similarities")
         found = seen.where(F.col("similarity") >= threshold).select("a", "b")
-        if not found.limit(1).count():
+        if found.limit(1).count():
+            roots = components(found if roots is None else found.union(roots.select("node", "root")))
+        if turn == TURNS:
             return roots
         tested = pairs if tested is None else tested.unionByName(pairs)
-        roots = components(found if roots is None else found.union(roots.select("node", "root")))
-        held = members.select("bucket", "node", "size", "center", "near", F.col("k").alias("was"))  # a bucket of one component stays so
+        held = members.select("bucket", "node", "size", "center", "near")  # a bucket of one component stays so
         if turn == 0:
             to_center = seen.select("a", "b", F.col("similarity").alias("s"))
             held = held.withColumns({"a": F.least("node", "center"), "b": F.greatest("node", "center")}).join(to_center, ["a", "b"], "left").withColumn("near", F.when(F.col("node") == F.col("center"), 1.0).otherwise(F.col("s"))).drop("a", "b", "s")
-        named = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        sizes = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.first("was").alias("was"))
-        mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("k"), F.first("was").alias("was")).where("k > 1 AND k < was").select("bucket", "main", "k")
-        members, done = materialise(named.drop("was").join(mixed, "bucket"), "members"), members
+        named = held.withColumn("root", F.col("node")) if roots is None else held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sizes = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "main")
+        members, done = materialise(named.join(mixed, "bucket"), "members"), members
         release(done)
-        turn += 1
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, pivots: int = 2) -> DataFrame:

@@ -362,6 +362,37 @@ def test_large_near_copy_group_is_one_class(spark):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize(("few", "chunk"), [(32, 512), (2, 50), (1000, 512)])
+def test_bucket_of_many_pairs_without_a_center(spark, monkeypatch, few, chunk):
+    """Texts in one bucket through a passage that all share: every link is found, whichever pivots are drawn."""
+    monkeypatch.setattr(bagminhash, "FEW", few)
+    monkeypatch.setattr(bagminhash, "CHUNK", chunk)
+    rng = random.Random(21)
+    passage, rows = [f"p{i}" for i in range(40)], []
+    for i in range(80):
+        base = passage + [f"own{i}x{k}" for k in range(60)]
+        for j in range(1 + i % 3):
+            copy = list(base)
+            copy[rng.randrange(45, 100)] = f"new{i}x{j}"
+            rows.append((bytearray(f"{i:03d}{j}".encode()), " ".join(copy)))
+    nodes = spark.createDataFrame(rows, "node binary, text string")
+    buckets = nodes.select(F.lit(1).alias("bucket"), "node", F.lit(96).cast("long").alias("size"), F.lit(b"0000").alias("center"))
+    got = {bytes(r["node"]).decode(): bytes(r["root"]).decode() for r in bagminhash.linked(buckets, nodes, 0.8, 2).collect()}
+    assert got == {f"{i:03d}{j}": f"{i:03d}0" for i in range(80) if i % 3 for j in range(1 + i % 3)}
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    keys = mix(np.arange(1, 400, dtype=np.uint64))
+    for _ in range(50):
+        base, bags = rng.integers(0, 6, len(keys)), []
+        for _ in range(2):
+            counts = np.where(rng.random(len(keys)) < rng.random(), rng.integers(0, 6, len(keys)), base)
+            bags.append((keys[counts > 0], counts[counts > 0], counts))
+        a, b = (np.frombuffer(bagminhash.parities(x[:2]), np.uint8) for x in bags)
+        assert np.bitwise_count(a ^ b).sum() <= np.abs(bags[0][2] - bags[1][2]).sum()
+
+
 def test_language_id_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs)
