@@ -2,12 +2,14 @@
 
 A recording's samples become frames of twelve pitch classes.  Sixteen filters, each a
 difference of rectangles read from an integral image over time and pitch class, give two
-bits each, so that every frame has a packed 32-bit integer.  Two recordings are aligned by
-joining on pairs of neighbouring integers and counting offsets: the most frequent
-offset is verified by the share of differing bits over the whole overlap.
+bits each, so that every frame has a packed 32-bit integer.  Two recordings are aligned at
+every offset at once: the 32 bits are correlated by Fourier transforms, which gives agreeing
+less differing bits of each overlap.  Of the offsets with few differing bits the one with
+most agreeing less differing bits is reported (of equal ones the nearest).
 
 Recordings with the same fingerprint are one class; searches run between classes, of which
-the query set is those that hold a queried recording, against all classes.
+the query set is those that hold a queried recording, against all classes, dealt in chunks
+of both.
 
 Defined results: null and too short recordings have an empty fingerprint, are each a
 class of their own and match nothing; silence has a constant fingerprint and is a class like
@@ -16,18 +18,21 @@ any other; repeated rows fall in one class; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, rolling, schema_with, table
+from .common import batches, materialise, schema_with, table
 
 RATE, FRAME, HOP, LOWEST = 4096, 1024, 256, 110.0
 SPAN = 16  # frames under the widest filter
+QUERIES, OTHERS = 512, 2048  # recordings in a chunk
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -113,15 +118,13 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, keep: list[str], column: str, read: Callable = read_pcm) -> DataFrame:
-    """keep, ints (the packed integers, 4 bytes each) and seams (a hash of each two neighbours) for each row of df."""
+    """keep and ints (the packed integers, 4 bytes each) for each row of df."""
 
     def run(batch: pa.RecordBatch):
-        got = [fingerprint(read(c)) for c in batch.column("_media").to_pylist()]
-        seams = [rolling(g.astype(np.uint64), 2).view(np.int64) for g in got]
-        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array([g.astype("<u4").tobytes() for g in got], pa.binary()), pa.array(seams, pa.list_(pa.int64()))], names=[*keep, "ints", "seams"])
+        got = [fingerprint(read(c)).astype("<u4").tobytes() for c in batch.column("_media").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(got, pa.binary())], names=[*keep, "ints"])
 
-    schema = schema_with(df, keep, "ints binary, seams array<long>")
-    return df.select(*keep, F.col(column).alias("_media")).mapInArrow(batches(run), schema)
+    return df.select(*keep, F.col(column).alias("_media")).mapInArrow(batches(run), schema_with(df, keep, "ints binary"))
 
 
 def bit_error(a: bytes, b: bytes, offset: int) -> tuple[float, int]:
@@ -132,29 +135,98 @@ def bit_error(a: bytes, b: bytes, offset: int) -> tuple[float, int]:
     return (float(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n), n) if n else (1.0, 0)
 
 
-def align(prints: DataFrame, votes: int = 2, most_errors: float = 0.2, least_frames: int = 16) -> tuple[DataFrame, DataFrame]:
-    """prints: id, is_query, ints, seams.  Returns membership (id, class_id) and the aligned pairs of classes.
-
-    Pairs: class_id (one that holds a query), other_id, frame_offset, votes, n_frames, bit_error.
+def _spectra(prints: list[np.ndarray], size: int) -> np.ndarray:
+    """frequencies x prints x 32: the transforms of the bits, as 1 and -1."""
+    signs = np.zeros((len(prints), size, 32), np.float32)
+    for i, g in enumerate(prints):
+        signs[i, : len(g)] = np.unpackbits(g.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1) * np.float32(2) - 1
+    return np.fft.rfft(signs, axis=1).transpose(1, 0, 2)
+
+
+def _smooth(n: int) -> int:
+    """The least size from n on with no prime factor but 2, 3 and 5."""
+    while True:
+        m = n
+        for p in (2, 3, 5):
+            while m % p == 0:
+                m //= p
+        if m == 1:
+            return n
+        n += 1
+
+
+def offsets_within(a: list[np.ndarray], b: list[np.ndarray], most_errors: float, least_frames: int) -> dict[tuple[int, int], list[int]]:
+    """For pairs (number in a, number in b) every offset whose overlap is long enough and differs in few enough bits, or in 2 bits more."""
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    size = _smooth(max(2, int(la.max() + lb.max()) - least_frames + 1))
+    x, y = np.ascontiguousarray(_spectra(a, size)), np.ascontiguousarray(_spectra(b, size).conj().transpose(0, 2, 1))
+    agree = np.fft.irfft((x @ y).transpose(1, 2, 0), size)  # a x b x offsets
+    at = np.arange(size)
+    at = np.where(at <= la.max() - least_frames, at, at - size)
+    if la.min() == la.max() and lb.min() == lb.max():
+        la, lb = la[:1], lb[:1]
+    over = np.minimum(la[:, None, None], lb[None, :, None] + at) - np.maximum(at, 0)
+    need = np.where(over >= max(1, least_frames), 32 * (1 - 2 * most_errors) * over - 4, np.inf).astype(np.float32)
+    found: dict[tuple[int, int], list[int]] = {}
+    for i, j, k in np.argwhere(agree >= need).tolist():
+        found.setdefault((i, j), []).append(int(at[k]))
+    return found
+
+
+def aligned(a: list[bytes], b: list[bytes], most_errors: float, least_frames: int):
+    """number in a, number in b, offset, votes, frames, bit error of every aligned pair."""
+    order = [np.array(sorted(range(len(x)), key=lambda i, x=x: len(x[i]))) for x in (a, b)]
+    i = 0
+    while i < len(a):  # runs of similar lengths, so many at once as memory holds
+        step = max(1, math.isqrt((1 << 22) // (len(a[order[0][min(i + 128, len(a)) - 1]]) // 2 + 1)))
+        rows = order[0][i : i + step]
+        i, j = i + step, 0
+        x = [np.frombuffer(a[n], "<u4") for n in rows]
+        while j < len(b):
+            longest = len(x[-1]) + len(b[order[1][min(j + 128, len(b)) - 1]]) // 4
+            wide = max(1, (1 << 22) // (longest * len(x)))
+            cols = order[1][j : j + min(wide, 128)]
+            j += len(cols)
+            y = [np.frombuffer(b[n], "<u4") for n in cols]
+            for (p, q), offsets in offsets_within(x, y, most_errors, least_frames).items():
+                best = None
+                for o in offsets:
+                    error, n = bit_error(a[rows[p]], b[cols[q]], o)
+                    if error <= most_errors and n >= least_frames:
+                        row = (round(32 * n * (1 - 2 * error)), -abs(o), o, n, error)
+                        best = max(best or row, row)
+                if best:
+                    _, _, o, n, error = best
+                    same = x[p][max(o, 0) :][:n] == y[q][max(-o, 0) :][:n]
+                    yield int(rows[p]), int(cols[q]), o, int((same[1:] & same[:-1]).sum()), n, error
+
+
+def align(prints: DataFrame, most_errors: float = 0.2, least_frames: int = 16) -> tuple[DataFrame, DataFrame]:
+    """prints: id, is_query, ints.  Returns membership (id, class_id) and the aligned pairs of classes.
+
+    Pairs: class_id (one that holds a query), other_id, frame_offset, votes (equal pairs of neighbouring
+    integers on that offset), n_frames, bit_error.
     """
-    named = materialise(prints.withColumn("mark", F.when(F.length("ints") > 0, F.unhex(F.md5("ints")))), "prints")
-    classes = materialise(named.where(F.col("mark").isNotNull()).groupBy("mark").agg(F.min("id").alias("class_id"), F.max("is_query").alias("is_query"), F.first("ints").alias("ints"), F.first("seams").alias("seams")), "classes")
+    named = materialise(prints.select("id", "is_query", "ints").withColumn("mark", F.when(F.length("ints") > 0, F.unhex(F.md5("ints")))), "prints")
+    classes = materialise(named.where(F.col("mark").isNotNull()).groupBy("mark").agg(F.min("id").alias("class_id"), F.max("is_query").alias("is_query"), F.first("ints").alias("ints")), "classes")
     member = named.select("id", "mark").join(classes.select("mark", "class_id"), "mark", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
-    seams = classes.select("class_id", "is_query", F.posexplode("seams").alias("pos", "seam"))
-    own = seams.where("is_query").select("seam", "class_id", F.col("pos").alias("q_pos"))
-    met = own.join(seams.select("seam", F.col("class_id").alias("other_id"), "pos"), "seam").where("class_id <> other_id")
-    offsets = met.groupBy("class_id", "other_id", (F.col("q_pos") - F.col("pos")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = offsets.groupBy("class_id", "other_id").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).where(F.col("b.votes") >= votes)
-    pairs = best.select("class_id", "other_id", F.col("b.offset").alias("frame_offset"), F.col("b.votes").alias("votes"))
-    a, b = classes.select("class_id", F.col("ints").alias("a")), classes.select(F.col("class_id").alias("other_id"), F.col("ints").alias("b"))
-    both = pairs.join(a, "class_id").join(b, "other_id").select("class_id", "other_id", "frame_offset", "votes", "a", "b")
-
-    def run(batch: pa.RecordBatch):
-        got = [bit_error(x, y, o) for x, y, o in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("frame_offset").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in ("class_id", "other_id", "frame_offset", "votes")], pa.array([g[1] for g in got], pa.int64()), pa.array([g[0] for g in got], pa.float64())], names=["class_id", "other_id", "frame_offset", "votes", "n_frames", "bit_error"])
-
-    checked = both.mapInArrow(batches(run), schema_with(pairs, ["class_id", "other_id", "frame_offset", "votes"], "n_frames long, bit_error double"))
-    return member, checked.where((F.col("bit_error") <= most_errors) & (F.col("n_frames") >= least_frames))
+    long = classes.where((F.length("ints") >= 4 * least_frames) & F.col("class_id").isNotNull())
+    sizes = long.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("q")).first()
+    n_own, n_other = max(1, -(-sizes["q"] // QUERIES)), max(1, -(-sizes["n"] // OTHERS))
+    chunk = lambda n: F.pmod(F.xxhash64("mark"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = long.where("is_query").select(chunk(n_own).cast("int").alias("i"), every(n_other).alias("j"), F.lit(True).alias("own"), "class_id", "ints")
+    met = long.select(every(n_own).alias("i"), chunk(n_other).cast("int").alias("j"), F.lit(False).alias("own"), "class_id", "ints")
+
+    kind = classes.schema["class_id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["own"].astype(bool)], pdf[~pdf["own"].astype(bool)]
+        ids, others = a["class_id"].tolist(), b["class_id"].tolist()
+        rows = [(ids[p], others[q], *rest) for p, q, *rest in aligned(a["ints"].tolist(), b["ints"].tolist(), most_errors, least_frames) if ids[p] != others[q]]
+        return pd.DataFrame(rows, columns=["class_id", "other_id", "frame_offset", "votes", "n_frames", "bit_error"])
+
+    return member, own.unionByName(met).groupBy("i", "j").applyInPandas(run, f"class_id {kind}, other_id {kind}, frame_offset int, votes long, n_frames long, bit_error double")
 
 
 def op5_audio_align(spark, sf_dir: str) -> DataFrame:

@@ -163,6 +163,29 @@ def test_chroma_aligns_shifted_and_noisy_copies(spark):
     assert found == {(50 * i, 50 * i + 2): 9 for i in range(4)}
 
 
+def test_chroma_alignments_equal_all_offsets(spark):
+    """Copies off the frame grid and with noise, of several lengths, against every offset of every pair."""
+    rng = np.random.default_rng(4)
+    pcm = lambda x: bytearray((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
+    tunes = [chroma.tones(rng.normal(size=40 + 8 * (i % 3)).tolist()) for i in range(12)]
+    rows = [(50 * i, True, pcm(t)) for i, t in enumerate(tunes)]
+    cases = [(9 * chroma.HOP + 128, 0.0), (9 * chroma.HOP + 100, 0.0), (5 * chroma.HOP, 0.3), (3 * chroma.HOP + 60, 0.45)]
+    rows += [(50 * i + k, False, pcm(t[cut:] + rng.normal(0, noise, len(t) - cut))) for i, t in enumerate(tunes) for k, (cut, noise) in enumerate(cases, 1)]
+    prints = chroma.fingerprints(spark.createDataFrame(rows, "id long, is_query boolean, pcm binary"), ["id", "is_query"], "pcm")
+    ints = {r["id"]: bytes(r["ints"]) for r in prints.collect()}
+    want = {}
+    for a, b in itertools.product([i for i in ints if i % 50 == 0], ints):
+        got = []
+        for o in range(-len(ints[b]) // 4, len(ints[a]) // 4 + 1):
+            error, n = chroma.bit_error(ints[a], ints[b], o)
+            if error <= 0.2 and n >= 16:
+                got.append((round(32 * n * (1 - 2 * error)), -abs(o), o))
+        if got and a != b:
+            want[a, b] = max(got)[2]
+    assert {(r["class_id"], r["other_id"]): r["frame_offset"] for r in chroma.align(prints)[1].collect()} == want
+    assert sum((50 * i, 50 * i + k) in want for i in range(12) for k in (1, 2, 3)) == 36
+
+
 def test_bpe_equals_the_library():
     import public_tokenizers as P
     from tokenizers import Tokenizer
