@@ -2,10 +2,9 @@
 
 Fixed masks of 9 or 10 words ignore some of their positions.  The hashes of a mask's
 words are joined between benchmark items and documents, so that a substituted word
-that falls on an ignored position does not hide the overlap.  Around each hit the
-two texts are compared on its diagonal: the aligned stretch is extended both ways while
-substitutions stay rare, and is reported if it has ``least`` words or the whole item,
-and at least ``similarity`` of its words agree.
+that falls on an ignored position does not hide the overlap.  The two texts are compared
+along each hit's diagonal: the longest stretch is reported that has ``least`` words or the
+whole item and of whose words at least ``similarity`` agree, less unequal words at its ends.
 
 The benchmark is asked in blocks of bounded size; the sorted hashes of a block are
 broadcast, and every block meets all documents.  Words are letters and digits, in lower
@@ -81,39 +80,39 @@ class Seeds:
         return found
 
 
-def extend(h: np.ndarray, own: np.ndarray, diagonal: int, place: int, drop: int = 6) -> tuple[int, int, int]:
-    """start, end, equal words of the best stretch through place: +1 for an equal word, -2 for another, given up at -drop."""
-    low, high = max(0, diagonal), min(len(h), diagonal + len(own))
-    same = h[low:high] == own[low - diagonal : high - diagonal]
-    mid = place - low
-
-    def reach(steps) -> int:
-        score = best = n = 0
-        for k, ok in enumerate(steps, 1):
-            score += 1 if ok else -2
-            if score > best:
-                best, n = score, k
-            if score <= best - drop:
-                break
-        return n
-
-    left = reach(same[:mid][::-1].tolist())
-    right = reach(same[mid:].tolist())
-    return low + mid - left, low + mid + right, int(same[mid - left : mid + right].sum())
+def stretch(same: np.ndarray, least: int, similarity: float) -> tuple[int, int, int] | None:
+    """start, end, equal places of the longest stretch (the first of several) of at least ``least`` places of which similarity are equal.
+
+    Such a stretch can be cut to equal ends unless that makes it too short; one that can't is taken as it is.
+    """
+    sums = np.concatenate([[0], np.cumsum(same)])
+    gain = sums - similarity * np.arange(len(sums))
+    lows = np.minimum.accumulate(gain)  # for each end, the first start that is low enough
+    ends = np.arange(least, len(sums))
+    starts = np.searchsorted(-lows, -(gain[least:] + 1e-9))
+    length = ends - starts
+    if not len(ends) or length.max() < least:
+        return None
+    end = int(ends[length.argmax()])
+    start = end - int(length.max())
+    while end - start > least and not same[start]:
+        start += 1
+    while end - start > least and not same[end - 1]:
+        end -= 1
+    return start, end, int(sums[end] - sums[start])
 
 
 def overlaps(seeds: Seeds, text: str | None, least: int, similarity: float) -> list[tuple]:
     """(item_id, start, end, item_start, equal words) of the longest verified stretch with each item."""
     h = word_hashes(plain_words(text))
-    best, done = {}, {}
-    for n, diagonal, place in sorted(seeds.hits(h)):
-        if place < done.get((n, diagonal), -1):
-            continue
-        item_id, own = seeds.items[n]
-        start, end, equal = extend(h, own, diagonal, place)
-        done[n, diagonal] = end
-        if end - start >= min(least, len(own)) and equal >= similarity * (end - start):
-            row = (equal, -start, end, diagonal)
+    best = {}
+    for n, diagonal in sorted({x[:2] for x in seeds.hits(h)}):
+        own = seeds.items[n][1]
+        low, high = max(0, diagonal), min(len(h), diagonal + len(own))
+        found = stretch(h[low:high] == own[low - diagonal : high - diagonal], min(least, len(own)), similarity)
+        if found:
+            start, end, equal = found
+            row = (equal, -start - low, end + low, diagonal)
             best[n] = max(best.get(n, row), row)
     return [(seeds.items[n][0], -s, e, -s - d, q) for n, (q, s, e, d) in sorted(best.items())]
 

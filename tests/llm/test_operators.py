@@ -80,6 +80,34 @@ def test_decontamination_finds_planted_and_leaves_clean(spark):
         assert got == want
 
 
+def test_weak_surroundings_hide_no_overlap():
+    """Any 13 words with two substitutions are reported, however weakly the words around them agree."""
+    rng = random.Random(17)
+    for n, share in [(50, 0.2), (50, 0.25), (30, 0.1)]:
+        for _ in range(150):
+            item = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            copy = [f"x{k}" if rng.random() < share else w for k, w in enumerate(item)]
+            same = [a == b for a, b in zip(item, copy, strict=True)]
+            found = decontam.overlaps(decontam.Seeds([(1, " ".join(item))]), " ".join(["before"] * 20 + copy + ["after"] * 20), 13, 0.8)
+            if any(sum(same[i : i + 13]) >= 11 for i in range(n - 12)):
+                assert found
+            for _, start, end, at, equal in found:
+                assert end - start >= 13 and equal == sum(same[at : at + end - start]) >= 0.8 * (end - start) and start == at + 20
+
+
+def test_stretch_is_the_longest_one():
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        same = rng.random(rng.integers(1, 45)) < rng.choice([0.6, 0.75, 0.9])
+        every = [(i, j) for i in range(len(same)) for j in range(i + 13, len(same) + 1) if same[i:j].sum() >= 0.8 * (j - i) - 1e-9]
+        got = decontam.stretch(same, 13, 0.8)
+        assert (got is None) == (not every)
+        if got:
+            i, j = max(every, key=lambda x: (x[1] - x[0], -x[1]))
+            assert i <= got[0] < got[1] <= j and got[2] == same[i:j].sum() - same[i : got[0]].sum() - same[got[1] : j].sum() >= 0.8 * (got[1] - got[0])
+            assert not same[i : got[0]].any() and not same[got[1] : j].any()
+
+
 def brute_substring(rows, n=13):
     least = {}
     for i, t in rows:
