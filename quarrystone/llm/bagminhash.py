@@ -341,9 +341,14 @@ def linked(buckets: DataFrame, texts: DataFrame, threshold: float, pivots: int)
         release(done)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, pivots: int = 2) -> DataFrame:
-    """doc_id, class_id, class_size for each row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text", F.when(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.unhex(F.md5("text"))).alias("node"))
+def _node():
+    """The node of a text: one for all its copies, none without words."""
+    return F.when(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.unhex(F.md5("text")))
+
+
+def rooted(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, pivots: int = 2) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id and node for each row of docs (doc_id, text); and node, root of the nodes with a link."""
+    docs = docs.select("doc_id", "text", _node().alias("node"))
     member, texts = docs.select("doc_id", "node"), docs.where(F.col("node").isNotNull()).select("node", "text")
     # one node for all copies of a text
     nodes = materialise(sketches(texts, bands, rows).groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands")), "bands")
@@ -355,7 +360,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     # a bucket's center is the node that shares most buckets with others: nearest to the middle of its copies
     ranked = materialise(shared.join(degree, "node").select("bucket", "node", "size", "degree"), "ranked")
     centers = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("center"))
-    roots = linked(materialise(ranked.join(centers, "bucket").select("bucket", "node", "size", "center"), "buckets"), few, threshold, pivots)
+    return member, linked(materialise(ranked.join(centers, "bucket").select("bucket", "node", "size", "center"), "buckets"), few, threshold, pivots)
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, class_size for each row of docs (doc_id, text)."""
+    member, roots = rooted(docs, **options)
     if roots is None:
         named = member.withColumn("root", F.col("node"))
     else:
@@ -366,13 +376,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stand for their classes: those with the class id as doc_id, repeated ones once; a null doc_id stays only if no other of its class has one."""
-    first = near_duplicates(docs.select("doc_id", "text"), **options).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    counts = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    once = docs.join(counts.where("n = 1 AND doc_id IS NOT NULL"), "doc_id", "left_semi")
-    again = docs.join(counts.where("n > 1 AND doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    unnamed = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return once.unionByName(again).unionByName(unnamed)
+    """A row of docs for each class: that with the least doc_id (of several texts under it, the least node), or any one if none has an id.
+
+    Rows without words are a class each and all stay, but for repeated ones under one doc_id.
+    """
+    _, roots = rooted(docs.select("doc_id", "text"), **options)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", _node().alias("node"))
+    named = held.where(F.col("node").isNotNull()).groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
+    named = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # a null id is the least of all, so whether it is null comes first
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node", "n")).alias("f")).select("f.doc_id", "f.node", "f.n")
+
+    def rows(of: DataFrame) -> DataFrame:
+        of = of.select(F.col("doc_id").alias("first_id"), F.col("node").alias("first_node"))
+        return held.join(of, (F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+
+    kept = rows(first.where("n = 1")).unionByName(rows(first.where("n > 1")).dropDuplicates(["doc_id", "node"]))
+    blank = held.where(F.col("node").isNull())
+    again = blank.where(F.col("doc_id").isNotNull()).withColumn("text", F.col("doc.text")).dropDuplicates(["doc_id", "text"]).drop("text")
+    kept = kept.unionByName(again).unionByName(blank.where(F.col("doc_id").isNull()))
+    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -47,6 +47,19 @@ def test_stage_keeps_one_of_each_class(spark):
     assert sorted(r["doc_id"] for r in got) == [1, 3]
 
 
+def test_stage_keeps_one_of_each_class_without_ids(spark):
+    """Near copies without an id, copies of documents with one, and rows without words."""
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*base[:-1], f"other{k}"])
+    lone = [f"v{i}" for i in range(60)]
+    rows = [(1, near(0)), (None, near(1)), (None, near(0)), (None, " ".join(lone)), (None, " ".join([*lone[:-1], "last"])), (None, None), (None, ""), (None, " "), (None, None)]
+    rows += [(2, near(2)), (2, "a text of its own under the same number")]
+    got = [tuple(r) for r in bagminhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len([t for i, t in got if t and t.startswith("v0")]) == 1
+    rest = sorted((str(i), str(t)) for i, t in got if not (t and t.startswith("v0")))
+    assert rest == sorted([("1", near(0)), ("2", "a text of its own under the same number"), ("None", "None"), ("None", "None"), ("None", ""), ("None", " ")])
+
+
 def test_entry_imports_without_the_subpackage(tmp_path):
     import shutil
     import subprocess
