@@ -1,11 +1,12 @@
 """Questions from blocks of documents to parts of a key space, and the answers back.
 
-A corpus-wide table of word windows or word counts has as many keys as the corpus has
+A corpus-wide table of words, word pairs or repeats has as many keys as the corpus has
 words.  Instead of a row for each key, every block of documents (a hash of the row, so
 that blocks are even) asks each part of the key space about its distinct keys in
 one packed row, and gets one packed row back, in the order of the keys it asked for.
-A key that holds a third of all words is one key for each block, so no part is hot;
-blocks and parts are of bounded size, and their number follows the input.
+A key that holds a third of all words is one key for each block, so no part is hot.
+Blocks and parts hold a bounded amount of text or keys, and their number follows the input;
+a block makes rows only for parts that it has keys of, so it never makes more rows than it has keys.
 """
 
 from __future__ import annotations
@@ -13,69 +14,53 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ASK = "part int, block long, data binary"
 
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-def n_blocks(docs: DataFrame, block_bytes: int = 16 << 20) -> int:
-    """Blocks of about block_bytes of text, at least two for each shuffle partition."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / block_bytes), 1)
 
-
-def pack(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(raw) if raw else b""
+def n_blocks(docs: DataFrame, total: int, block_bytes: int) -> int:
+    """Blocks of about block_bytes of text; of small inputs as many as there are shuffle partitions, down to 1 MB."""
+    least = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (1 << 20)))
+    return max(1, least, math.ceil(total / block_bytes))
 
 
-def pack_keys(keys: np.ndarray, *arrays: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences, their bytes grouped by place, then the arrays."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return pack(np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 8).T, *arrays)
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of any lengths; their bytes are grouped by place, so that small numbers cost little."""
+    head = np.array([len(a) for a in arrays], np.int64).tobytes()
+    body = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"" for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head + body)
 
 
 def unpack(data: bytes, *kinds) -> list[np.ndarray]:
-    """The arrays of pack(), all of one length."""
-    kinds = [np.dtype(k) for k in kinds]
-    raw = zstandard.ZstdDecompressor().decompress(data) if data else b""
-    n = len(raw) // sum(k.itemsize for k in kinds)
-    out, at = [], 0
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * k.itemsize
-    return out
-
-
-def unpack_keys(data: bytes, *kinds) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data) if data else b""
-    n = len(raw) // (8 + sum(np.dtype(k).itemsize for k in kinds))
-    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64).ravel()
-    out, at = [np.cumsum(steps, dtype=np.uint64)], 8 * n
-    for k in map(np.dtype, kinds):
-        out.append(np.frombuffer(raw, k, n, at))
+    """The arrays of pack()."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    sizes, at, out = np.frombuffer(raw, np.int64, len(kinds)), 8 * len(kinds), []
+    for n, k in zip(sizes.tolist(), map(np.dtype, kinds), strict=True):
+        planes = np.frombuffer(raw, np.uint8, n * k.itemsize, at).reshape(k.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(k).ravel())
         at += n * k.itemsize
     return out
 
 
-def bounds(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part's share of the sorted keys begins (and the last one ends)."""
-    edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
+def steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences; np.cumsum restores them."""
+    return np.diff(keys, prepend=keys.dtype.type(0))
 
 
-def questions(block: int, keys: np.ndarray, parts: int, *arrays: np.ndarray) -> pd.DataFrame:
-    """A row for each part that some of the sorted distinct keys belong to."""
-    at = bounds(keys, parts)
-    rows = [(p, block, pack_keys(keys[a:b], *[x[a:b] for x in arrays])) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-    return pd.DataFrame(rows, columns=["part", "block", "data"])
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each 64-bit key: equal ranges, so that sorted keys lie in sorted parts."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def answers(got: pd.DataFrame, *kinds) -> list[np.ndarray]:
-    """The answers to one block's questions, in the order of its sorted distinct keys."""
-    rows = sorted(zip(got["part"], got["data"], strict=True))
-    parts = [unpack(d, *kinds) for _, d in rows]
-    return [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, k) for i, k in enumerate(kinds)]
+def shares(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """part, begin, end of each run of sorted keys that belongs to one part; only parts that have keys."""
+    if not len(keys):
+        return []
+    of = part_of(keys, parts)
+    begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    return list(zip(of[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True))

@@ -250,55 +250,6 @@ def test_lm_base_columns_and_held_out_gain(spark):
     assert mean("score") > mean("base_score")
 
 
-def test_lm_seating_is_consistent_and_sums_to_one():
-    rng = np.random.default_rng(4)
-    word, context = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(3)))
-    count = rng.integers(0, 6, len(word)) * rng.integers(0, 30, len(word))
-    on = np.flatnonzero(count)
-    direct = rng.integers(0, 5, 40)
-    r = hpylm.Restaurants(word[on], context[on], count[on], direct, 3, 40, 1, 0.8, 0.5, 1.0, 1)
-    for _ in range(4):
-        r.sweep()
-        assert ((r.tables >= 1) & (r.tables <= r.count)).all()
-        for c, (at, seat, sizes) in r.groups.items():
-            assert (sizes.sum(axis=1) == c).all() and ((sizes > 0).sum(axis=1) == r.tables[at]).all()
-            assert (np.take_along_axis(sizes, seat.astype(int), 1) > 0).all()
-    r.average(0, 2)
-    theta, d0, d1, n = 1.0, 0.5, 0.8, 40
-    p0 = (r.customers - d0 * r.parent_tables + (theta + d0 * r.parent_tables.sum()) / (n + 1)) / (theta + r.customers.sum())
-    unknown = (theta + d0 * r.parent_tables.sum()) / (n + 1) / (theta + r.customers.sum())
-    assert math.isclose(p0.sum() + unknown, 1, rel_tol=1e-9)
-    for u in range(3):
-        own = r.context == u
-        share = np.zeros(n)
-        share[r.word[own]] = r.count[own] - d1 * r.tables[own]
-        p = (share + (theta + d1 * r.tables[own].sum()) * p0) / (theta + r.count[own].sum())
-        assert math.isclose(p.sum() + (theta + d1 * r.tables[own].sum()) * unknown / (theta + r.count[own].sum()), 1, rel_tol=1e-9)
-
-
-def test_lm_gibbs_matches_the_exact_table_distribution():
-    """One dish of three customers with a fixed chance of a new table: its number of tables follows its exact law."""
-    d, x = 0.5, 1.2
-    weight = {1: (1 - d) * (2 - d) * x, 2: 3 * (1 - d) * x * x, 3: x**3}  # seatings of three customers by number of tables
-
-    class Fixed(hpylm.Restaurants):
-        def _parent(self):
-            self.parent = np.array([1.0])
-
-        def context_tables(self):
-            return np.zeros(1)
-
-    r = Fixed(np.zeros(4000, int), np.zeros(4000, int), np.full(4000, 3), np.array([0]), 1, 1, 1, d, 0.5, x, 3)
-    seen = Counter()
-    for k in range(40):
-        r.sweep()
-        if k >= 10:
-            seen.update(r.tables.astype(int).tolist())
-    total, mass = sum(seen.values()), sum(weight.values())
-    for t, w in weight.items():
-        assert abs(seen[t] / total - w / mass) < 0.01
-
-
 def test_licenses_base_equals_python_and_spans_tolerate_changes(spark):
     rng = random.Random(8)
     parts = ["GNU General Public License", "mit", "MIT License", "cc-by", "Apache\nLicense", "apache", "é", "license", "foo", "CC BY"]
