@@ -154,7 +154,7 @@ def draw_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, thet
         rows = np.arange(len(at))
         below = np.where(k > 0, w[rows, k - 1], 0.0)
         share = (want - below) / np.maximum(w[rows, k] - below, 1e-300)
-        t[at] = np.clip(grid[rows, k] + np.floor(share * stride), 1, n).astype(np.int64)
+        t[at] = np.clip(grid[rows, k] + np.floor(share * stride) - np.floor((stride - 1) / 2), 1, n).astype(np.int64)
     return t
 
 
