@@ -6,13 +6,16 @@ records for every attachment its reference, place and expanded token count.
 
 Template, for each turn in order: ``<|turn|>ROLE\\nBODY<|end|>\\n``.  Control strings
 inside texts get one more backslash after their first character, however many
-they had, so that taking one away restores the text.
+they had, so that taking one away restores the text.  Neighbouring text parts are joined before
+they are escaped, so that a control string dealt over several parts is none either, and
+placeholders are put in after that, so that no text can make or break one.
 
 Defined results: null text is empty; a null role is an empty role; turns are
 ordered by (turn, role, text), nulls first, so that ties and repeated rows give one
 result (a repeated row is a repeated turn); rows with a null conv_id form one
-conversation whose id is null; an empty table gives no rows.  A conversation is one
-record of the output, so it is held by one task, as large as its own string.
+conversation whose id is null; an empty table gives no rows; columns that are not asked for are
+left out, so their names cannot clash.  A conversation is one record of the output, so it
+is held by one task, as large as its own string, and so are very long texts.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ TURN, END = "<|turn|>", "<|end|>\n"
 PLACEHOLDER = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
 #: What follows the first character of a control string, of this template and of widespread others: fixed values.
 REST = r"\|\w{1,32}\|>|/?s>|/?INST\]|</?SYS>>"
+#: Stands with a letter behind it for placeholders while texts are escaped (no control string holds it), and for itself.
+MARK = "\x01"
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 
 
@@ -67,13 +72,16 @@ def format_conversations(df: DataFrame, assistant: str = "assistant", patch: int
     kinds = list(PLACEHOLDER)
 
     def flat(p: Column) -> Column:
-        out = None
-        for kind, mark in PLACEHOLDER.items():
-            out = F.when(p["type"] == kind, mark) if out is None else out.when(p["type"] == kind, mark)
-        return out.otherwise(escape(F.coalesce(p["text"], F.lit(""))))
-
+        out = F.when(F.lit(False), "")
+        for kind in kinds:
+            out = out.when(p["type"] == kind, MARK + kind[0])
+        return out.otherwise(F.replace(F.coalesce(p["text"], F.lit("")), F.lit(MARK), F.lit(f"{MARK}=")))
+
+    body = escape(F.array_join(F.transform("parts", flat), ""))
+    for kind, shown in [*PLACEHOLDER.items(), ("=", MARK)]:
+        body = F.replace(body, F.lit(MARK + kind[0]), F.lit(shown))
     rows = df.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
-    rows = rows.withColumn("body", F.array_join(F.transform("parts", flat), ""))
+    rows = rows.withColumn("body", body)
     rows = rows.withColumn("head", F.concat(F.lit(TURN), _role_out(F.col("role")), F.lit("\n")))
     rows = rows.withColumn("piece", F.concat("head", "body", F.lit(END)))
     rows = rows.withColumn(
@@ -130,6 +138,7 @@ def op1_chat_format(spark, sf_dir: str) -> DataFrame:
         F.length("kept").cast("long").alias("loss_chars"),
         F.sha2(F.col("kept"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
     )
 
 
@@ -146,5 +155,5 @@ g AS (SELECT conv_id, count(*) AS n_turns,
         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, body) FILTER (role = 'assistant'), '') AS loss,
         sum(8 + length(r) + 1 + length(body) + 8) AS formatted_chars FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
-       sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
+       sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars, 0::BIGINT AS n_attachments FROM g
 """

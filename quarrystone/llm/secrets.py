@@ -7,9 +7,13 @@ an interval join of the candidates, on bins as wide as the scope, so that each
 candidate meets only its neighbours.  An opaque value needs an identifier, an
 identifier needs a secret, an endpoint needs both.
 
-Places are code points, end exclusive: they come from the lengths of the pieces
-between matches.  Defined results: null text is empty and has no spans; equal rows
-get equal results; an empty table gives no rows.
+Matches leave their text as rows (which text, kind, number, length of the piece before it, match);
+their places are running sums over these rows, so that the work grows with the length of a text and
+not with the square of its matches, and no text is moved.  A kind that a text does not hold costs one search.
+
+Places are code points, end exclusive.  Defined results: null text is empty and has no spans; empty
+texts have none; very long texts are scanned whole; equal rows get equal results, each its own row;
+columns of the input may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,9 +21,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import unwrapped, wrapped
+from .common import materialise, table, unwrapped, wrapped
 
 #: The base patterns, with the group whose length counts and its least length.
 BASE_KINDS = [
@@ -37,25 +42,32 @@ ROLE = {"assign": "secret", "hex": "secret", "opaque": "secret", "access": "id",
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
-def _places(df: DataFrame, kind: str, pattern: str, group: int, least: int) -> DataFrame:
-    """Adds column kind: the spans of the matches whose group has the least length."""
-    rank = ORDER.index(kind)
-    df = df.withColumn("_m", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split("text", pattern, -1)))
-    if group:
-        df = df.withColumn("_v", F.when(F.size("_m") > 0, F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), lambda v: F.length(v))))
-    else:
-        df = df.withColumn("_v", F.transform("_m", lambda v: F.length(v)))
-    steps = F.transform("_m", lambda m, i: F.struct(F.length(F.get("_g", i)).alias("gap"), F.length(m).alias("own"), F.get("_v", i).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+def _match(rank: int, measured: str):
+    return lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("i"), F.length(x["g"]).alias("gap"), x["m"].alias("m"), F.length(x[measured]).alias("size"))
+
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = acc["at"] + s["gap"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + s["own"]).alias("end"))
-        return F.struct((begin + s["own"]).alias("at"), F.when(s["size"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+def _matches(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, rank, i, gap, own, size, mixed: a row for each match of every pattern in text (twice for repeated rows)."""
+    arrays = []
+    for rank, (_, pattern, group, _least) in enumerate(BASE_KINDS + WEAK_KINDS):
+        every = lambda g, p=pattern: F.regexp_extract_all("text", F.lit(p), F.lit(g))
+        zipped = F.arrays_zip(every(0).alias("m"), F.split("text", pattern, -1).alias("g"), *([every(group).alias("v")] if group else []))
+        arrays.append(F.when(F.col("text").rlike(pattern), F.transform(zipped, _match(rank, "v" if group else "m"))).otherwise(F.array().cast("array<struct<rank:int,i:int,gap:int,m:string,size:int>>")))
+    found = df.select(*keys, F.explode(F.concat(*arrays)).alias("x")).where("x.m IS NOT NULL")
+    mixed = F.col("x.m").rlike("[0-9]") & F.col("x.m").rlike("[A-Za-z]")
+    return found.select(*keys, "x.rank", "x.i", "x.gap", F.length("x.m").alias("own"), "x.size", mixed.alias("mixed"))
 
-    found = F.when(F.size("_m") > 0, F.aggregate(steps, start, step)["out"]).otherwise(F.array().cast(SPAN))
-    return df.withColumn(kind, found).drop("_m", "_g", "_v")
+
+def _spans(df: DataFrame) -> DataFrame:
+    """k1, k2, rank, start, end of the matches that pass their tests, once for each text of df (text, k1, k2)."""
+    keys = ["k1", "k2"]
+    once = _matches(df, keys).repartition(*keys).groupBy(*keys, "rank", "i").agg(*[F.max(c).alias(c) for c in ("gap", "own", "size", "mixed")])
+    before = W.partitionBy(*keys, "rank").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    placed = once.withColumn("end", F.sum(F.col("gap") + F.col("own")).over(before).cast("int"))
+    least = F.get(F.array(*[F.lit(k[3]) for k in BASE_KINDS + WEAK_KINDS]), F.col("rank"))
+    # an opaque value has letters and digits
+    kept = placed.where((F.col("size") >= least) & ((F.col("rank") != ORDER.index("opaque")) | F.col("mixed")))
+    return kept.select(*keys, "rank", (F.col("end") - F.col("own")).alias("start"), "end")
 
 
 def _show(spans: Column) -> Column:
@@ -63,79 +75,76 @@ def _show(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def linked_parts(docs: DataFrame, scope: int = 200) -> DataFrame:
-    """k1, k2, weak: the weak spans of each text of docs (text, k1, k2) that complementary parts support."""
-    df = docs.where(F.col("text").isNotNull())
-    for kind in WEAK_KINDS:
-        df = _places(df, *kind)
-    # an opaque value has letters and digits; one inside a longer address is part of that address
-    text_at = lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
-    df = df.withColumn("opaque", F.filter("opaque", lambda s: text_at(s).rlike("[0-9]") & text_at(s).rlike("[A-Za-z]")))
-    df = df.where(F.size("ident") + F.size("opaque") + F.size("endpoint") > 0).dropDuplicates(["k1", "k2"])
-    for kind in BASE_KINDS:
-        df = _places(df, *kind)
-    base = F.concat(*[F.col(k) for k, *_ in BASE_KINDS])
-    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    weak = F.concat(*[F.filter(F.col(k), free) for k, *_ in WEAK_KINDS])
-    spans = df.select("k1", "k2", F.explode(F.concat(base, weak)).alias("s")).select("k1", "k2", "s.*")
+def _free(spans: DataFrame) -> DataFrame:
+    """spans without the weak ones that lie over a strong one: one that starts no later and has not ended, or starts within."""
+    base = F.col("rank") < len(BASE_KINDS)
+    of = W.partitionBy("k1", "k2")
+    open_until = F.max(F.when(base, F.col("end"))).over(of.orderBy("start").rangeBetween(W.unboundedPreceding, 0))
+    next_start = F.min(F.when(base, F.col("start"))).over(of.orderBy(F.col("start").desc()).rangeBetween(W.unboundedPreceding, 0))
+    marked = spans.withColumns({"_open": F.coalesce(open_until, F.lit(0)), "_next": F.coalesce(next_start, F.lit(2**31 - 1))})
+    return marked.where(base | ((F.col("_open") <= F.col("start")) & (F.col("_next") >= F.col("end")))).drop("_open", "_next")
+
+
+def _linked(spans: DataFrame, scope: int) -> DataFrame:
+    """The weak spans that complementary parts support."""
     role = F.get(F.array(*[F.lit(ROLE[k]) for k in ORDER]), F.col("rank"))
     spans = spans.withColumn("role", role).withColumn("bin", F.floor(F.col("start") / scope))
-    n_base = len(BASE_KINDS)
-    left = spans.where(F.col("rank") >= n_base).withColumn("bin", F.explode(F.array(*[F.col("bin") + d for d in (-1, 0, 1)])))
+    left = spans.where(F.col("rank") >= len(BASE_KINDS)).withColumn("bin", F.explode(F.array(*[F.col("bin") + d for d in (-1, 0, 1)])))
     right = spans.select("k1", "k2", "bin", F.col("role").alias("o_role"), F.col("start").alias("o_start"))
     met = left.join(right, ["k1", "k2", "bin"]).where((F.abs(F.col("start") - F.col("o_start")) <= scope) & (F.col("role") != F.col("o_role")))
     has = lambda r: F.max(F.when(F.col("o_role") == r, True).otherwise(False))
     ok = F.when(F.col("role") == "secret", F.col("has_id")).when(F.col("role") == "id", F.col("has_secret")).otherwise(F.col("has_id") & F.col("has_secret"))
-    kept = met.groupBy("k1", "k2", "start", "rank", "end", "role").agg(has("id").alias("has_id"), has("secret").alias("has_secret")).where(ok)
-    return kept.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "rank", "end")).alias("weak"))
+    return met.groupBy("k1", "k2", "rank", "start", "end", "role").agg(has("id").alias("has_id"), has("secret").alias("has_secret")).where(ok).select("k1", "k2", "rank", "start", "end")
 
 
-def scan_secrets(docs: DataFrame, scope: int = 200) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, text and at most the struct doc) with k1, k2 and base; and weak for those k1, k2 that have some.
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with k1, k2: equal rows share them."""
+    return docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.hash("text", "doc_id"))
 
-    base and weak are arrays of struct(start, rank, end); rank is the place in ORDER.
-    """
-    keyed = docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.hash("text", "doc_id"))
-    links = linked_parts(keyed.select("text", "k1", "k2"), scope)
-    for kind in BASE_KINDS:
-        keyed = _places(keyed, *kind)
-    keyed = keyed.withColumn("base", F.coalesce(F.concat(*[F.col(k) for k, *_ in BASE_KINDS]), F.array().cast(SPAN))).drop(*[k for k, *_ in BASE_KINDS])
-    return keyed, links
 
+def all_spans(docs: DataFrame, scope: int = 200) -> DataFrame:
+    """k1, k2, rank, start, end: the strong spans and the supported weak ones of docs (text, k1, k2); rank is the place in ORDER."""
+    spans = materialise(_free(_spans(docs.select("text", "k1", "k2"))), "spans")
+    return spans.where(F.col("rank") < len(BASE_KINDS)).unionByName(_linked(spans, scope))
 
-def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
-    from .common import table
 
-    found, links = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = found.select("doc_id", "k1", "k2", "base").join(links, ["k1", "k2"], "left")
+def scan_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
+    """k1, k2, base, weak of the texts of docs (text, k1, k2) that have spans: arrays of struct(start, rank, end) in order."""
+    every = all_spans(docs, scope).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("all"))
+    strong = lambda s: s["rank"] < len(BASE_KINDS)
+    return every.select("k1", "k2", F.filter("all", strong).alias("base"), F.filter("all", lambda s: ~strong(s)).alias("weak"))
+
+
+def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
+    docs = keyed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    none = F.array().cast(SPAN)
+    found = docs.select("doc_id", "k1", "k2").join(scan_secrets(docs), ["k1", "k2"], "left").select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("weak", none).alias("weak"))
     count = lambda i: F.size(F.filter("base", lambda s: s["rank"] == i)).cast("long")
-    return found.select(
-        "doc_id",
-        count(0).alias("n_assign"),
-        count(1).alias("n_access"),
-        count(2).alias("n_hex"),
-        F.sha2(_show(F.col("base")), 256).alias("base_sha256"),
-        _show(F.concat("base", F.coalesce("weak", F.array().cast(SPAN)))).alias("spans"),
-    )
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_show(F.col("base")), 256).alias("base_sha256"), _show(F.concat("base", "weak")).alias("spans"))
 
 
 def redact(docs: DataFrame, scope: int = 200) -> DataFrame:
-    """docs with every reported span of text replaced by [REDACTED], overlapping spans by one; n_chars follows the text."""
-    found, links = scan_secrets(wrapped(docs, "doc_id", "text"), scope)
-    found = found.join(links, ["k1", "k2"], "left").withColumn("all", F.array_sort(F.concat("base", F.coalesce("weak", F.array().cast(SPAN)))))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.lit("[REDACTED]"))).alias("out"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-    rest = lambda r: F.concat(F.array_join(r["out"], ""), F.substring(F.col("text"), r["at"] + 1, F.length("text")))
-    found = found.withColumn("text", F.when(F.size("all") > 0, F.aggregate("all", first, step, rest)).otherwise(F.col("text")))
-    replaced = {"text": F.col("text")}
+    """docs with every reported span of text replaced by [REDACTED], overlapping spans by one; n_chars follows the text.
+
+    Texts in which no pattern matches pass as they are; the others meet their spans.
+    Null and empty texts stay; equal rows get equal texts; every column of docs is kept, whatever its name.
+    """
+    own = keyed(wrapped(docs, "doc_id", "text"))
+    hit = F.coalesce(reduce(lambda a, b: a | b, [F.col("text").rlike(k[1]) for k in BASE_KINDS + WEAK_KINDS]), F.lit(False))
+    # overlapping spans are one stretch: a span opens a new one if all before it have ended
+    of = W.partitionBy("k1", "k2").orderBy("start", "end")
+    ended = F.max("end").over(of.rowsBetween(W.unboundedPreceding, -1)) <= F.col("start")
+    stretch = all_spans(own, scope).withColumn("new", F.coalesce(ended, F.lit(True)).cast("int")).withColumn("no", F.sum("new").over(of.rowsBetween(W.unboundedPreceding, 0)))
+    stretch = stretch.groupBy("k1", "k2", "no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    cuts = stretch.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    found = own.where(hit).join(cuts, ["k1", "k2"], "left")
+    sides = F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("cuts.end")).alias("a"), F.concat(F.col("cuts.start"), F.array(F.length("text"))).alias("b"))
+    kept = F.transform(sides, lambda x: F.substring(F.col("text"), x["a"] + 1, x["b"] - x["a"]))
+    found = found.withColumn("clean", F.when(F.col("cuts").isNotNull(), F.array_join(kept, "[REDACTED]")).otherwise(F.col("text")))
+    replaced = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        replaced["n_chars"] = F.when(F.size("all") > 0, F.length("text").cast("long")).otherwise(F.col("doc.n_chars"))
-    return unwrapped(found, docs.columns, **replaced)
+        replaced["n_chars"] = F.when(F.col("cuts").isNotNull(), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return unwrapped(own.where(~hit), docs.columns).unionByName(unwrapped(found, docs.columns, **replaced))
 
 
 def _sql_places(kind: str, pattern: str, group: int, least: int) -> str:
