@@ -3,27 +3,29 @@
 Byte n-grams of the lower-cased text are hashed to buckets, each with a small
 vector; a text is the mean of its vectors, and a linear softmax names the language.
 Both are trained by stochastic gradient descent in numpy on a bounded sample of
-labelled documents, snippets of many lengths, and calibrated by a temperature fitted
-on documents that the descent has not seen.  A text is rejected if it has no letter or
-if its calibrated probability is below ``reject_below``.
+labelled documents, snippets of many lengths, and calibrated on documents that the descent has not
+seen: by a temperature on their snippets, and by a cut, the least probability from ``floor`` on
+above which ``precision`` of their whole texts are named rightly.  A text is rejected if it has no letter or
+if its calibrated probability is below the cut.
 
 After training, bucket vectors and softmax weights collapse into one table of scores,
 so that a prediction counts the buckets of the whole text and multiplies once.
 
 Defined results: null text, empty text and text without a letter give ``und``, 0.0 and
 rejected; labels that are null are not learned; equal rows get equal results; an empty
-table gives no rows; with nothing to learn from, every text is ``und``.
+table gives no rows; with nothing to learn from, every text is ``und``; very long texts are counted
+whole; columns of docs may have any names.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batches, texts_of, with_text
@@ -61,7 +63,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]], dim: int = 16, steps: int = 12_000, rate: float = 0.5, reject_below: float = 0.6, seed: int = 7) -> Model | None:
+def train(rows: list[tuple[str, str]], dim: int = 16, steps: int = 12_000, rate: float = 0.5, floor: float = 0.5, precision: float = 0.98, seed: int = 7) -> Model | None:
     """rows: (text, label), in a fixed order."""
     rows = [(t, y) for t, y in rows if t and y is not None and LETTER.search(t)]
     labels = sorted({y for _, y in rows})
@@ -104,7 +106,19 @@ def train(rows: list[tuple[str, str]], dim: int = 16, steps: int = 12_000, rate:
     logits, truth = np.array(logits), np.array(truth)
     grid = np.geomspace(0.05, 20, 61)
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
-    return Model(labels, scores, bias, float(grid[int(np.argmin(loss))]), reject_below)
+    temperature = float(grid[int(np.argmin(loss))])
+    whole = np.array([scores[buckets_of(d)].mean(axis=0) for d, _ in held]) + bias
+    return Model(labels, scores, bias, temperature, cut_at(_softmax(whole / temperature), np.array([y for _, y in held]), floor, precision))
+
+
+def cut_at(p: np.ndarray, truth: np.ndarray, floor: float, precision: float) -> float:
+    """The least probability from floor on at and above which the named label is right in the share precision; 0.9 if there is none."""
+    best, right = p.max(axis=1), p.argmax(axis=1) == truth
+    order = np.argsort(-best, kind="stable")
+    share = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
+    good = np.flatnonzero(share >= precision)
+    lowest = float(best[order][good[-1]]) if len(good) else 0.9
+    return max(floor, min(lowest, 0.9))
 
 
 def predict(model: Model | None, text: str | None) -> tuple[str, float, bool]:
@@ -121,10 +135,11 @@ def predict(model: Model | None, text: str | None) -> tuple[str, float, bool]:
     return model.labels[k], float(p[k]), bool(p[k] < model.reject_below)
 
 
-def labelled_sample(docs: DataFrame, per_class: int = 400, most_classes: int = 512) -> list[tuple[str, str]]:
-    """About per_class labelled texts of each language, chosen by a hash of the row: bounded, and the same at every run.
+def labelled_sample(docs: DataFrame, per_class: int = 400, most_classes: int = 512, most_chars: int = 20_000) -> list[tuple[str, str]]:
+    """At most per_class labelled texts of each language, chosen by a hash of the row: bounded, and the same at every run.
 
-    Counts first (from lang alone), then one filtered read.  More than most_classes labels is an error.
+    Counts first (from lang alone), then one filtered read; equal rows count once.  Of a longer text a stretch of most_chars at
+    a hashed place is learned.  More than most_classes labels is an error.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_classes + 1).collect()}
@@ -132,15 +147,13 @@ def labelled_sample(docs: DataFrame, per_class: int = 400, most_classes: int = 5
         raise ValueError(f"more than {most_classes} languages")
     if not sizes:
         return []
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    mark = F.xxhash64("doc_id", "text")
+    share = F.pmod(mark, F.lit(1 << 30)) / float(1 << 30)
     limit = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, 1.2 * per_class / n))])
-    picked = known.where(share <= F.element_at(limit, F.col("lang"))).select("doc_id", "lang", "text").collect()
-    rows = sorted(((r["lang"], zlib.crc32(str(r["doc_id"]).encode()), r["text"]) for r in picked), key=lambda r: (r[0], r[1], r[2]))
-    taken: dict[str, list] = {}
-    for lang, _, text in rows:
-        if len(taken.setdefault(lang, [])) < per_class:
-            taken[lang].append((text, lang))
-    return [x for lang in sorted(taken) for x in taken[lang]]
+    start = F.when(F.length("text") > most_chars, F.pmod(mark, F.length("text") - most_chars)).otherwise(0).cast("int") + 1
+    picked = known.where(share <= F.element_at(limit, F.col("lang"))).groupBy("lang", mark.alias("mark")).agg(F.min(F.col("text").substr(start, F.lit(most_chars))).alias("text"))
+    first = picked.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("mark", F.lit(1 << 30)), "mark"))).where(F.col("n") <= per_class)
+    return [(r["text"], r["lang"]) for r in sorted(first.select("lang", "n", "text").collect(), key=lambda r: (r["lang"], r["n"]))]
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:

@@ -424,3 +424,15 @@ def test_language_id_held_out_accuracy(spark):
     assert sum(r["rejected"] for r in rows) <= 0.01 * len(rows)
     assert langid.predict(model, "12 34 !!")[0] == "und" and langid.predict(model, None) == ("und", 0.0, True)
     assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_language_sample_is_bounded_on_repeated_and_unnamed_rows(spark):
+    rows = [(None, f"text number {i} of many", "en") for i in range(3000)] + [(7, "the same row again", "de")] * 2000 + [(8, "x" * 50_000, "fr")]
+    got = langid.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_class=50)
+    sizes = Counter(y for _, y in got)
+    assert 30 <= sizes["en"] <= 50 and sizes["de"] <= 1 and sizes["fr"] == 1 and max(len(t) for t, _ in got) == 20_000
+
+
+def test_cut_keeps_precision():
+    p = np.array([[0.9, 0.1], [0.8, 0.2], [0.7, 0.3], [0.6, 0.4]])
+    assert langid.cut_at(p, np.array([0, 0, 1, 1]), 0.5, 0.99) == 0.8 and langid.cut_at(p, np.array([0, 0, 0, 0]), 0.65, 0.99) == 0.65 and langid.cut_at(p, np.array([1, 1, 1, 1]), 0.5, 0.99) == 0.9
