@@ -436,3 +436,73 @@ def test_language_sample_is_bounded_on_repeated_and_unnamed_rows(spark):
 def test_cut_keeps_precision():
     p = np.array([[0.9, 0.1], [0.8, 0.2], [0.7, 0.3], [0.6, 0.4]])
     assert langid.cut_at(p, np.array([0, 0, 1, 1]), 0.5, 0.99) == 0.8 and langid.cut_at(p, np.array([0, 0, 0, 0]), 0.65, 0.99) == 0.65 and langid.cut_at(p, np.array([1, 1, 1, 1]), 0.5, 0.99) == 0.9
+
+
+def _brute_license(words, template, drift=2):
+    """Best share of a template's words, from every pair of equal word triples, chains by a quadratic search."""
+    grams = {}
+    for p in range(len(template) - 2):
+        grams.setdefault(tuple(template[p : p + 3]), []).append(p)
+    lines = {}
+    for p in range(len(words) - 2):
+        for t in grams.get(tuple(words[p : p + 3]), ()):
+            lines.setdefault(p - t, []).append((p, t))
+    groups = []
+    for d in sorted(lines):
+        here = sorted(lines[d])
+        if groups and d - groups[-1][0] <= drift and here[0][0] - groups[-1][1] <= len(template):
+            groups[-1] = [d, here[-1][0], groups[-1][2] + here]
+        else:
+            groups.append([d, here[-1][0], here])
+    best = 0
+    for _, _, hits in groups:
+        hits = sorted(hits)
+        size = [1] * len(hits)
+        for i, (p, t) in enumerate(hits):
+            size[i] += max((size[j] for j in range(i) if hits[j][0] < p and hits[j][1] < t), default=0)
+        best = max(best, max(size))
+    return best
+
+
+def test_license_labels_equal_brute_force(spark):
+    from quarrystone.llm.license_texts import TEMPLATES
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        words = licenses.license_words(rng.choice(TEMPLATES)[1])
+        begin = rng.randrange(max(1, len(words) // 3))
+        text = [w for w in words[begin : begin + rng.randint(5, len(words))] if rng.random() > 0.04]
+        if i % 5 == 0:
+            rng.shuffle(text)
+        if i % 7 == 0:  # two halves in the wrong order
+            text = text[len(text) // 2 :] + text[: len(text) // 2]
+        rows.append((i, b" ".join([b"some words before it", *text, b"and after"]).decode()))
+    rows += [(1000 + i, rows[3][1]) for i in range(50)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert len(got) == len(rows) and all(got[i]["labels"] == got[3]["labels"] for i in range(1000, 1050))
+    seen = set()
+    for i, text in rows[:120]:
+        w = licenses.license_words(text)
+        sure, never = set(got[i]["base_labels"].split(",")) - {""}, set()
+        for label, t in TEMPLATES:
+            n, chain = len(licenses.license_words(t)), _brute_license(w, licenses.license_words(t))
+            sure |= {label} if chain + 2 >= 0.8 * n and chain == n - 2 else set()
+            never |= {label} if chain * 3 < 0.8 * n else set()
+        labels = set(got[i]["labels"].split(",")) - {""}
+        assert sure <= labels and not labels & (never - {x for x, t in TEMPLATES if x in sure or _brute_license(w, licenses.license_words(t)) * 3 >= 0.8 * len(licenses.license_words(t))} - sure)
+        seen |= labels
+    assert len(seen) >= 8
+
+
+def test_longest_forward_chain_equals_a_plain_search():
+    rng = random.Random(3)
+    for _ in range(200):
+        hits = list({(rng.randrange(12), rng.randrange(9)) for _ in range(rng.randint(0, 14))})
+        size = {}
+        for p, t in sorted(hits):
+            size[p, t] = 1 + max((size[h] for h in size if h[0] < p and h[1] < t), default=0)
+        cover = licenses.forward_cover(hits)
+        longest = max(size.values(), default=0)
+        assert (longest == 0 and cover == 0) or longest + 2 <= cover <= 3 * longest
+    assert licenses.forward_cover([(0, 0), (1, 1), (2, 2)]) == 5 and licenses.forward_cover([(5, 0), (0, 5)]) == 3
