@@ -2,33 +2,38 @@
 
 Fixed masks of 9 or 10 words ignore some of their positions.  The hashes of a mask's
 words are joined between benchmark items and documents, so that a substituted word
-that falls on an ignored position does not hide the overlap.  The two texts are compared
-along each hit's diagonal: the longest stretch is reported that has ``least`` words or the
-whole item and of whose words at least ``similarity`` agree, less unequal words at its ends.
-
-The benchmark is asked in blocks of bounded size; the sorted hashes of a block are
-broadcast, and every block meets all documents.  Words are letters and digits, in lower
-case, so that case and punctuation do not matter.
-
-Defined results: null or empty texts (documents or items) overlap with nothing; items
-shorter than a mask are compared as a whole through their first words only if they
-have at least five words, by an exact hash; repeated rows are reported each; an empty
-table on either side gives no rows.
+that falls on an ignored position does not hide the overlap.  Any 13 words of which two are
+substituted hold a hit.  Items shorter than that are cut in one piece more than substitutions are
+allowed, so that one piece is whole: none of their overlaps is missed.
+
+The two texts are compared along each hit's diagonal: every stretch is reported that has ``least`` words or the
+whole item and of whose words at least ``similarity`` agree, less unequal words at its ends, the longest
+first, if no longer one of the same item lies over its words.  Words are letters and digits, in lower case, so that case and
+punctuation do not matter.
+
+A benchmark of up to ``block_chars`` characters is broadcast as sorted hashes.  A larger one is joined in
+Spark: its seeds with those of the distinct texts, then the texts and items of the hits' diagonals.
+
+Defined results: null or empty texts (documents or items) overlap with nothing; items of fewer than
+``shortest`` words are left out (1 takes all of them); of two stretches of the same length the first counts; very long texts are
+compared whole; repeated rows are reported each; an empty table on either side gives no rows; columns of docs may have any names but found.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, rolling, texts_of, with_text, word_hashes
+from .common import batches, materialise, rolling, texts_of, with_text, word_hashes
 
 #: Fixed masks: 1 counts, 0 is ignored.  Any stretch of 13 words with two substitutions holds a hit of one of them.
 MASKS = ("110100111", "111001011", "1100110101", "1011001011")
-SHORTEST = 5
+SURE = 13
 _PLAIN = bytes(b if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -37,47 +42,47 @@ def plain_words(text: str | None) -> list[bytes]:
 
 
 def masked(h: np.ndarray, no: int) -> np.ndarray:
+    """A mask's hashes; from number len(MASKS) on pieces of 1, 2, ... words."""
+    if no >= len(MASKS):
+        return rolling(h, no - len(MASKS) + 1) + np.uint64(no)
     mask = MASKS[no]
     return rolling(h, len(mask), tuple(i for i, c in enumerate(mask) if c == "1")) + np.uint64(no)
 
 
+def item_seeds(h: np.ndarray, similarity: float) -> list[tuple[int, int, int]]:
+    """(mask, hash, place) of an item: all of every mask, or the pieces of a short one."""
+    if len(h) >= SURE:
+        return [(no, int(x), at) for no in range(len(MASKS)) for at, x in enumerate(masked(h, no))]
+    edges = np.linspace(0, len(h), int((1 - similarity) * len(h) + 1e-9) + 2).round().astype(int)
+    return [(len(MASKS) + b - a - 1, int(masked(h[a:b], len(MASKS) + b - a - 1)[0]), int(a)) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+
+
 class Seeds:
-    """Seed hashes of a block of items, with a bit table that answers most misses."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, word_hashes(plain_words(t))) for i, t in items]
-        self.tables = []
-        for no in range(len(MASKS)):
-            made = [(masked(h, no), n) for n, (_, h) in enumerate(self.items)]
-            keys = np.concatenate([m for m, _ in made] or [np.empty(0, np.uint64)])
-            item = np.concatenate([np.full(len(m), n) for m, n in made] or [np.empty(0, int)])
-            at = np.concatenate([np.arange(len(m)) for m, _ in made] or [np.empty(0, int)])
-            order = np.argsort(keys, kind="stable")
-            self.tables.append(self._table(keys[order], item[order], at[order]))
-        self.short = {n: h for n, (_, h) in enumerate(self.items) if SHORTEST <= len(h) < min(map(len, MASKS))}
-
-    @staticmethod
-    def _table(keys, item, at):
-        bits = np.zeros(1 << 20, bool)
-        bits[(keys >> np.uint64(44)).astype(np.int64)] = True
-        return bits, keys, item, at
-
-    def hits(self, h: np.ndarray):
-        """(item, diagonal, place) of every hit in a document."""
-        found = set()
-        for no, (bits, keys, item, at) in enumerate(self.tables):
-            if len(h) < len(MASKS[no]) or not len(keys):
-                continue
+    """Seed hashes of a bounded benchmark, with a bit table that answers most misses."""
+
+    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, shortest: int = 5):
+        hashed = [(i, word_hashes(plain_words(t))) for i, t in items]
+        self.items = [(i, h) for i, h in hashed if len(h) >= max(1, shortest)]
+        made = [(no, x, n, at) for n, (_, h) in enumerate(self.items) for no, x, at in item_seeds(h, similarity)]
+        self.tables = {}
+        for no in sorted({m[0] for m in made}):
+            mine = sorted((m[1:] for m in made if m[0] == no))
+            keys = np.array([m[0] for m in mine], np.uint64)
+            bits = np.zeros(1 << 20, bool)
+            bits[(keys >> np.uint64(44)).astype(np.int64)] = True
+            self.tables[no] = bits, keys, np.array([m[1] for m in mine]), np.array([m[2] for m in mine])
+
+    def hits(self, h: np.ndarray) -> list[tuple[int, int]]:
+        """(item, diagonal) of every hit in a document."""
+        found = []
+        for no, (bits, keys, item, at) in self.tables.items():
             m = masked(h, no)
-            for p in np.flatnonzero(bits[(m >> np.uint64(44)).astype(np.int64)]).tolist():
-                a, b = np.searchsorted(keys, m[p]), np.searchsorted(keys, m[p], "right")
-                for x in range(a, b):
-                    found.add((int(item[x]), p - int(at[x]), p))
-        for n, own in self.short.items():
-            g = rolling(h, len(own))
-            for p in np.flatnonzero(g == rolling(own, len(own))[0]).tolist() if len(g) else ():
-                found.add((n, p, p))
-        return found
+            near = np.flatnonzero(bits[(m >> np.uint64(44)).astype(np.int64)])
+            low, high = np.searchsorted(keys, m[near]), np.searchsorted(keys, m[near], "right")
+            near, low, n = near[high > low], low[high > low], (high - low)[high > low]
+            row = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.unique(np.stack([item[row], np.repeat(near, n) - at[row]]), axis=1) if len(row) else np.empty((2, 0), np.int64))
+        return [tuple(x) for x in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist()] if found else []
 
 
 def stretch(same: np.ndarray, least: int, similarity: float) -> tuple[int, int, int] | None:
@@ -102,47 +107,98 @@ def stretch(same: np.ndarray, least: int, similarity: float) -> tuple[int, int,
     return start, end, int(sums[end] - sums[start])
 
 
+def on_diagonal(h: np.ndarray, own: np.ndarray, diagonal: int, least: int, similarity: float) -> list[tuple[int, int, int]]:
+    """start, end (in the document), equal words of the stretches on a diagonal: the longest, then those beside it."""
+    low, high = max(0, diagonal), min(len(h), diagonal + len(own))
+    same, out, todo = h[low:high] == own[low - diagonal : high - diagonal], [], [(0, high - low)]
+    while todo:
+        i, j = todo.pop()
+        got = stretch(same[i:j], min(least, len(own)), similarity)
+        if got:
+            start, end, equal = got
+            out.append((low + i + start, low + i + end, equal))
+            todo += [(i, i + start), (i + end, j)]
+    return out
+
+
+def apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of (equal, start, end, diagonal) those that no better one lies over."""
+    kept: list[tuple[int, int, int, int]] = []
+    for row in sorted(found, key=lambda r: (-r[0], r[1], r[2])):
+        at = bisect.bisect_left([k[1] for k in kept], row[1])
+        if (at == 0 or kept[at - 1][2] <= row[1]) and (at == len(kept) or kept[at][1] >= row[2]):
+            kept.insert(at, row)
+    return kept
+
+
 def overlaps(seeds: Seeds, text: str | None, least: int, similarity: float) -> list[tuple]:
-    """(item_id, start, end, item_start, equal words) of the longest verified stretch with each item."""
+    """(item_id, start, end, item_start, equal words) of every verified stretch with each item."""
     h = word_hashes(plain_words(text))
-    best = {}
-    for n, diagonal in sorted({x[:2] for x in seeds.hits(h)}):
-        own = seeds.items[n][1]
-        low, high = max(0, diagonal), min(len(h), diagonal + len(own))
-        found = stretch(h[low:high] == own[low - diagonal : high - diagonal], min(least, len(own)), similarity)
-        if found:
-            start, end, equal = found
-            row = (equal, -start - low, end + low, diagonal)
-            best[n] = max(best.get(n, row), row)
-    return [(seeds.items[n][0], -s, e, -s - d, q) for n, (q, s, e, d) in sorted(best.items())]
+    found: dict[int, list] = {}
+    for n, diagonal in seeds.hits(h):
+        found.setdefault(n, []).extend((q, s, e, diagonal) for s, e, q in on_diagonal(h, seeds.items[n][1], diagonal, least, similarity))
+    return [(seeds.items[n][0], s, e, s - d, q) for n, rows in sorted(found.items()) for q, s, e, d in apart(rows)]
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField(k, T.LongType()) for k in ("item_id", "start", "end", "item_start", "equal")]))
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], least: int = 13, similarity: float = 0.8, block_chars: int = 8_000_000) -> DataFrame:
-    """keep and found (the verified overlaps with items) for each row of docs; the benchmark is asked in blocks of block_chars."""
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], least: int = 13, similarity: float = 0.8, shortest: int = 5, block_chars: int = 8_000_000) -> DataFrame:
+    """keep and found (the verified overlaps with items) for each row of docs."""
     spark = docs.sparkSession
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
     made = with_text(docs, keep)
-    carried = made.columns
-    made = made.withColumn("found", F.array().cast(FOUND))
-    schema = made.schema
-    kind = pa.list_(pa.struct([(k, pa.int64()) for k in FOUND.elementType.names]))
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(Seeds(sorted((r["item_id"], r["text"]) for r in rows)))
-
-        def run(batch: pa.RecordBatch, shared=shared):
-            got = [[dict(zip(FOUND.elementType.names, o, strict=True)) for o in overlaps(shared.value, t, least, similarity)] for t in texts_of(batch)]
-            if blocks > 1:
-                got = [was + now for was, now in zip(batch.column("found").to_pylist(), got, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in carried], pa.array(got, kind)], names=schema.names)
-
-        made = made.mapInArrow(batches(run), schema)
-    return made.select(*keep, "found")
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > block_chars:
+        return _joined(made, items, keep, least, similarity, shortest)
+    shared = spark.sparkContext.broadcast(Seeds(sorted((r["item_id"], r["text"]) for r in items.collect()), similarity, shortest))
+    schema, carried = made.withColumn("found", F.array().cast(FOUND)).schema, made.columns
+
+    def run(batch: pa.RecordBatch):
+        got = [[dict(zip(FOUND.elementType.names, o, strict=True)) for o in overlaps(shared.value, t, least, similarity)] for t in texts_of(batch)]
+        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in carried], pa.array(got, KIND)], names=schema.names)
+
+    return made.mapInArrow(batches(run), schema).select(*keep, "found")
+
+
+KIND = pa.list_(pa.struct([(k, pa.int64()) for k in FOUND.elementType.names]))
+
+
+def _joined(made: DataFrame, items: DataFrame, keep: list[str], least: int, similarity: float, shortest: int) -> DataFrame:
+    """find_overlaps() for a benchmark of any size: seeds are rows, and equal texts are one."""
+    text = F.col("text") if "text" in keep else F.col("doc.text") if "doc" in keep else F.col("_text")
+    key = [F.xxhash64(text).alias("k1"), F.hash(text).alias("k2")]
+    texts = materialise(made.where(F.length(text) > 0).select(*key, text.alias("text")).groupBy("k1", "k2").agg(F.first("text").alias("text")), "texts")
+    items = items.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times")).withColumn("item", F.xxhash64("item_id", "text"))
+
+    def of_items(batch: pa.RecordBatch):
+        rows = [(i, no, x, at) for i, t in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True) for h in [word_hashes(plain_words(t))] if len(h) >= max(1, shortest) for no, x, at in item_seeds(h, similarity)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64)), pa.array([r[3] for r in rows], pa.int32())], names=["item", "no", "x", "at"])
+
+    seeds = materialise(items.mapInArrow(batches(of_items), "item long, no int, x long, at int"), "seeds")
+    numbers = sorted(r["no"] for r in seeds.select("no").distinct().collect())  # a few masks and lengths of pieces
+
+    def of_texts(batch: pa.RecordBatch):
+        for i, t in enumerate(batch.column("text").to_pylist()):
+            h = word_hashes(plain_words(t))
+            for no in numbers:
+                x = masked(h, no)
+                yield pa.RecordBatch.from_arrays([batch.column("k1").take(pa.array([i] * len(x), pa.int32())), batch.column("k2").take(pa.array([i] * len(x), pa.int32())), pa.array(np.full(len(x), no, np.int32)), pa.array(x.view(np.int64)), pa.array(np.arange(len(x), dtype=np.int32))], names=["k1", "k2", "no", "x", "pos"])
+
+    hits = texts.mapInArrow(batches(of_texts), "k1 long, k2 int, no int, x long, pos int").join(seeds, ["no", "x"])
+    hits = hits.select("k1", "k2", "item", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
+    pairs = hits.groupBy("k1", "k2", "item").agg(F.collect_set("diagonal").alias("diagonals")).join(texts, ["k1", "k2"]).join(items.select("item", "item_id", "times", F.col("text").alias("own")), "item")
+    kind = T.StructType([*[T.StructField(k, T.LongType()) for k in ("k1", "times")], T.StructField("k2", T.IntegerType()), *FOUND.elementType.fields])
+
+    def verify(batch: pa.RecordBatch):
+        out = []
+        for r in batch.select(["k1", "k2", "times", "item_id", "diagonals", "text", "own"]).to_pylist():
+            h, own = word_hashes(plain_words(r["text"])), word_hashes(plain_words(r["own"]))
+            rows = apart([(q, s, e, d) for d in r["diagonals"] for s, e, q in on_diagonal(h, own, d, least, similarity)])
+            out += [(r["k1"], r["times"], r["k2"], r["item_id"], s, e, s - d, q) for q, s, e, d in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int32() if f.dataType == T.IntegerType() else pa.int64()) for i, f in enumerate(kind.fields)], names=kind.names)
+
+    found = pairs.mapInArrow(batches(verify), kind).groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_list(F.expr("array_repeat(named_struct('item_id', item_id, 'start', start, 'end', end, 'item_start', item_start, 'equal', equal), int(times))")))).cast(FOUND).alias("found"))
+    return made.select("*", *key).join(found, ["k1", "k2"], "left").select(*keep, F.coalesce("found", F.array().cast(FOUND)).alias("found"))
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -91,6 +91,53 @@ def test_decontamination_finds_planted_and_leaves_clean(spark):
         assert got == want
 
 
+def _brute_overlaps(item, words, least=13, similarity=0.8):
+    """Whether some diagonal has a stretch of least words or the whole item that agrees enough: every diagonal, every stretch."""
+    need = min(least, len(item))
+    for d in range(-len(item) + need, len(words) - need + 1):
+        same = [item[k] == words[k + d] for k in range(len(item)) if 0 <= k + d < len(words)]
+        if any(sum(same[i:j]) >= similarity * (j - i) - 1e-9 for i in range(len(same)) for j in range(i + need, len(same) + 1)):
+            return True
+    return False
+
+
+def test_decontamination_recall_against_brute_force():
+    """Items of any length with up to a fifth of their words substituted; and clean ones."""
+    rng = random.Random(12)
+    missed, sure, total = 0, 0, 0
+    for trial in range(900):
+        n = rng.choice([5, 6, 8, 9, 10, 12, 13, 13, 16, 20, 30])
+        item = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        copy = list(item)
+        for p in rng.sample(range(n), rng.randint(0, n // 5 + (trial % 10 == 0))):
+            copy[p] = f"x{p}"
+        words = [f"y{k}" for k in range(rng.randint(0, 9))] + copy + [f"z{k}" for k in range(rng.randint(0, 9))]
+        found = decontam.overlaps(decontam.Seeds([(1, " ".join(item))]), " ".join(words), 13, 0.8)
+        want = _brute_overlaps(item, words)
+        assert want or not found
+        total += want
+        missed += want and not found
+        sure += want and not found and n <= 13
+    assert sure == 0 and missed <= 0.02 * total and total > 500
+
+
+def test_decontamination_reports_every_copy_and_both_ways_agree(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(4, 40)))) for i in range(40)] + [(40, None), (None, "a b c d e f"), (3, "w1 w2 w3 w4 w5 w6")]
+    docs = [(None, None), (1, ""), (1, ""), (2, " ".join([items[0][1], *words[:9], items[0][1], items[5][1]]))]
+    docs += [(10 + i, " ".join([*rng.choices(words, k=rng.randint(0, 50)), rng.choice(items[:40])[1], *rng.choices(words, k=20)])) for i in range(60)]
+    docs += docs[-3:]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    seen = []
+    for block in (8_000_000, 100):  # broadcast, joined
+        rows = decontam.find_overlaps(frame, bench, ["doc_id"], block_chars=block, shortest=1).collect()
+        assert len(rows) == len(docs)
+        seen.append(sorted((str(r["doc_id"]), sorted(tuple(o) for o in r["found"])) for r in rows))
+    assert seen[0] == seen[1]
+    assert len([o for o in dict(seen[0])["2"] if o[0] == 0]) == 2
+
+
 def test_weak_surroundings_hide_no_overlap():
     """Any 13 words with two substitutions are reported, however weakly the words around them agree."""
     rng = random.Random(17)
