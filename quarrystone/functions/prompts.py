@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, strip
+from .text import col, extract_code_block, strip
 
 
 def fill(template: str, **columns: Column | str) -> Column:
@@ -35,9 +35,9 @@ def block_after(text: Column | str, label: str) -> Column:
 
 
 def explanation_and_code(text: Column | str) -> Column:
-    """struct(explanation, code): what stands before the first fence, and the last fenced block."""
+    """struct(explanation, code): what stands before the first fence, and the code block of an answer."""
     before = F.regexp_extract(col(text), r"(?s)^(.*?)(?:```|\z)", 1)
-    return F.struct(strip(before).alias("explanation"), F.try_element_at(F.regexp_extract_all(col(text), F.lit(r"(?s)```[^\n]*\n(.*?)```"), F.lit(1)), F.lit(-1)).alias("code"))
+    return F.struct(strip(before).alias("explanation"), extract_code_block(text).alias("code"))
 
 
 def literal_json(text: Column | str) -> Column:

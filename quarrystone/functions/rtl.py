@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ast
 import json
+import operator
 import re
 
 import pandas as pd
@@ -11,10 +13,27 @@ from pyspark.sql import functions as F
 
 #: One alternative for each thing that may start: comment, block comment (perhaps open), string (perhaps open).
 _TOKENS = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\])*(?:\"|\Z)", re.S)
-#: System functions without side effects that a candidate may call: fixed values.
-SAFE_SYSTEM = frozenset({"$signed", "$unsigned", "$clog2", "$bits", "$countones", "$onehot", "$onehot0", "$isunknown"})
-#: Constructs that reach outside the module: fixed values.
-FORBIDDEN = [(r"\bbind\b", "bind"), (r"\bimport\b", "import"), (r"\bforce\b|\brelease\b", "force or release"), (r"\binitial\b", "initial block"), (r"\bassert\b|\bassume\b|\bcover\b", "assertion")]
+#: System functions without side effects that a candidate may call.
+SAFE_SYSTEM = frozenset(
+    "$bits $clog2 $countbits $countones $dimensions $high $increment $isunknown $left $low $onehot $onehot0 $right $signed $size $typename $unpacked_dimensions $unsigned".split()
+)
+#: Words that reach outside an ordinary design module, by what is said of them, in the order of the checks.
+FORBIDDEN = {
+    "formal constraint/check statement": frozenset("assert assume cover restrict".split()),
+    "embedded verification or additional design construct": frozenset(
+        "property endproperty sequence endsequence checker endchecker bind interface endinterface program endprogram primitive endprimitive package endpackage config endconfig macromodule".split()
+    ),
+    "cross-hierarchy force/release": frozenset("force release".split()),
+    "root hierarchy access": frozenset(["$root"]),
+}
+#: Built-in gates, and those that drive all their terminals but the last, or their first two.
+GATES = frozenset("and buf bufif0 bufif1 cmos nand nmos nor not notif0 notif1 or pmos pulldown pullup rcmos rnmos rpmos rtran rtranif0 rtranif1 tran tranif0 tranif1 xnor xor".split())
+MANY_OUTPUTS = frozenset(["buf", "not"])
+TWO_WAY = frozenset("rtran rtranif0 rtranif1 tran tranif0 tranif1".split())
+STRENGTHS = frozenset("highz0 highz1 pull0 pull1 small strong0 strong1 supply0 supply1 weak0 weak1".split())
+#: Words after which a statement begins.
+OPENERS = frozenset("begin end else initial final always always_comb always_ff always_latch generate endgenerate fork join do assign endcase".split())
+REFUSED = "candidate security preflight rejected "
 
 
 def mask(source: str | None) -> str | None:
@@ -22,50 +41,234 @@ def mask(source: str | None) -> str | None:
     return None if source is None else _TOKENS.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
 
 
+_LEXEME = re.compile(r"[A-Za-z_][\w$]*|\$[A-Za-z_][\w$]*|\d[\w.']*|'[bodhsBODHS]+[\w?]*|<<<=|>>>=|<<=|>>=|===|!==|==|!=|<=|>=|\+\+|--|[-+*/%&|^]=|&&|\|\||<<|>>|\S")
+_COMPOUND = frozenset("+= -= *= /= %= &= |= ^= <<= >>= <<<= >>>=".split())
+_CLOSES = {")": "(", "]": "[", "}": "{"}
+
+
+class Lexemes:
+    """The code of a source as words and signs, with their places, and for each closing bracket its opening one."""
+
+    def __init__(self, source: str | None):
+        self.code = mask(source or "")
+        found = list(_LEXEME.finditer(self.code))
+        self.at = [m.start() for m in found]
+        self.word = [m[0].lower() for m in found]
+        self.name = [m[0] for m in found]
+        self.opening: dict[int, int] = {}
+        held: list[int] = []
+        for i, w in enumerate(self.word):
+            if w in "([{" and len(w) == 1:
+                held.append(i)
+            elif w in _CLOSES:
+                while held and self.word[held[-1]] != _CLOSES[w]:
+                    held.pop()
+                if held:
+                    self.opening[i] = held.pop()
+        self.closing = {o: c for c, o in self.opening.items()}
+
+    def touching(self, i: int, a: str, b: str) -> bool:
+        return self.word[i] == a and i + 1 < len(self.word) and self.word[i + 1].startswith(b) and self.at[i + 1] == self.at[i] + len(a)
+
+    def is_name(self, i: int) -> bool:
+        return 0 <= i < len(self.word) and (self.name[i][0].isalpha() or self.name[i][0] == "_")
+
+
 def security_reason(source: str | None, reserved: tuple[str, ...] = ()) -> str:
-    """Why a candidate module is refused; empty if it is not."""
-    code = mask(source or "")
-    opens, closes = (len(re.findall(rf"\b{w}\b", code, re.I)) for w in ("module", "endmodule"))
+    """Why a candidate module is refused; empty if it is not.  What is not known to be harmless is refused."""
+    x = Lexemes(source)
+    opens, closes = x.word.count("module"), x.word.count("endmodule")
     if max(opens, closes) > 1 or opens != closes:
-        return f"not exactly one module (module={opens}, endmodule={closes})"
-    if re.search(r"\(\*|\*\)", re.sub(r"@\s*\(\s*\*\s*\)", " ", code)):
-        return "source attribute"
-    if re.search(r"`(?:[A-Za-z_]|`)", code):
-        return "preprocessor directive"
-    for pattern, name in FORBIDDEN:
-        if re.search(pattern, code, re.I):
-            return name
-    unsafe = sorted({x.lower() for x in re.findall(r"\$[A-Za-z_][\w$]*", code)} - SAFE_SYSTEM)
+        return f"candidate security preflight requires exactly one module (found module={opens}, endmodule={closes})"
+    wildcard = {i + k for i in range(len(x.word) - 3) if x.word[i : i + 4] == ["@", "(", "*", ")"] for k in (1, 2)}
+    if any(i not in wildcard and (x.touching(i, "(", "*") or x.touching(i, "*", ")") or x.touching(i, "**", ")")) for i in range(len(x.word))):
+        return REFUSED + "source attribute"
+    if re.search(r"`(?=[A-Za-z_`])", x.code):
+        return REFUSED + "preprocessor directive"
+    words = set(x.word)
+    for said, bad in FORBIDDEN.items():
+        if words & bad:
+            return REFUSED + said
+    if any(w == "." and x.is_name(i - 1) and x.is_name(i + 1) for i, w in enumerate(x.word)):
+        return REFUSED + "hierarchical or cross-scope reference"
+    unsafe = sorted({w for w in words if w[0] == "$" and len(w) > 1} - SAFE_SYSTEM)
     if unsafe:
-        return "system task or function " + ", ".join(unsafe)
-    if any(r and re.search(rf"\b{re.escape(r)}\b", code, re.I) for r in reserved):
-        return "reserved hierarchy"
+        return REFUSED + "system task/function " + ", ".join(unsafe)
+    if any(r and re.search(rf"\b{re.escape(r)}\b", x.code, re.I) for r in reserved):
+        return REFUSED + "reserved verifier hierarchy"
     return ""
 
 
-_PORT = re.compile(r"\b(input|output|inout)\b\s*(?:wire|reg|logic)?\s*(signed)?\s*((?:\[[^\]]*\]\s*)*)([A-Za-z_]\w*(?:\s*,\s*(?!input|output|inout)[A-Za-z_]\w*)*)")
+class Drives:
+    """Finds what a module body does to names that its caller drives."""
+
+    def __init__(self, source: str | None, inputs):
+        self.x, self.inputs = Lexemes(source), {n.lower() for n in inputs if n}
+        w = self.x.word
+        header = next((i for i in range(len(w) - 1) if w[i] == ")" and w[i + 1] == ";"), None)
+        self.body = len(w) if header is None else header + 2
+
+    def target(self, i: int) -> tuple[int, set[str]]:
+        """Where the target that ends before lexeme i begins, and the names it sets: one with its selects, or a concatenation."""
+        x, j = self.x, i - 1
+        while j > 0 and x.word[j] == "]" and j in x.opening:
+            j = x.opening[j] - 1
+        if j >= 0 and x.word[j] == "}" and j in x.opening:
+            begin, names, k = x.opening[j], set(), x.opening[j]
+            while k < j:
+                k = x.closing[k] + 1 if x.word[k] == "[" and k in x.closing else k + 1
+                if x.is_name(k):
+                    names.add(x.word[k])
+            return begin, names
+        return j, {x.word[j]} if x.is_name(j) else set()
+
+    def statement(self, i: int) -> int:
+        """The first lexeme of the statement around i."""
+        j = i
+        while j > 0 and self.x.word[j - 1] not in (";", "begin", "end"):
+            j -= 1
+        return j
+
+    def is_drive(self, i: int) -> bool:
+        """Whether <= at i, whose target begins at start, sets it; else it compares."""
+        x = self.x
+        start, _ = self.target(i)
+        first = self.statement(i)
+        if any(x.word[k] in ("=", "<=") or x.word[k] in _COMPOUND for k in range(first, start)):
+            return False
+        if start == first or x.word[start - 1] in OPENERS:
+            return True
+        before = x.word[start - 1]
+        if before == "*":  # of any event
+            return x.word[start - 2] == "@"
+        if before == ":":  # a label, unless a choice is open
+            return "?" not in x.word[first:start]
+        return before == ")" or before == "]" or x.is_name(start - 1) or x.word[start - 1][0].isdigit()
+
+    def reason(self) -> str:
+        x, w = self.x, self.x.word
+        if not self.inputs:
+            return ""
+        for i in range(self.body, len(w)):
+            if w[i] in ("input", "output", "inout") and self.inputs & set(w[i : self.end(i)]):
+                return REFUSED + "input direction redeclaration"
+        for i in range(len(w)):
+            sets: set[str] = set()
+            if w[i] == "=" or w[i] in _COMPOUND or (w[i] == "<=" and self.is_drive(i)):
+                sets = self.target(i)[1]
+            elif w[i] in ("++", "--"):
+                sets = self.target(i)[1] | ({w[i + 1]} if i + 1 < len(w) else set())
+            elif w[i] in ("alias", "deassign"):
+                sets = set(w[i : self.end(i)])
+            if self.inputs & sets:
+                return REFUSED + "drive of input port"
+        if any(self.inputs & self.gate(i) for i in range(len(w)) if w[i] in GATES and (i == 0 or w[i - 1] in OPENERS or w[i - 1] in (";", ":", ")") or self.line_start(i))):
+            return REFUSED + "primitive drive of input port"
+        return ""
+
+    def line_start(self, i: int) -> bool:
+        begin = self.x.code.rfind("\n", 0, self.x.at[i]) + 1
+        return not self.x.code[begin : self.x.at[i]].strip()
+
+    def end(self, i: int) -> int:
+        while i < len(self.x.word) and self.x.word[i] != ";":
+            i += 1
+        return i
+
+    def gate(self, i: int) -> set[str]:
+        """Names at the driven terminals of the gate instances of a statement."""
+        x, out, k, stop = self.x, set(), i + 1, self.end(i)
+        while k < stop:
+            if x.word[k] != "(" or k not in x.closing:
+                k += 1
+                continue
+            close = x.closing[k]
+            terminals: list[set[str]] = [set()]
+            j = k + 1
+            while j < close:
+                if x.word[j] == ",":
+                    terminals.append(set())
+                elif x.word[j] in "([{" and j in x.closing:
+                    terminals[-1] |= set(x.word[j : x.closing[j]])
+                    j = x.closing[j]
+                else:
+                    terminals[-1].add(x.word[j])
+                j += 1
+            if x.word[k - 1] != "#" and not set().union(*terminals) <= STRENGTHS:
+                kind = x.word[i]
+                for t in terminals[:-1] if kind in MANY_OUTPUTS else terminals[: 2 if kind in TWO_WAY else 1]:
+                    out |= t
+            k = close + 1
+        return out
+
+
+_RANGE = r"\[[^\]]*\]"
+_PORT = re.compile(rf"\b(input|output|inout)\b\s*(?:wire|reg|logic)?\s*(signed)?\s*((?:{_RANGE}\s*)*)([A-Za-z_]\w*(?:\s*,\s*(?!input\b|output\b|inout\b)[A-Za-z_]\w*)*)")
+_PARAMETER = re.compile(r"\b(?:parameter|localparam)\b(?:\s*(?:integer|int|logic|signed|unsigned))*\s*(?:\[[^\]]*\]\s*)?([A-Za-z_]\w*)\s*=\s*([^,;)]+)")
+_ARITHMETIC = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.LShift: operator.lshift, ast.RShift: operator.rshift, ast.Pow: operator.pow}
+
+
+def constant(text: str, values: dict[str, int]) -> int | None:
+    """A constant expression of numbers, known names, arithmetic and $clog2; null if it is none."""
+    text = re.sub(r"\d*'[sS]?([dDhHbBoO])([0-9a-fA-F_]+)", lambda m: str(int(m[2].replace("_", ""), {"d": 10, "h": 16, "b": 2, "o": 8}[m[1].lower()])), text.strip())
+
+    def value(n):
+        if isinstance(n, ast.Expression):
+            return value(n.body)
+        if isinstance(n, ast.Constant) and isinstance(n.value, int):
+            return n.value
+        if isinstance(n, ast.Name):
+            return values[n.id]
+        if isinstance(n, ast.BinOp) and type(n.op) in _ARITHMETIC:
+            a, b = value(n.left), value(n.right)
+            if isinstance(n.op, ast.LShift | ast.Pow) and not 0 <= b <= 64:
+                raise ValueError("too large")
+            return _ARITHMETIC[type(n.op)](a, b)
+        if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.USub):
+            return -value(n.operand)
+        if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id == "clog2" and len(n.args) == 1:
+            return max(0, value(n.args[0]) - 1).bit_length()
+        raise ValueError("no constant")
+
+    try:
+        return value(ast.parse(text.replace("$clog2", "clog2").replace("/", "//"), mode="eval"))
+    except (ValueError, SyntaxError, KeyError, ZeroDivisionError, TypeError, RecursionError):
+        return None
 
 
 def parse_module(source: str | None) -> dict | None:
-    """name and ports (direction, name, width text, signed) of the first module."""
+    """name, parameters (name, value) and ports (direction, name, width text, bits, signed) of the first module; bits is null where no constant."""
     code = mask(source or "")
     head = re.search(r"\bmodule\s+(\w+)(.*?)\bendmodule\b", code, re.S)
     if not head:
         return None
-    ports = [{"direction": m[1], "name": name.strip(), "width": re.sub(r"\s+", "", m[3]), "signed": bool(m[2])} for m in _PORT.finditer(head[2]) for name in m[4].split(",")]
-    return {"name": head[1], "ports": ports}
-
-
-def input_drive_reason(source: str | None) -> str:
-    """The first input port that the module itself assigns; empty without one."""
-    parsed = parse_module(source)
-    if not parsed:
-        return ""
-    code = mask(source or "")
-    for port in parsed["ports"]:
-        if port["direction"] == "input" and re.search(rf"(?:\bassign\s+|^\s*){re.escape(port['name'])}\s*(?:\[[^\]]*\]\s*)?<?=(?!=)", code, re.M):
-            return f"input port {port['name']} is driven"
-    return ""
+    values: dict[str, int] = {}
+    listed = re.match(r"\s*#\s*\((.*?)\)\s*\(", head[2], re.S)
+    named = re.findall(r"([A-Za-z_]\w*)\s*=\s*([^,]+)", listed[1]) if listed else []
+    for name, text in [*named, *_PARAMETER.findall(head[2])]:
+        got = constant(text, values)
+        if got is not None:
+            values[name] = got
+
+    def bits(width: str) -> int | None:
+        total = 1
+        for high, low in re.findall(r"\[([^:\]]*):([^\]]*)\]", width):
+            a, b = constant(high, values), constant(low, values)
+            if a is None or b is None:
+                return None
+            total *= abs(a - b) + 1
+        return total
+
+    ports = [{"direction": m[1], "name": name.strip(), "width": re.sub(r"\s+", "", m[3]), "bits": bits(m[3]), "signed": bool(m[2])} for m in _PORT.finditer(head[2]) for name in m[4].split(",")]
+    return {"name": head[1], "parameters": [{"name": k, "value": v} for k, v in values.items()], "ports": ports}
+
+
+def input_drive_reason(source: str | None, inputs: tuple[str, ...] | None = None) -> str:
+    """Why a module is refused that may drive one of its inputs (those of its interface, if none are given); empty if it is not."""
+    if inputs is None:
+        parsed = parse_module(source)
+        inputs = tuple(p["name"] for p in parsed["ports"] if p["direction"] == "input") if parsed else ()
+    return Drives(source, inputs).reason()
 
 
 def vcd_values(text: str | None) -> list[dict]:
@@ -111,7 +314,7 @@ def driven_input(c: Column | str) -> Column:
 
 
 def module_info(c: Column | str) -> Column:
-    return F.from_json(_series(lambda x: json.dumps(parse_module(x)) if parse_module(x) else None, "string")(c), "name string, ports array<struct<direction:string,name:string,width:string,signed:boolean>>")
+    return F.from_json(_series(lambda x: json.dumps(parse_module(x)) if parse_module(x) else None, "string")(c), "name string, parameters array<struct<name:string,value:long>>, ports array<struct<direction:string,name:string,width:string,bits:long,signed:boolean>>")
 
 
 def canonical_sha256(json_text: Column | str) -> Column:

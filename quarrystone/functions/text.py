@@ -108,8 +108,12 @@ def complete_modules(text: Column | str) -> Column:
 
 
 def extract_code_block(text: Column | str) -> Column:
-    """The last fenced block of any language, null without one."""
-    return F.try_element_at(F.regexp_extract_all(col(text), F.lit(r"(?s)```[^\n]*\n(.*?)```"), F.lit(1)), F.lit(-1))
+    """The first block that is tagged as hardware code, else the first untagged one if it speaks of a module; null without one."""
+    block = lambda tag: F.regexp_extract(col(text), rf"(?is)```{tag}\s*\n(.*?)```", 1)
+    has = lambda tag: F.regexp_like(col(text), F.lit(rf"(?is)```{tag}\s*\n.*?```"))
+    bare = block("")
+    end = lambda c: F.rtrim(c, F.lit(" \t\n\x0b\f\r"))
+    return F.when(has("(?:systemverilog|verilog|sv)"), end(block("(?:systemverilog|verilog|sv)"))).when(has("") & F.contains(bare, F.lit("module")), end(bare))
 
 
 def clean_description(text: Column | str) -> Column:
@@ -119,9 +123,44 @@ def clean_description(text: Column | str) -> Column:
 
 
 def extract_header(text: Column | str) -> Column:
-    """From the last word 'module' to the first ');' after it; null without one."""
-    found = F.regexp_extract(col(text), r"(?s).*(\bmodule\b.*?\);)", 1)
-    return F.when(F.length(found) > 0, found)
+    """From the last word 'module' to the first ');' after it; null without one of them."""
+    last = F.regexp_extract(col(text), r"(?s).*(\bmodule\b.*)", 1)
+    found = F.regexp_extract(last, r"(?s)^(.*?\);)", 1)
+    return F.when(F.length(found) > 0, strip(found))
+
+
+def full_module(code: Column | str, descriptions: list[Column | str]) -> Column:
+    """The header of the first description that has one with a name, and the body below it; null if the body ends no module."""
+    body = strip(F.coalesce(col(code), F.lit("")))
+    headers = [extract_header(clean_description(F.coalesce(col(d), F.lit("")))) for d in descriptions]
+    named = F.coalesce(*[F.when(F.regexp_like(h, F.lit(r"\bmodule\s+\w")), h) for h in headers])
+    return F.when(F.contains(body, F.lit("endmodule")), strip(F.concat(named, F.lit("\n"), body)))
+
+
+def seed_to_eval_id(seed_id: Column | str, prefix: str = "verilogeval:") -> Column:
+    """The id of a seed's evaluation item: without its mark of a reference."""
+    return F.concat(F.lit(prefix), F.regexp_replace(col(seed_id), "_ref$", ""))
+
+
+#: Warnings of a linter that count as errors.
+GATING_WARNINGS = "WIDTH WIDTHCONCAT WIDTHTRUNC WIDTHEXPAND IMPLICIT UNDRIVEN SELRANGE CASEINCOMPLETE CASEOVERLAP LATCH BLKSEQ PINMISSING MULTIDRIVEN".split()
+
+
+def gating_diagnostics(log: Column | str) -> Column:
+    """The lines of a linter's log that are errors or gating warnings, in order."""
+    return F.filter(F.transform(lines(log), strip), lambda x: F.startswith(x, F.lit("%Error")) | F.regexp_extract(x, r"^%Warning-([A-Z0-9]+)", 1).isin(GATING_WARNINGS))
+
+
+def source_group(model: Column | str) -> Column:
+    """base or adapter; anything else raises."""
+    value = F.lower(strip(col(model).cast("string")))
+    bad = F.raise_error(F.concat(F.lit("unsupported source_model "), F.coalesce(value, F.lit("null"))))
+    return F.when(value == "base", "base").when((value == "tuned") | F.startswith(value, F.lit("adapter")), "adapter").otherwise(bad)
+
+
+def timing(sequential: Column | str) -> Column:
+    """sequential or combinational; a null flag raises."""
+    return F.when(col(sequential), "sequential").when(~col(sequential), "combinational").otherwise(F.raise_error(F.lit("taxonomy.sequential is no boolean")))
 
 
 def trim_edge_lines(text: Column | str) -> tuple[Column, Column]:
@@ -191,8 +230,8 @@ def classify_response(protocol_error: Column, refusal: Column, incomplete: Colum
 def taxonomy(rtl: Column | str) -> Column:
     """code_lines, sequential, has_case and has_state of a module."""
     code = F.filter(lines(rtl), lambda x: (F.length(strip(x)) > 0) & ~F.startswith(strip(x), F.lit("//")))
-    has = lambda p: F.regexp_like(col(rtl), F.lit(p))
-    return F.struct(F.size(code).alias("code_lines"), has(r"\b(posedge|negedge|always_ff)\b").alias("sequential"), has(r"\bcase[xz]?\b").alias("has_case"), has(r"(?i)\bstate\b|next_state").alias("has_state"))
+    sequential = F.regexp_like(col(rtl), F.lit(r"always\s*@\s*\(\s*posedge"))
+    return F.struct(F.size(code).alias("code_lines"), sequential.alias("sequential"), F.contains(col(rtl), F.lit("case")).alias("has_case"), F.contains(F.lower(col(rtl)), F.lit("state")).alias("has_state"))
 
 
 def first_new_line(broken: Column | str, golden: Column | str) -> Column:
@@ -235,27 +274,41 @@ def sanitize(text: Column | str, identifiers: list[tuple[str, str]] = (), author
         out = F.regexp_replace(out, pattern, "[REDACTED_CREDENTIAL]")
     for pattern in REMOTES:
         out = F.regexp_replace(out, pattern, "[REDACTED_GIT_REMOTE]")
-    return F.regexp_replace(out, EMAIL, "[REDACTED_EMAIL]")
+    return F.when(F.contains(out, F.lit("@")), F.regexp_replace(out, EMAIL, "[REDACTED_EMAIL]")).otherwise(out)
 
 
-#: Detectors of a payload scan: name and pattern.  Fixed values.
+#: Detectors of a payload scan: label and pattern.  Fixed values.
 DETECTORS = {
     "provider API key": r"(?<![A-Za-z0-9])sk-[A-Za-z0-9_-]{20,}",
-    "cloud access key": r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])",
-    "forge token": r"(?<![A-Za-z0-9])(?:gh[opsu]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,})",
-    "chat token": r"(?<![A-Za-z0-9])xox[baprs]-[A-Za-z0-9-]{20,}",
+    "NVIDIA API key": r"(?i)(?<![A-Za-z0-9])nvapi-[A-Za-z0-9_-]{16,}",
+    "AWS access key": r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])",
+    "GitHub token": r"(?<![A-Za-z0-9])(?:gh[opsu]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,})",
+    "Slack token": r"(?<![A-Za-z0-9])xox[baprs]-[A-Za-z0-9-]{20,}",
+    "Google API key": r"(?<![A-Za-z0-9])AIza[0-9A-Za-z_-]{30,}",
     "private key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
     "credential-bearing URL": r"(?i)https?://[^/\s:@]+:[^/\s@]+@",
+    "authorization credential": r"(?i)\bAuthorization\s*[:=]\s*(?:Bearer|Basic)\s+[A-Za-z0-9._~+/=-]{12,}",
     "bearer credential": r"(?i)(?<![A-Za-z0-9])Bearer[ \t]+[A-Za-z0-9._~+/=-]{20,}",
-    "POSIX home path": r"(?<![A-Za-z0-9])/(?:Users|home)/[A-Za-z0-9._-]+/[^\s\"'<>]+",
+    "POSIX home path": r"(?<![A-Za-z0-9])/(?:Users|home)/[A-Za-z0-9._-]+/[^\s\x00\"'<>]+",
+    "Windows home path": r"(?i)(?<![A-Za-z0-9])[A-Z]:\\Users\\[A-Za-z0-9._-]+\\[^\s\x00\"'<>]+",
+    "ephemeral/workspace absolute path": r"(?<![A-Za-z0-9])/(?:private/(?:tmp|var/folders)|var/folders|Volumes/[A-Za-z0-9._-]+|root|(?:github/)?workspace|workspaces|runner/_work|mnt/(?:data|workspace))/[A-Za-z0-9._~-][^\s\x00\"'<>]*",
     "literal IPv4 endpoint": r"(?<![0-9.])(?!0\.0\.0\.0(?:[^0-9.]|$))(?!127\.0\.0\.1(?:[^0-9.]|$))(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])",
     "e-mail address": EMAIL,
 }
+#: A text without any of a detector's strings (in lower case) holds no match: a cheap test before its pattern.
+NEEDED = {"provider API key": ["sk-"], "NVIDIA API key": ["nvapi-"], "AWS access key": ["akia", "asia"], "GitHub token": ["gh", "github_pat_"], "Slack token": ["xox"], "Google API key": ["aiza"], "private key": ["-----begin "], "credential-bearing URL": ["://"], "authorization credential": ["authorization"], "bearer credential": ["bearer"], "POSIX home path": ["/users/", "/home/"], "Windows home path": [":\\users\\"], "e-mail address": ["@"]}
 
 
 def findings(text: Column | str, detectors: dict[str, str] = DETECTORS) -> Column:
     """Names of the detectors that match."""
-    return F.filter(F.array(*[F.when(F.regexp_like(col(text), F.lit(p)), F.lit(n)) for n, p in detectors.items()]), lambda x: x.isNotNull())
+    low = F.lower(col(text))
+
+    def hit(name: str, pattern: str) -> Column:
+        found = F.regexp_like(col(text), F.lit(pattern))
+        needed = [F.contains(low, F.lit(x)) for x in NEEDED.get(name, ())]
+        return reduce(lambda a, b: a | b, needed) & found if needed else found
+
+    return F.filter(F.array(*[F.when(hit(n, p), F.lit(n)) for n, p in detectors.items()]), lambda x: x.isNotNull())
 
 
 def glob_pattern(glob: str) -> str:

@@ -92,3 +92,40 @@ def stubs(samples: DataFrame, key: str, text: str) -> DataFrame:
 def arm_grid(cases: DataFrame, arms: list[str]) -> DataFrame:
     """Every case with every arm."""
     return cases.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
+
+
+def resolve(selected: DataFrame, sources: DataFrame, key: str, digest: str) -> DataFrame:
+    """The source row of every selected key, in the selection's columns and the source's; a key that is missing, or whose digest is another, raises when it is read."""
+    right = sources.select(F.col(key), F.col(digest).alias("_found"), *[c for c in sources.columns if c not in selected.columns])
+    joined = selected.join(right, key, "left")
+    wrong = F.when(F.col("_found").isNull(), "selected record is missing: ").when(~F.col("_found").eqNullSafe(F.col(digest)), "selected record drifted: ")
+    checked = F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.col(key).cast("string"))).cast(selected.schema[key].dataType)).otherwise(F.col(key))
+    return joined.withColumn(key, checked).drop("_found")
+
+
+def allowlist_split(records: DataFrame, key: str, allowed: DataFrame, eval_id) -> DataFrame:
+    """records with eval_id and kept, whether the allowlist has that id; an empty list, a blank key and a repeated key are errors."""
+    from .gates import duplicate_keys, require_empty
+
+    if not allowed.limit(1).count():
+        raise ValueError("the allowlist is empty")
+    require_empty(records.where(F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) == ""), "records without a key")
+    require_empty(duplicate_keys(records, [key]), "repeated records")
+    known = allowed.select(F.col(allowed.columns[0]).alias("eval_id")).distinct().withColumn("_in", F.lit(True))
+    return records.withColumn("eval_id", eval_id).join(known, "eval_id", "left").withColumn("kept", F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def match_rate(rows: DataFrame, found, least: float) -> DataFrame:
+    """n, n_found, share and passed: whether at least a share of rows is matched; no row is no match."""
+    got = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(found).alias("n_found"))
+    return got.withColumn("share", F.coalesce(F.try_divide(F.col("n_found").cast("double"), F.col("n")), F.lit(0.0))).withColumn("passed", (F.col("n") > 0) & (F.col("share") >= least))
+
+
+def aliases(records: DataFrame, exact: list[str], shared: list[str], anonymous: str, secret: str = "public-design") -> DataFrame:
+    """old, new: the anonymous id of a record for each value of its exact columns; an alias by digest for each value, and its form with or without _ref, of the shared columns."""
+    own = records.where(F.length(anonymous) > 0).select(F.explode(F.array(*exact)).alias("old"), F.col(anonymous).alias("new"), F.lit(0).alias("rank"))
+    ids = records.where(F.length(anonymous) > 0).select(F.explode(F.array(*shared)).alias("id")).where("length(id) > 0").distinct()
+    alias = F.concat(F.lit("design_"), F.substring(F.sha2(F.concat(F.lit(secret + "\0"), F.col("id")), 256), 1, 16))
+    other = F.when(F.col("id").endswith("_ref"), F.regexp_replace("id", "_ref$", "")).otherwise(F.concat("id", F.lit("_ref")))
+    more = ids.select(F.explode(F.array("id", other)).alias("old"), alias.alias("new"), F.lit(1).alias("rank"), "id").drop("id")
+    return own.unionByName(more).where("length(old) > 0").groupBy("old").agg(F.min(F.struct("rank", "new"))["new"].alias("new"))

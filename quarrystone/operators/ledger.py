@@ -29,14 +29,72 @@ def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 
 def with_verdicts(responses: DataFrame, verdicts: DataFrame, key: str, override: list[str] = ()) -> DataFrame:
-    """Every response with its verdict's columns; of the overridden ones the verdict's value holds if there is a verdict."""
+    """Every response with its verdict's columns.
+
+    Of columns that both sides have, the response's value holds; of the overridden ones the verdict's, if there
+    is a verdict.  Two verdicts of one key raise when they are read.
+    """
     own = [c for c in verdicts.columns if c != key]
-    right = verdicts.select(key, F.lit(True).alias("_judged"), *[F.col(c).alias(f"_v_{c}") for c in own])
-    joined = responses.join(right, key, "left")
-    for c in own:
-        value = F.when(F.col("_judged"), F.col(f"_v_{c}")).otherwise(F.col(c)) if c in responses.columns and c in override else F.col(f"_v_{c}")
-        joined = joined.withColumn(c, value).drop(f"_v_{c}")
-    return joined.drop("_judged")
+    once = verdicts.groupBy(key).agg(F.count(F.lit(1)).alias("_judged"), *[F.first(c).alias(f"_v_{c}") for c in own])
+    one = F.when(F.col("_judged") > 1, F.raise_error(F.concat(F.lit("several verdicts of "), F.col(key).cast("string"))).cast("long")).otherwise(F.col("_judged"))
+    joined = responses.join(once.withColumn("_judged", one), key, "left")
+    made = []
+    for c in responses.columns:
+        verdict_wins = c in own and c in override
+        made.append(F.when(F.col("_judged") > 0, F.col(f"_v_{c}")).otherwise(F.col(c)).alias(c) if verdict_wins else F.col(c))
+    return joined.where("_judged IS NULL OR _judged > 0").select(*made, *[F.col(f"_v_{c}").alias(c) for c in own if c not in responses.columns])
+
+
+def scoped(rows: DataFrame, mode: str | None = None, allowed: DataFrame | None = None, case: str = "case_id", research_only: bool = False) -> DataFrame:
+    """Rows of a mode, of an allowlist of cases, and of research: filters that come before any validation."""
+    out = rows
+    if mode is not None:
+        out = out.where(F.trim("mode") == mode)
+    if allowed is not None:
+        out = out.join(allowed.select(case).distinct(), case, "left_semi")
+    if research_only:
+        out = out.where(~F.coalesce("nonresearch", F.lit(False)))
+    return out
+
+
+def feedback_cohort(cases: DataFrame, responses: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The cases whose accepted first candidate compiled and was refuted with a witness: case_id, call_id, previous_candidate, witness, in order of case.
+
+    responses: call_id, case_id, mode, arm, model_outcome, parsed_rtl; verdicts: call_id, compiled, formal_status, witness; one row each.
+    """
+    first = responses.where((F.col("mode") == "main") & (F.col("arm") == "spec0_loc0") & (F.col("model_outcome") == "accepted_pending_compile"))
+    first = first.withColumn("previous_candidate", F.trim(F.coalesce("parsed_rtl", F.lit("")))).where("previous_candidate <> ''")
+    refuted = verdicts.where(F.coalesce("compiled", F.lit(False)) & (F.upper("formal_status") == "COUNTEREXAMPLE") & (F.length("witness") > 0))
+    return first.join(refuted.select("call_id", "witness"), "call_id").join(cases.select("case_id").distinct(), "case_id", "left_semi").select("case_id", "call_id", "previous_candidate", "witness").orderBy("case_id", "call_id")
+
+
+def validation_jobs(responses: DataFrame, verdicts: DataFrame, cases: DataFrame, shift_sources: DataFrame, canonical: DataFrame) -> DataFrame:
+    """A job for each accepted response without a verdict, with the source that its mode takes the golden text from.
+
+    cases: case_id, source_case_id, validation_seed_id, source_sha256; shift_sources: source_case_id, golden_rtl, record_sha256;
+    canonical: source_case_id, golden_path, golden_sha256.  A response without a case, a candidate whose digest is
+    another, a source that is missing or whose digest is another: each raises when it is read.
+    """
+    open_ = pending(responses.where(F.col("model_outcome") == "accepted_pending_compile"), verdicts, "call_id")
+    rows = open_.join(cases.select("case_id", "source_case_id", "validation_seed_id", "source_sha256"), "case_id", "left")
+    rows = rows.join(shift_sources.select("source_case_id", "golden_rtl", "record_sha256"), "source_case_id", "left")
+    rows = rows.join(canonical.select("source_case_id", "golden_path", F.col("golden_sha256").alias("_canonical")), "source_case_id", "left")
+    shift = F.col("mode") == "shift"
+    golden = F.when(shift, F.concat(F.rtrim("golden_rtl"), F.lit("\n")))
+    rules = [
+        (F.col("source_case_id").isNull() | F.col("validation_seed_id").isNull(), "validation mapping is missing"),
+        (F.coalesce(F.col("parsed_rtl"), F.lit("")) == "", "candidate is empty"),
+        (~F.col("parsed_rtl_sha256").eqNullSafe(F.sha2("parsed_rtl", 256)), "candidate SHA drift"),
+        (shift & ~F.coalesce(F.col("source_sha256") == F.col("record_sha256"), F.lit(False)), "shift validation source SHA drift"),
+        (shift & (F.coalesce(F.trim("golden_rtl"), F.lit("")) == ""), "shift validation golden is missing"),
+        (~shift & F.col("golden_path").isNull(), "canonical main-case mapping is missing"),
+    ]
+    wrong = None
+    for rule, message in rules:
+        wrong = F.when(rule, message) if wrong is None else wrong.when(rule, message)
+    rows = rows.withColumn("_wrong", wrong)
+    checked = F.when(F.col("_wrong").isNotNull(), F.raise_error(F.concat_ws(" ", "_wrong", F.lit("for call"), "call_id"))).otherwise(F.col("call_id"))
+    return rows.select(checked.alias("call_id"), F.col("validation_seed_id").alias("seed_id"), F.sha2("parsed_rtl", 256).alias("candidate_sha256"), golden.alias("golden_rtl"), F.when(~shift, F.col("golden_path")).alias("golden_path"), F.when(shift, F.sha2(golden, 256)).otherwise(F.col("_canonical")).alias("golden_sha256"))
 
 
 def orphans(verdicts: DataFrame, responses: DataFrame, key: str) -> DataFrame:
@@ -52,8 +110,14 @@ def attempts(events: DataFrame, key: str, *order: str) -> DataFrame:
     return events.withColumn("attempt_number", F.row_number().over(W.partitionBy(key).orderBy(*order)))
 
 
+def next_attempts(jobs: DataFrame, log: DataFrame, key: str) -> DataFrame:
+    """jobs with the number of the attempt to be written before it is made: one more than the log has of the key."""
+    made = log.groupBy(key).agg(F.count(F.lit(1)).alias("_made"))
+    return jobs.join(made, key, "left").withColumn("attempt_number", F.coalesce("_made", F.lit(0)) + 1).drop("_made")
+
+
 def outcome(outcome_col: Column, compiled: Column, formal: Column, simulation: Column, replayed: Column, inconclusive_ok: Column) -> Column:
-    """struct(success, resolved, evidence, violation) of one response with its verdict.
+    """struct(success, resolved, evidence, violation) of one response with its verdict; the names of evidence and statuses are fixed values.
 
     What contradicts itself has a violation and no success; nothing is imputed.
     """

@@ -96,3 +96,42 @@ def drop_arm(rows: DataFrame, unusable: str, most: float = 0.2) -> DataFrame:
     """dropped: whether more than the share of rows is unusable; with the share."""
     share = S.rate(F.sum(F.col(unusable).cast("long")), F.count(F.lit(1)))
     return rows.agg(share.alias("share")).withColumn("dropped", F.coalesce(F.col("share") > most, F.lit(False)))
+
+
+def specialization(runs: DataFrame, expected: list[tuple[str, str]], buckets: list[str], base: tuple[str, str], tuned: tuple[str, str], contrast: str) -> tuple[DataFrame, DataFrame]:
+    """Counts of the newest run of each expected (model, signal) by bucket, and the contrast of two of them in one bucket.
+
+    runs: model, version, signal, id, bucket, recovered.  Arms that are missing, repeated ids, other rosters or buckets
+    between arms, and unknown buckets are errors.
+    """
+    from .gates import duplicate_keys, inconsistent_attribute, one_sided_keys, require_empty
+    from .ledger import latest
+
+    spark = runs.sparkSession
+    arms = spark.createDataFrame(expected, "model string, signal string")
+    slots = latest(runs.select("model", "version", "signal").distinct(), ["model", "signal"], "version")
+    require_empty(one_sided_keys(slots.join(arms, ["model", "signal"], "left_semi"), arms, ["model", "signal"]), "arms are missing")
+    rows = runs.join(F.broadcast(slots.join(arms, ["model", "signal"], "left_semi")), ["model", "version", "signal"], "left_semi")
+    require_empty(rows.where(F.col("id").isNull() | ~F.col("bucket").isin(buckets) | F.col("recovered").isNull()), "invalid records")
+    require_empty(duplicate_keys(rows, ["model", "signal", "id"]), "ids are not unique")
+    require_empty(inconsistent_attribute(rows, "id", "bucket"), "buckets differ between arms")
+    require_empty(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n_arms")).where(F.col("n_arms") != len(expected)), "rosters differ between arms")
+    counts = rows.groupBy("model", "signal", "bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("recovered").alias("n_recovered")).withColumn("rate", F.col("n_recovered") / F.col("n"))
+    side = lambda arm: F.max(F.when((F.col("model") == arm[0]) & (F.col("signal") == arm[1]), F.col("recovered")))
+    pairs = rows.where(F.col("bucket") == contrast).groupBy("id").agg(side(base).alias("a"), side(tuned).alias("b"))
+    n = lambda c: F.count_if(c)
+    got = pairs.agg(F.count(F.lit(1)).alias("n"), n("a").alias("base_recovered"), n("b").alias("tuned_recovered"), n(F.col("a") & ~F.col("b")).alias("base_only"), n(~F.col("a") & F.col("b")).alias("tuned_only"))
+    return counts, got.withColumn("p_exact", S.mcnemar(F.col("tuned_only"), F.col("base_only")))
+
+
+def marked_limit(rows: DataFrame, order: list[str], limit: int | None) -> DataFrame:
+    """The first rows in order, marked as a diagnostic part of a run if some are left out: the columns of rows and diagnostic."""
+    if limit is None:
+        return rows.withColumn("diagnostic", F.lit(False))
+    more = rows.orderBy(*order).limit(limit + 1).count() > limit
+    return rows.orderBy(*order).limit(limit).withColumn("diagnostic", F.lit(more))
+
+
+def half_width(low: Column, high: Column) -> Column:
+    """Half an interval, as it is printed behind its estimate."""
+    return (high - low) / 2

@@ -38,8 +38,8 @@ def ledger_duplicates(table, spark, sf):
     return G.duplicate_keys(_events(table, "click"), ["user_id"])
 
 
-def _judged(table):
-    responses = L.deduplicate(_events(table, "click"), ["user_id"], ["ts", "event_id"], "first").select("user_id", F.col("value").alias("score"), "event_type")
+def _judged(table, least=0):
+    responses = L.deduplicate(_events(table, "click").where(F.col("value") >= least), ["user_id"], ["ts", "event_id"], "first").select("user_id", F.col("value").alias("score"), "event_type")
     verdicts = L.deduplicate(_events(table, "purchase"), ["user_id"], ["ts", "event_id"], "last").select("user_id", F.col("value").alias("verdict_value"), "event_type")
     return responses, verdicts
 
@@ -50,15 +50,15 @@ def responses_with_verdicts(table, spark, sf):
     return L.with_verdicts(*_judged(table), "user_id", override=["event_type"])
 
 
-@query(f"SELECT v.user_id, v.value AS verdict_value, v.event_type FROM {_LAST.format('purchase')} v WHERE v.user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click')")
+@query(f"SELECT v.user_id, v.value AS verdict_value, v.event_type FROM {_LAST.format('purchase')} v WHERE v.user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click' AND value >= 40)")
 def orphan_verdicts(table, spark, sf):
-    responses, verdicts = _judged(table)
+    responses, verdicts = _judged(table, 40)
     return L.orphans(verdicts, responses, "user_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def pending_jobs(table, spark, sf):
-    return L.pending(table("customer").select("c_custkey"), table("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return L.pending(table("customer").select("c_custkey"), table("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS attempt_number FROM events")

@@ -84,9 +84,9 @@ def prompts_built(table, spark, sf):
     return table("part").select("p_partkey", F.md5(body).alias("prompt_md5"))
 
 
-@query("""SELECT doc_id, max(n) AS n_rows FROM (SELECT doc_id, count(*) AS n FROM documents GROUP BY 1) GROUP BY 1 HAVING max(n) > 1""")
+@query("""SELECT md5(text) AS text_md5, count(*) AS n_rows FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def unique_documents(table, spark, sf):
-    return G.duplicate_keys(table("documents"), ["doc_id"])
+    return G.duplicate_keys(table("documents").select(F.md5("text").alias("text_md5")), ["text_md5"])
 
 
 @query("""SELECT l_orderkey, (SELECT avg(x) FROM (SELECT unnest(list_value(CASE WHEN l_orderkey % 2 = 0 THEN m END, v)) AS x)) AS derived FROM

@@ -16,15 +16,15 @@ from .registry import query
 _COLLAPSE = r"lower(trim(regexp_replace({}, '[ \t\n\x0B\f\r]+', ' ', 'g')))"
 
 
-def _prints(df):
-    """Fingerprints of prose: the whole normalised text, and each of its lines of 40 characters or more."""
-    lines = F.filter(F.transform(T.lines("text"), T.collapse), lambda x: F.length(x) >= 40)
+def _prints(df, least: int = 1):
+    """Fingerprints of prose: the whole normalised text, and each of its lines of at least so many characters."""
+    lines = F.filter(F.transform(T.lines("text"), T.collapse), lambda x: F.length(x) >= least)
     return df.withColumn("texts", F.array(F.sha1(T.collapse("text")))).withColumn("lines", F.transform(lines, F.sha1))
 
 
 _REASONS = rf"""
-WITH n AS (SELECT doc_id, {_COLLAPSE.format('text')} AS t, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_COLLAPSE.format('x')}), lambda x: length(x) >= 40) AS l FROM documents),
-b AS (SELECT item_id, {_COLLAPSE.format('text')} AS t, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_COLLAPSE.format('x')}), lambda x: length(x) >= 40) AS l FROM benchmark),
+WITH n AS (SELECT doc_id, {_COLLAPSE.format('text')} AS t, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_COLLAPSE.format('x')}), lambda x: length(x) >= 1) AS l FROM documents),
+b AS (SELECT item_id, {_COLLAPSE.format('text')} AS t, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_COLLAPSE.format('x')}), lambda x: length(x) >= 1) AS l FROM benchmark),
 r AS (SELECT DISTINCT doc_id, 'text_hash' AS reason FROM n WHERE t IN (SELECT t FROM b)
  UNION SELECT DISTINCT doc_id, 'line_hash' FROM (SELECT doc_id, unnest(l) AS x FROM n) WHERE x IN (SELECT unnest(l) FROM b))"""
 
@@ -53,7 +53,7 @@ JOIN (SELECT item_id, {_COLLAPSE.format('text')} AS t FROM benchmark) b ON conta
 def containment(table, spark, sf):
     items = table("benchmark").select("item_id", T.collapse("text").alias("item"))
     docs = table("documents").select("doc_id", T.collapse("text").alias("t"))
-    hits = G.leaked_identifiers(docs, "t", items, "item")
+    hits = G.leaked_identifiers(docs, "t", items, "item", ["doc_id"])
     return hits.join(items, hits["leaked"] == items["item"]).select("doc_id", "item_id")
 
 
@@ -112,20 +112,51 @@ def page_fields(table, spark, sf):
     )
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[\w.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED_EMAIL]', 'g'), '\bsrc\d+\b', '[X]', 'g')) AS clean_md5 FROM documents""")
+def _sql_sanitize(text: str) -> str:
+    """The redaction chain in SQL; what stands before a match is put back where its pattern looks behind."""
+    steps = [(r"(?:file://)?/(?:Users|home)/[^/\s\"''<>]+(?:/[^\s\"''<>]*)?", "<LOCAL_PATH>"), (r"(?:file://)?/(?:private|tmp|var/folders)(?:/[^\s\"''<>]*)?", "<TEMP_PATH>"), (r"(?i)[A-Z]:\\Users\\[^\s\"''<>]+", "<LOCAL_PATH>")]
+    steps += [(c, "[REDACTED_CREDENTIAL]") for c in (r"\bsk-[A-Za-z0-9_-]{16,}\b", r"(?i)\bnvapi-[A-Za-z0-9_-]{12,}\b", r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{12,}\b", "-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----")]
+    steps += [(c, "[REDACTED_GIT_REMOTE]") for c in (r"(?i)(?:git@|ssh://git@)[^\s\"''<>]+", r"(?i)https?://(?:[^/@\s]+@)?(?:github|gitlab|bitbucket)\.[^/\s]+/[^\s\"''<>]+\.git\b")]
+    for pattern, by in [*steps, (r"[\w.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]")]:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return text
+
+
+@query(rf"""SELECT doc_id, md5(regexp_replace({_sql_sanitize('text')}, '\bsrc\d+\b', '[X]', 'g')) AS clean_md5 FROM documents""")
 def redaction(table, spark, sf):
     return table("documents").select("doc_id", F.md5(F.regexp_replace(T.sanitize("text"), r"\bsrc\d+\b", "[X]")).alias("clean_md5"))
 
 
-@query(r"""SELECT detector, count(*) AS n_docs FROM (
-SELECT 'e-mail address' AS detector FROM documents WHERE regexp_matches(text, '[\w.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')
-UNION ALL SELECT 'literal IPv4 endpoint' FROM documents WHERE regexp_matches(text, '(^|[^0-9.])([0-9]{1,3}\.){3}[0-9]{1,3}($|[^0-9.])')
-UNION ALL SELECT 'cloud access key' FROM documents WHERE regexp_matches(text, '(^|[^A-Z0-9])(AKIA|ASIA)[A-Z0-9]{16}($|[^A-Z0-9])')
-UNION ALL SELECT 'provider API key' FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9])sk-[A-Za-z0-9_-]{20,}')
-UNION ALL SELECT 'private key' FROM documents WHERE regexp_matches(text, '-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----')) GROUP BY detector""")
+#: For each detector a pattern without looking around.
+_SQL_DETECTORS = {
+    "provider API key": r"(^|[^A-Za-z0-9])sk-[A-Za-z0-9_-]{20,}",
+    "NVIDIA API key": r"(?i)(^|[^A-Za-z0-9])nvapi-[A-Za-z0-9_-]{16,}",
+    "AWS access key": r"(^|[^A-Z0-9])(AKIA|ASIA)[A-Z0-9]{16}($|[^A-Z0-9])",
+    "GitHub token": r"(^|[^A-Za-z0-9])(gh[opsu]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,})",
+    "Slack token": r"(^|[^A-Za-z0-9])xox[baprs]-[A-Za-z0-9-]{20,}",
+    "Google API key": r"(^|[^A-Za-z0-9])AIza[0-9A-Za-z_-]{30,}",
+    "private key": r"-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    "credential-bearing URL": r"(?i)https?://[^/\s:@]+:[^/\s@]+@",
+    "authorization credential": r"(?i)\bAuthorization\s*[:=]\s*(Bearer|Basic)\s+[A-Za-z0-9._~+/=-]{12,}",
+    "bearer credential": r"(?i)(^|[^A-Za-z0-9])Bearer[ \t]+[A-Za-z0-9._~+/=-]{20,}",
+    "POSIX home path": r"(^|[^A-Za-z0-9])/(Users|home)/[A-Za-z0-9._-]+/[^\s\"''<>]+",
+    "Windows home path": r"(?i)(^|[^A-Za-z0-9])[A-Z]:\\Users\\[A-Za-z0-9._-]+\\[^\s\"''<>]+",
+    "ephemeral/workspace absolute path": r"(^|[^A-Za-z0-9])/(private/(tmp|var/folders)|var/folders|Volumes/[A-Za-z0-9._-]+|root|(github/)?workspace|workspaces|runner/_work|mnt/(data|workspace))/[A-Za-z0-9._~-][^\s\"''<>]*",
+    "literal IPv4 endpoint": r"(^|[^0-9.])([0-9]{1,3}\.){3}[0-9]{1,3}($|[^0-9.])",
+    "e-mail address": r"[\w.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+}
+_PLANTED = ["sk-" + "a" * 24, "nvapi-" + "b" * 20, "ghp_" + "c" * 32, "xoxb-" + "d" * 24, "AIza" + "e" * 32, "https://u:p@h/", "Authorization: Basic " + "f" * 16, "Bearer " + "g" * 24, "/home/u/x", "C:\\Users\\u\\x", "/workspace/x1", "-----BEGIN RSA PRIVATE KEY-----"]
+
+
+def _sql_list(items: list[str]) -> str:
+    return "[" + ", ".join("'" + x + "'" for x in items) + "]"
+
+
+@query(f"WITH d AS (SELECT text || ' ' || ({_sql_list(_PLANTED)})[1 + doc_id % {len(_PLANTED)}] AS text FROM documents) SELECT detector, count(*) AS n_docs FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS detector FROM d WHERE regexp_matches(text, '{p}')" for name, p in _SQL_DETECTORS.items()) + ") GROUP BY detector")
 def payload_scan(table, spark, sf):
-    names = ["e-mail address", "literal IPv4 endpoint", "cloud access key", "provider API key", "private key"]
-    found = table("documents").select(F.explode(T.findings("text", {k: T.DETECTORS[k] for k in names})).alias("detector"))
+    """Every detector over all texts, each with one planted finding."""
+    planted = F.get(F.array(*[F.lit(x) for x in _PLANTED]), (F.col("doc_id") % len(_PLANTED)).cast("int"))
+    found = table("documents").select(F.explode(T.findings(F.concat("text", F.lit(" "), planted))).alias("detector"))
     return found.groupBy("detector").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -142,27 +173,51 @@ def line_statistics(table, spark, sf):
     return got.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.coalesce(F.get("l", F.lit(0)), F.lit("")).alias("first_line"), F.array_max(F.transform("l", lambda x: F.length(x))).cast("long").alias("longest"))
 
 
-@query("""SELECT doc_id, true AS restored, NULL::VARCHAR AS error FROM documents WHERE length(text) < 20000""")
+@query(r"""SELECT doc_id, md5(rtrim(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)^The ', 'A ', 'g') || chr(10) || 'last line' || chr(10), chr(10)) || chr(10)) AS restored_md5, NULL::VARCHAR AS error FROM documents""")
 def diff_round_trip(table, spark, sf):
-    """A diff from each document to a changed version of it restores that version."""
-    new = F.concat(F.regexp_replace("text", r"(?m)^The ", "A "), F.lit("\nlast line\n"))
-    docs = table("documents").where("length(text) < 20000").select("doc_id", T.canonical_newlines("text").alias("old"), T.canonical_newlines(new).alias("new"))
+    """A diff from each document to a changed version of it, applied to the document."""
+    old = T.canonical_newlines("text")
+    new = F.concat(F.regexp_replace(old, r"(?m)^The ", "A "), F.lit("\nlast line\n"))
+    docs = table("documents").select("doc_id", old.alias("old"), new.alias("new"))
     got = docs.withColumn("d", diffs.apply_diff("old", diffs.make_diff("old", "new")))
-    return got.select("doc_id", (F.rtrim("d.text") == F.rtrim("new")).alias("restored"), "d.error")
+    return got.select("doc_id", F.md5("d.text").alias("restored_md5"), "d.error")
 
 
 def _module():
-    return F.concat(F.lit("module m"), F.col("p_partkey").cast("string"), F.lit("(input clk, input rst_n, input [W-1:0] a, output reg [W-1:0] q);\nwire [3:0] t;\nalways @(posedge clk) begin\nif (!rst_n)\nq <= 4'd"), F.col("p_size").cast("string"), F.lit(";\nelse\nq <= a + t;\nend\nassign t = a == q ? a : q;\nendmodule\n"))
+    """A module for each part; what it holds follows the part's number and size."""
+    when = lambda c, text: F.when(c, text).otherwise("")
+    size = F.col("p_size")
+    return F.concat(
+        F.lit("module m"), F.col("p_partkey").cast("string"), F.lit("(input clk, input rst_n, input [W-1:0] a, output reg [W-1:0] q);\n"),
+        when(size % 2 == 0, "wire [3:0] t;\n"), F.lit("always @(posedge clk) begin\n"), when(size % 3 == 0, "if (!rst_n)\n"),
+        F.lit("q <= 4'd"), size.cast("string"), F.lit(";\nend\n"),
+        when(size % 5 == 0, "assign t = a == q ? a : q;\n"), when(size % 7 == 0, "sub u(.x(a));\n"), when(size % 4 == 0, "assign t = a + q;\n"), when(size % 6 == 0, "assign t = a && q;\n"), when(size % 10 == 0, "assign t = a << 2;\n"),
+        when(size % 11 == 0, "initial $display(1);\n"), when(size % 13 == 0, "assign a = q;\n"), F.lit("endmodule\n"),
+    )
 
 
-@query("""SELECT mutation, n FROM (VALUES ('drop_endmodule'), ('delete_semicolon'), ('drop_one_end'), ('width_mismatch'), ('rename_declaration'), ('blocking_in_seq')) v(mutation), (SELECT count(*) AS n FROM part)""")
+_SQL_WHEN = lambda n, text: f"CASE WHEN p_size % {n} = 0 THEN '{text}' ELSE '' END"
+_SQL_MODULE = "replace('module m' || p_partkey || '(input clk, input rst_n, input [W-1:0] a, output reg [W-1:0] q);~' || " + " || ".join([
+    _SQL_WHEN(2, "wire [3:0] t;~"), "'always @(posedge clk) begin~'", _SQL_WHEN(3, "if (!rst_n)~"), "'q <= 4''d' || p_size || ';~end~'", _SQL_WHEN(5, "assign t = a == q ? a : q;~"), _SQL_WHEN(7, "sub u(.x(a));~"),
+    _SQL_WHEN(4, "assign t = a + q;~"), _SQL_WHEN(6, "assign t = a && q;~"), _SQL_WHEN(10, "assign t = a << 2;~"), _SQL_WHEN(11, "initial $display(1);~"), _SQL_WHEN(13, "assign a = q;~")]) + " || 'endmodule~', '~', chr(10))"
+#: What a source must hold for each mutation to change it.
+_SQL_HOLDS = {
+    "drop_endmodule": r"(?m)^endmodule$", "delete_semicolon": r"(?m);$", "drop_one_end": r"(?m)^end$", "corrupt_pin": r"\.\w+\(", "width_mismatch": r"\[W-1:0\]", "rename_declaration": r"wire \[3:0\] t;", "blocking_in_seq": r"(?m)^q <= ",
+    "op_swap": r" \+ | & ", "flip_reset_polarity": r"!rst_n", "flip_equality": r" == | != ", "swap_logical": r" && ", "shift_swap": r" << ", "swap_ternary": r"\?", "off_by_one_literal": r"4'd\d",
+}
+
+
+@query(f"WITH s AS (SELECT {_SQL_MODULE} AS source FROM part) " + " UNION ALL ".join(f"SELECT '{k}' AS mutation, count(*) AS n FROM s WHERE regexp_matches(source, '{v.replace(chr(39), chr(39) * 2)}')" for k, v in _SQL_HOLDS.items()))
 def mutation_counts(table, spark, sf):
-    """Mutations of a module made from each part, as training seeds are expanded."""
+    """Mutations of both registries of a module made from each part, as training seeds are expanded."""
     seeds = table("part").select("p_partkey", _module().alias("source"))
-    return expand(seeds, "source").groupBy("mutation").agg(F.count(F.lit(1)).alias("n"))
+    both = expand(seeds, "source").unionByName(expand(seeds, "source", "semantic"))
+    return both.where("broken <> source").groupBy("mutation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT 'm' || p_partkey AS name, 4::BIGINT AS n_ports, '' AS refused, '' AS driven, true AS balanced FROM part""")
+@query(rf"""WITH s AS (SELECT p_size, {_SQL_MODULE} AS source FROM part) SELECT regexp_extract(source, 'module (\w+)', 1) AS name, len(regexp_extract_all(source, '\b(input|output|inout)\b'))::BIGINT AS n_ports,
+CASE WHEN contains(source, '$display') THEN 'candidate security preflight rejected system task/function $display' ELSE '' END AS refused, CASE WHEN contains(source, 'assign a =') THEN 'candidate security preflight rejected drive of input port' ELSE '' END AS driven,
+len(regexp_extract_all(source, '\bbegin\b')) = len(regexp_extract_all(source, '\bend\b')) AS balanced FROM s""")
 def module_checks(table, spark, sf):
     seeds = table("part").select(_module().alias("source")).withColumn("info", R.module_info("source"))
     return seeds.select("info.name", F.size("info.ports").cast("long").alias("n_ports"), R.refused("source").alias("refused"), R.driven_input("source").alias("driven"), T.brackets_balanced("source").alias("balanced"))
@@ -174,6 +229,6 @@ def quota_cohort(table, spark, sf):
     return quota_sample(docs, "task", "doc_id", ["lang", "size"], {("en", "long"): 10, ("en", "short"): 10, ("es", "short"): 5, ("fr", "long"): 5})
 
 
-@query()
+@query("""SELECT event_id, sha256('{"k":' || (props::JSON ->> 'k') || '}') AS props_sha256 FROM events""")
 def canonical_digests(table, spark, sf):
     return table("events").select("event_id", R.canonical_sha256("props").alias("props_sha256"))

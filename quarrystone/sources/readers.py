@@ -65,12 +65,47 @@ def keys_from_path(df: DataFrame, pattern: str, names: list[str]) -> DataFrame:
 
 
 def whole_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a log whose last one may be torn: a line that its file does not end is dropped.
+    """Lines of logs whose last one may be torn: a line that its file does not end is dropped.
 
-    The file is split on line ends, so that only the last piece, empty in a whole file, goes.
+    Files are read in splits, as lines.  Only the last bytes of each file are read apart, to see whether it ends a line.
     """
-    text = spark.read.text(path, wholetext=True).select(F.split("value", "\n", -1).alias("p"))
-    return text.select(F.explode(F.slice("p", F.lit(1), F.greatest(F.lit(0), F.size("p") - 1))).alias("value")).where("trim(value) <> ''")
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+    torn = []
+    for status in fs.listStatus(where) if fs.exists(where) and fs.getFileStatus(where).isDirectory() else fs.globStatus(where):
+        if status.isFile() and status.getLen() and not status.getPath().getName().startswith(("_", ".")):
+            stream = fs.open(status.getPath())
+            try:
+                stream.seek(status.getLen() - 1)
+                if stream.read() != 10:
+                    torn.append(status.getPath().toUri().getPath())
+            finally:
+                stream.close()
+    if torn:
+        at = F.regexp_replace("f", "^[a-z]+:/+", "/")
+        last = rows.where(at.isin(torn)).groupBy("f").agg(F.max(F.struct("b", "i")).alias("x")).select("f", "x.b", "x.i")
+        rows = rows.join(F.broadcast(last), ["f", "b", "i"], "left_anti")  # a row for each torn file
+    return rows.where(F.trim("value") != "").select("value")
+
+
+def iter_split(spark: SparkSession, paths: list[str], keys: dict[str, str] | None = None) -> DataFrame:
+    """Rows of the first of several tables that exists, Parquet or JSON lines by its name, with columns renamed by keys."""
+    df = first_available(spark, paths, lambda p: spark.read.json(p) if p.rstrip("/").endswith((".json", ".jsonl")) else spark.read.parquet(p))
+    for old, new in (keys or {}).items():
+        df = df.withColumnRenamed(old, new)
+    return df
+
+
+def ledger_records(spark: SparkSession, source, schema: StructType | str | None = None) -> DataFrame:
+    """A ledger given as a table, a path, or rows."""
+    if isinstance(source, DataFrame):
+        return source
+    if isinstance(source, str):
+        reader = spark.read.schema(schema) if schema is not None else spark.read
+        return reader.option("mode", "FAILFAST").json(source)
+    return spark.createDataFrame(list(source), schema)
 
 
 def parse_trace(text):

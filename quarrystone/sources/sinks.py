@@ -17,36 +17,49 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def _put(spark: SparkSession, beside: str, path: str) -> None:
+    """Gives what was written beside its place the name.  An earlier holder is moved away first, deleted last, and moved back if the renaming fails."""
+    fs, target = _fs(spark, path)
+    new, old = _fs(spark, beside)[1], None
+    if fs.exists(target):
+        old = _fs(spark, f"{path.rstrip('/')}.{uuid.uuid4().hex}.old")[1]
+        if not fs.rename(target, old):
+            raise OSError(f"could not move {path} away")
+    if not fs.rename(new, target):
+        if old is not None:
+            fs.rename(old, target)
+        raise OSError(f"could not rename to {path}")
+    if old is not None:
+        fs.delete(old, True)
+
+
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """JSON lines in a folder that appears under its name only when it is whole: written beside it, then renamed."""
+    """JSON lines in a folder that appears under its name only when it is whole: written beside it, then renamed; an earlier one is kept until then."""
     spark = df.sparkSession
     fs, target = _fs(spark, path)
     if fs.exists(target) and not overwrite:
         raise FileExistsError(path)
     beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
     df.write.json(beside)
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(_fs(spark, beside)[1], target):
-        raise OSError(f"could not rename to {path}")
+    _put(spark, beside, path)
 
 
 def write_document(spark: SparkSession, value: dict, path: str) -> None:
     """One JSON document with sorted keys, through a temporary name."""
-    fs, target = _fs(spark, path)
-    beside = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")[1]
-    out = fs.create(beside, True)
+    beside = f"{path}.{uuid.uuid4().hex}.tmp"
+    fs, where = _fs(spark, beside)
+    out = fs.create(where, True)
     out.write(bytearray((json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False) + "\n").encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(beside, target)
+    _put(spark, beside, path)
 
 
 def put_run(df: DataFrame, root: str, keys: tuple[str, ...] = ("model", "version", "signal"), overwrite: bool = False) -> None:
     """Rows into their partitions; one that exists is an error unless overwriting is asked for."""
     spark = df.sparkSession
-    slots = df.select(*keys).distinct().collect()  # a run writes few slots
+    slots = df.select(*keys).distinct().limit(100_001).collect()
+    if len(slots) > 100_000:
+        raise ValueError("a run writes few slots")
     for slot in slots:
         fs, where = _fs(spark, "/".join([root, *[f"{k}={slot[k]}" for k in keys]]))
         if fs.exists(where) and not overwrite:

@@ -104,8 +104,10 @@ def test_extraction(spark):
     assert one(spark, T.extract_answer("t"), t="<think>```verilog\nmodule x; endmodule```</think><answer>module y; endmodule") == "module y; endmodule\n"
     assert one(spark, T.extract_answer("t"), t="<think>module x; endmodule</think>none") is None
     assert one(spark, T.complete_modules("t"), t="module a; endmodule text module b; endmodule module c;") == "module a; endmodule\n\nmodule b; endmodule"
-    assert one(spark, T.extract_code_block("t"), t="```\na\n```x```py\nb\n```") == "b\n"
+    assert one(spark, T.extract_code_block("t"), t="```\na\n```x```SV \nmodule b;\n```") == "module b;"
+    assert one(spark, T.extract_code_block("t"), t="```py\na\n```\n") is None and one(spark, T.extract_code_block("t"), t="```\nmodule c\n```") == "module c"
     assert one(spark, T.extract_header("t"), t="module a (x); body module b (y); z);") == "module b (y);"
+    assert one(spark, T.extract_header("t"), t="module a (x); and a module without one") is None
     assert one(spark, T.module_families("t"), t="module Top; endmodule module FIFO_x; endmodule") == ["fifo_x"]
     assert one(spark, T.taxonomy("t"), t=MODULE).asDict() == {"code_lines": 11, "sequential": True, "has_case": False, "has_state": False}
     assert one(spark, T.first_new_line("b", "g"), b="a\nx = 1;\nb", g="a\n  b") == "x = 1;"
@@ -134,13 +136,17 @@ def test_rtl_functions():
     masked = R.mask('a // "x\nb "s//t" /* c\nd */ e')
     assert masked.split() == ["a", "b", "e"] and len(masked) == len('a // "x\nb "s//t" /* c\nd */ e') and masked.count("\n") == 2
     assert R.security_reason(MODULE) == ""
-    assert R.security_reason(MODULE + MODULE).startswith("not exactly one module")
-    assert R.security_reason(MODULE.replace("assign", "`define X\nassign")) == "preprocessor directive"
-    assert R.security_reason(MODULE.replace("assign", "$display(1); assign")) == "system task or function $display"
+    refused = lambda new, old="assign": R.security_reason(MODULE.replace(old, new)).removeprefix(R.REFUSED)
+    assert "exactly one module" in R.security_reason(MODULE + MODULE)
+    assert refused("`define X\nassign") == "preprocessor directive" and refused("$display(1); assign") == "system task/function $display"
+    assert refused("assign x = u.secret; assign") == "hierarchical or cross-scope reference" and refused("property p; endproperty assign").startswith("embedded verification")
     assert R.security_reason(MODULE.replace("always @(posedge clk)", "always @(*)")) == ""
-    assert R.security_reason(MODULE.replace("wire", "(* keep *) wire")) == "source attribute"
-    assert R.security_reason(MODULE, ("u",)) == "reserved hierarchy"
-    assert R.input_drive_reason(MODULE) == "" and R.input_drive_reason(MODULE.replace("assign t", "assign d")) == "input port d is driven"
+    assert refused("(* keep *) wire", "wire") == "source attribute" and R.security_reason(MODULE, ("u",)) == R.REFUSED + "reserved verifier hierarchy"
+    drives = lambda new, old="assign t =": R.input_drive_reason(MODULE.replace(old, new)).removeprefix(R.REFUSED)
+    assert R.input_drive_reason(MODULE) == "" and R.input_drive_reason("") == "" and drives("assign d =") == "drive of input port"
+    assert drives("assign {d, q} =") == drives("always @* d++; assign t =") == drives("always @* {t, {d[1], q}} <= 2; assign t =") == drives("always @* case (q) 1: d <= q; endcase assign t =") == "drive of input port"
+    assert drives("buf(d, q); assign t =") == "primitive drive of input port" and drives("assign t = d <= 3 ? d : d <= 2; assign q =") == ""
+    assert R.parse_module("module m #(parameter W = 8)(input [W-1:0] a, output [$clog2(W)-1:0] b); endmodule")["ports"][1]["bits"] == 3
     assert [p["name"] for p in R.parse_module(MODULE)["ports"]] == ["clk", "rst_n", "d", "q"]
     dump = "$var wire 1 ! clk $end\n$var reg 4 \" q $end\n#0\n0!\nb0x \"\n#5\n1!\n"
     assert R.vcd_values(dump) == [{"signal": "q", "value": "0x", "time": 0}, {"signal": "clk", "value": "1", "time": 5}] or {v["signal"]: v["value"] for v in R.vcd_values(dump)} == {"clk": "1", "q": "0x"}
@@ -168,9 +174,12 @@ def test_diffs():
 
 
 def test_mutations(spark):
-    names = [o.name for o in M.LINT if M.mutate(MODULE, o, 0)] + [o.name for o in M.SEMANTIC if M.mutate(MODULE, o, 0)]
+    names = [n for r in ("lint", "semantic") for n in M.REGISTRIES[r] if M.mutate(MODULE, r, n, 0)]
     assert names == ["drop_endmodule", "delete_semicolon", "drop_one_end", "corrupt_pin", "width_mismatch", "rename_declaration", "blocking_in_seq", "op_swap", "flip_reset_polarity", "flip_equality", "swap_ternary", "off_by_one_literal"]
-    assert "endmodule" not in M.mutate(MODULE, M.LINT[0], 0) and "if (rst_n)" in M.mutate(MODULE, M.SEMANTIC[1], 0)
+    assert "endmodule" not in M.mutate(MODULE, "lint", "drop_endmodule", 0) and "if (rst_n)" in M.mutate(MODULE, "semantic", "flip_reset_polarity", 0)
+    assert M.mutate("q <= a ? b[1] : 4'd2;", "semantic", "swap_ternary", 0) == "q <= a ? 4'd2 : b[1];"
+    assert all(M.mutate("x = 4'hz + 4'd0;", "semantic", "off_by_one_literal", i) == "x = 4'hz + 4'd1;" for i in range(6))
+    assert M.mutate("// a + b\n", "semantic", "op_swap", 0) is None and M.mutate("a = b + c; // d & e", "semantic", "op_swap", 1) == "a = b - c; // d & e"
     seeds = spark.createDataFrame([("a", MODULE), ("b", "nothing"), ("c", None)], "seed_id string, source string")
     got = M.expand(seeds, "source", "lint", 3).collect()
     assert {r["seed_id"] for r in got} == {"a"} and len(got) == 7
@@ -184,6 +193,9 @@ def test_ledger_policies_and_gates(spark):
         L.deduplicate(df, ["k"], ["t"], "error")
     other = spark.createDataFrame([(2, None)], "k int, v string")
     assert {(r["k"], r["v"]) for r in L.with_verdicts(df.where("t = 1"), other, "k", ["v"]).collect()} == {(1, "a"), (2, None)}
+    assert {(r["k"], r["v"]) for r in L.with_verdicts(df.where("t = 1"), other, "k").collect()} == {(1, "a"), (2, "c")}
+    with pytest.raises(Exception, match="several verdicts"):
+        L.with_verdicts(df, df, "k").collect()
     with pytest.raises(Exception, match="bad row"):
         G.guard(df, F.col("t") < 2, "bad row").collect()
     assert G.out_of_domain(df, "v", ["a", "b"]).count() == 1
@@ -208,6 +220,28 @@ def test_datagen(spark):
     assert [tuple(x) for x in m] == [("user", "q"), ("assistant", "a")]
 
 
+def test_quota_sample_equals_a_plain_version(spark):
+    rng = random.Random(5)
+    rows = [(f"t{rng.randrange(60)}", i, rng.choice("ab"), rng.choice("xy")) for i in range(150)]
+    quotas = {("a", "x"): 12, ("a", "y"): 3, ("b", "x"): 20, ("b", "y"): 0}
+    order = lambda *k: hashlib.sha256("\0".join(["quarrystone-order-9", *map(str, k)]).encode()).hexdigest()
+    supply = {q: len({t for t, _, *s in rows if tuple(s) == q}) for q in quotas}
+    taken, want = set(), set()
+    for q in sorted((q for q in quotas if quotas[q]), key=lambda q: (supply[q] / quotas[q], supply[q], q)):
+        slot = 0
+        for stage, fits in (("requested_stratum", lambda s: s == q), ("same_first_other_second", lambda s: s[0] == q[0] and s != q), ("global_remaining", lambda s: True)):
+            pool = {}
+            for t, i, *s in rows:
+                if t not in taken and fits(tuple(s)):
+                    pool.setdefault(t, []).append(i)
+            for t in sorted(pool, key=lambda t: (order(t), t))[: quotas[q] - slot]:
+                taken.add(t)
+                want.add((t, min(pool[t], key=order), list(quotas).index(q), stage, slot))
+                slot += 1
+    got = quota_sample(spark.createDataFrame(rows, "task string, record long, p string, q string"), "task", "record", ["p", "q"], quotas, 9).collect()
+    assert {tuple(r) for r in got} == want
+
+
 def test_quota_sample_is_unique_and_falls_back(spark):
     rows = [(f"t{i}", f"r{i}{s}", s, "seq" if i % 5 == 0 else "comb") for i in range(40) for s in ("base", "adapter") if s == "base" or i < 12]
     df = spark.createDataFrame(rows, "task string, record string, source string, timing string")
@@ -307,7 +341,7 @@ def test_prompts_and_small_functions(spark):
 
     assert one(spark, Pr.block_after("t", "Broken RTL"), t="x\nBroken RTL (a.sv):\n```verilog\nmodule m;\n```\nend") == "module m;\n"
     assert one(spark, Pr.block_after("t", "Other"), t="none") is None
-    assert one(spark, Pr.explanation_and_code("t"), t="why\n```\na\n```\n```\nb\n```").asDict() == {"explanation": "why", "code": "b\n"}
+    assert one(spark, Pr.explanation_and_code("t"), t="why\n```\na\n```\n```sv\nb\n```").asDict() == {"explanation": "why", "code": "b"}
     assert json.loads(one(spark, Pr.literal_json("t"), t="{'sequential': False, 'n': None}")) == {"sequential": False, "n": None}
     assert R.single_deletion("keep this clause, and that", "keep and that") == "this clause, " and R.single_deletion("abc", "xbc") is None
     assert one(spark, Rp.lookup_k(F.create_map(F.lit("5"), F.lit(0.5)), 5)) == 0.5
@@ -330,3 +364,65 @@ def test_first_available_and_progress(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         readers.first_available(spark, [str(tmp_path / "no")], read)
     assert ProgressLog().rows == []
+
+
+def test_gates_that_raise_and_cohorts(spark):
+    rows = spark.createDataFrame([(1, "s", "a", 1.0), (1, "t", "b", 0.0)], "c int, k string, arm string, v double")
+    with pytest.raises(G.GateError, match="several clusters"):
+        P.pivot_arms(rows, "c", "k", "arm", "v", ["a", "b"], "intersection")
+    other = spark.createDataFrame([(1, "s", "z", 1.0)], "c int, k string, arm string, v double")
+    with pytest.raises(G.GateError, match="without any"):
+        P.pivot_arms(other, "c", "k", "arm", "v", ["a", "b"])
+    with pytest.raises(ValueError, match="no clusters"):
+        P.cluster_bootstrap(rows.where("c = 2"), "k", "v", 10)
+    names = spark.createDataFrame([("a", "/x"), ("b", "/x/y/"), ("c", "/xy"), ("d", "/x")], "n string, p string")
+    assert {tuple(r) for r in G.shared_paths(names, "n", "p").collect()} == {("a", "b"), ("d", "b"), ("a", "d"), ("d", "a")}
+    expected = rows.select("c").distinct()
+    with pytest.raises(G.GateError, match="repeated"):
+        G.roster_complete(rows, expected, ["c"])
+    G.roster_complete(expected, expected, ["c"])
+    texts = spark.createDataFrame([(1, "say abcd now"), (2, None), (3, "")], "i int, t string")
+    tokens = spark.createDataFrame([("abc",), ("bcd",), ("",), (None,), ("xyz",)], "w string")
+    for block in (100, 1):
+        assert {tuple(r) for r in G.leaked_identifiers(texts, "t", tokens, "w", ["i"], block).collect()} == {(1, "abc"), (1, "bcd")}
+    good = [(str(i), k, "PROVED" if k == "golden_vs_golden" else "COUNTEREXAMPLE" if i else "UNSUPPORTED", True, f"{k}{i}", "p", True) for i in range(5) for k in ("golden_vs_golden", "golden_vs_mutant")]
+    ddl = "case_id string, comparison string, status string, replayed boolean, run_id string, protocol string, qualified boolean"
+    assert G.calibration(spark.createDataFrame(good, ddl), 5, ["0"]).first()["passed"]
+    assert not G.calibration(spark.createDataFrame(good[:-1], ddl), 5, ["0"]).first()["passed"] and not G.calibration(spark.createDataFrame(good, ddl), 5).first()["passed"]
+    full = [(a, str(i), None, None, "PROVED", "PASS", True) for a in ("m", "n") for i in range(4)]
+    kind = "arm string, case_id string, mode string, nonresearch boolean, formal_status string, simulation_status string, replayed boolean"
+    assert all(r["passed"] for r in G.primary_coverage(spark.createDataFrame(full, kind), ["m", "n"], 4, 3).collect())
+    assert not any(r["passed"] for r in G.primary_coverage(spark.createDataFrame([*full, ("m", "9", None, None, None, None, None)], kind), ["m", "n"], 4, 3).collect())
+    with pytest.raises(Exception, match="record drifted"):
+        D.resolve(spark.createDataFrame([(1, "x")], "k int, d string"), spark.createDataFrame([(1, "y", 2)], "k int, d string, z int"), "k", "d").collect()
+    with pytest.raises(ValueError, match="empty"):
+        D.allowlist_split(rows, "c", rows.select("k").where("k = 'q'"), F.col("k"))
+
+
+def test_json_walks(spark):
+    from quarrystone.functions import json_tree as J
+
+    clean = J.Sanitizer({"case7": "main_1"}, ("Ann",))
+    assert clean.value({"Authors": ["x"], "a": ["case7 by ann", 3, None], "git-url": "x"}) == {"Authors": "[ANONYMIZED]", "a": ["main_1 by [ANONYMIZED]", 3, None], "git-url": "[REDACTED_GIT_REMOTE]"}
+    with pytest.raises(ValueError, match="collapse"):
+        clean.value({"case7": 1, "main_1": 2})
+    with pytest.raises(ValueError, match="3 characters"):
+        J.Sanitizer(people=("x",))
+    assert J.private_places({"rows": [{"Raw Response": 1, "ok": {"thinking": 2}}]}) == ["$.rows[0].Raw Response", "$.rows[0].ok.thinking"]
+    assert list(J.strings({"a": ["x", {"b": "y"}], "c": "z"})) == ["x", "y", "z"]
+    assert one(spark, J.sanitized("t"), t="{bad") ["error"] == "no JSON" and one(spark, J.private_fields("t"), t="no") == ["$"]
+
+
+def test_sinks_keep_the_earlier_version_and_torn_logs(spark, tmp_path):
+    df = spark.range(3)
+    for n in (3, 2):
+        sinks.write_jsonl(df.limit(n), str(tmp_path / "t"), overwrite=True)
+        sinks.write_document(spark, {"n": n}, str(tmp_path / "d.json"))
+    assert spark.read.json(str(tmp_path / "t")).count() == 2 and json.loads((tmp_path / "d.json").read_text()) == {"n": 2}
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["d.json", "t"]
+    log = tmp_path / "log"
+    log.mkdir()
+    (log / "a").write_text("one\ntwo\nthr")
+    (log / "b").write_text("four\n\n")
+    (log / "c").write_text("")
+    assert sorted(r["value"] for r in readers.whole_lines(spark, str(log)).collect()) == ["four", "one", "two"]
