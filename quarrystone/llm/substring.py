@@ -1,22 +1,27 @@
 """Operator 3, substring dedup: seed and extend.
 
 Words are runs of anything but white space.  Seeds are winnowed anchors: of each nine
-consecutive hashes of five words the least, so that any repeat of 13 words holds an
-anchor of both its copies.  First the corpus is joined on anchors: those that lie in
-one document alone are dropped, with all the windows they stand for.  Around the
-others the match is extended both ways: a window of 13 words belongs to its anchor,
-and its whole word sequence (as a 64-bit hash) is matched with the smallest document
-that has it.  Neighbouring matched windows make a maximal repeat, of 13 words or more;
-its words go from every document but the smallest that starts it.
-
-Both joins go through ``exchange``: packed questions of blocks of documents to parts
-of the key space, so that neither a passage that a third of all documents share nor a
-large group of copies lands in one task, and no pairs of documents are ever made.
+consecutive hashes of five words the least (the first of equal ones), so that every 13 words have one
+anchor, which their words alone determine.  First the corpus is joined on anchors: those that
+lie in one document alone are dropped.  Around the others the match is extended: all places
+of an anchor start as one class, and word by word to the left and to the right each class parts into those
+whose next words are equal, up to the eight words on either side that 13 words with the anchor can
+reach.  Where a class to the left and one to the right together hold 13 words, its smallest
+document keeps them.  Matches that follow one another make a maximal repeat, of 13 words or
+more; its words go from every document but the smallest that has each 13 of them.
+
+Extending classes instead of pairs makes the work linear in the places of an anchor, however many documents
+share it.  Both steps go through ``exchange``: packed questions of blocks of documents to parts
+of the key space, with each distinct anchor or neighbourhood of a block once, so that neither a passage that a third of all documents share nor a
+large group of copies lands in one task.
+
+Words are compared as 64-bit hashes, those beside an anchor by their first 48 bits: two
+different stretches are taken for one only if all their unlike words collide.
 
 Defined results: null or empty text has no words; words of a document of fewer than 13
 words all stay; a row with a null doc_id neither removes nor loses words; rows with the
-same doc_id are one document in two pieces (neither removes from the other); an empty
-table gives no rows.
+same doc_id are one document in several pieces (none removes from another); a very long text is one document of
+its block; columns of docs may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,161 +32,210 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import exchange as X
-from .common import rolling, schema_with, word_hashes, words_of
+from .common import rolling, table, word_hashes, words_of
 
 WINDOW, SEED = 13, 5
+ROWS = "part int, block long, data binary"
+NOBODY = np.iinfo(np.int64).max
 
 
-def seeds_of(h: np.ndarray, window: int, seed: int) -> np.ndarray:
-    """For each window its anchor: the least hash of seed words in it."""
+def anchors_of(h: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window the place of its anchor; and the hashes at all places."""
     g = rolling(h, seed)
-    span = window - seed + 1
-    out = g[: len(g) - span + 1].copy()
-    for j in range(1, span):
-        np.minimum(out, g[j : j + len(out)], out=out)
-    return out
+    n = len(h) - window + 1
+    best, at = g[:n].copy(), np.arange(n)
+    for j in range(1, window - seed + 1):
+        lower = g[j : j + n] < best
+        best[lower] = g[j : j + n][lower]
+        at[lower] = np.flatnonzero(lower) + j
+    return at, g
 
 
 class Block:
-    """The documents of a block as word hashes, windows and anchors."""
+    """The documents of a block: their words' hashes one after the other, and the anchors with the windows each stands for."""
 
-    def __init__(self, pdf: pd.DataFrame, window: int, seed: int, with_windows: bool):
+    def __init__(self, pdf: pd.DataFrame, window: int, seed: int):
         self.docs = list(zip(pdf["doc_id"].tolist(), pdf["has_id"].tolist(), pdf["text"].tolist(), strict=True))
-        anchors, ids, self.windows, self.sizes = [], [], [], []
+        self.window, self.seed, self.reach = window, seed, window - seed
+        none = np.empty(0, np.int64)
+        hashes, anchors, values, ids, first, last, of_window, left = [np.empty(0, np.uint64)], [none], [np.empty(0, np.uint64)], [none], [none], [none], [none], [none]
+        self.windows, begin, n_anchors = [], 0, 0
         for doc_id, has_id, text in self.docs:
             words = words_of(text)
             if not has_id or len(words) < window:
-                self.sizes.append(0)
+                self.windows.append(0)
                 continue
             h = word_hashes(words)
-            a = seeds_of(h, window, seed)
-            anchors.append(a)
-            if with_windows:
-                self.windows.append(rolling(h, window))
-            ids.append(np.full(len(a), doc_id, np.int64))
-            self.sizes.append(len(a))
-        self.anchors = np.concatenate(anchors) if anchors else np.empty(0, np.uint64)
-        self.ids = np.concatenate(ids) if ids else np.empty(0, np.int64)
-        if with_windows:
-            self.windows = np.concatenate(self.windows) if self.windows else np.empty(0, np.uint64)
-
-    def distinct(self, values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct values, the smallest and the largest document of each."""
-        order = np.argsort(values, kind="stable")
-        v, d = values[order], ids[order]
-        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.empty(0, np.int64)
-        return v[first], np.minimum.reduceat(d, first) if len(v) else d, np.maximum.reduceat(d, first) if len(v) else d
-
-
-def _shared_windows(b: Block, shared: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which windows of the block have an anchor that another document shares."""
-    if not len(b.anchors):
-        return np.empty(0, bool)
-    return shared[np.searchsorted(keys, b.anchors)].astype(bool)
-
-
-def dedup(docs: DataFrame, keep: list[str], window: int = WINDOW, seed: int = SEED, spans: bool = False, texts: bool = False) -> DataFrame:
+            at, g = anchors_of(h, window, seed)
+            place, inverse = np.unique(at, return_inverse=True)
+            hashes.append(h)
+            anchors.append(place + begin)
+            values.append(g[place])
+            ids.append(np.full(len(place), doc_id, np.int64))
+            first.append(np.full(len(place), begin))
+            last.append(np.full(len(place), begin + len(h)))
+            of_window.append(inverse + n_anchors)
+            left.append(at - np.arange(len(at)))
+            self.windows.append(len(at))
+            begin, n_anchors = begin + len(h), n_anchors + len(place)
+        cat = np.concatenate
+        self.hashes, self.place, self.value, self.ids, self.first, self.last = cat(hashes), cat(anchors), cat(values), cat(ids), cat(first), cat(last)
+        self.anchor_of, self.left = cat(of_window), cat(left)  # of each window its anchor, and the words before the anchor
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct anchors, and whether several documents of the block have each."""
+        order = np.argsort(self.value, kind="stable")
+        v, d = self.value[order], self.ids[order]
+        begin = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.empty(0, np.int64)
+        return v[begin], np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin) if len(v) else np.empty(0, bool)
+
+    def neighbourhoods(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the shared anchors (flags by anchor): the distinct rows (anchor, which windows, words before, words behind), sorted; the least document of each; of each anchor its row, or -1."""
+        on = np.flatnonzero(shared)
+        used = np.zeros(len(self.place), np.int64)
+        np.bitwise_or.at(used, self.anchor_of, 1 << self.left)
+        steps = np.arange(1, self.reach + 1)
+        columns = [self.value[on], used[on].astype(np.uint64)]
+        for at, inside in [(self.place[on] - k, self.place[on] - k >= self.first[on]) for k in steps] + [(self.place[on] + self.seed - 1 + k, self.place[on] + self.seed - 1 + k < self.last[on]) for k in steps]:
+            word = self.hashes[np.where(inside, at, 0)] >> np.uint64(16) if len(self.hashes) else np.empty(0, np.uint64)
+            columns.append(np.where(inside, word | np.uint64(1), np.uint64(0)))  # zero: no word
+        rows = np.ascontiguousarray(np.stack(columns, axis=1))
+        kind = np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))
+        _, index, inverse = np.unique(rows.view(kind).ravel(), return_index=True, return_inverse=True) if len(on) else (None, np.empty(0, np.int64), np.empty(0, np.int64))
+        least = np.full(len(index), NOBODY)
+        np.minimum.at(least, inverse, self.ids[on])
+        order = np.argsort(rows[index, 0], kind="stable")
+        row_of = np.full(len(self.place), -1)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        row_of[on] = back[inverse]
+        return rows[index[order]], least[order], row_of, on
+
+
+def _classes(parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Classes parted by their next word."""
+    number = np.unique(word, return_inverse=True)[1]
+    return np.unique(parent * (number.max(initial=0) + 1) + number, return_inverse=True)[1]
+
+
+def extend(rows: np.ndarray, low: np.ndarray, reach: int) -> np.ndarray:
+    """For each row and number of words before the anchor the least document that has the window, NOBODY where the row stands for none.
+
+    rows: anchor, windows it stands for (bits), words before it from the nearest on, words behind it.
+    """
+    start = np.unique(rows[:, 0], return_inverse=True)[1]
+    before, behind = [start], [start]
+    for k in range(reach):
+        before.append(_classes(before[-1], rows[:, 2 + k]))
+        behind.append(_classes(behind[-1], rows[:, 2 + reach + k]))
+    out = np.full((len(rows), reach + 1), NOBODY)
+    for left in range(reach + 1):
+        on = np.flatnonzero(rows[:, 1] >> np.uint64(left) & np.uint64(1))
+        if len(on):
+            whole = np.unique(before[left][on] * len(rows) + behind[reach - left][on], return_inverse=True)[1]
+            least = np.full(whole.max() + 1, NOBODY)
+            np.minimum.at(least, whole, low[on])
+            out[on, left] = least[whole]
+    return out
+
+
+def dedup(docs: DataFrame, keep: list[str], window: int = WINDOW, seed: int = SEED, spans: bool = False, texts: bool = False, block_bytes: int = 16 << 20) -> DataFrame:
     """docs has doc_id and text; returns keep, n_words, n_removed, kept_sha256.
 
     spans adds the maximal repeats (array of start, end in words); texts adds the kept text.
     """
-    rows = docs.select(*keep, *[c for c in ("doc_id", "text") if c not in keep])
-    blocks = X.n_blocks(rows)
-    parts = blocks
-    rows = rows.select(
-        F.struct(*keep).alias("kept_cols"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"),
-        F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"),
-        F.col("doc_id").isNotNull().alias("has_id"),
-        "text",
-    )
-    by_block = rows.groupBy("block")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_cols"), F.xxhash64("doc_id", "text").alias("_h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), "text")
+    total = X.text_bytes(rows)
+    blocks = parts = X.n_blocks(rows, total, block_bytes)
+    by_block = rows.select("kept_cols", F.pmod("_h", F.lit(blocks)).alias("block"), "doc_id", "has_id", "text").groupBy("block")
+    reach = window - seed
+    words = [np.uint64] * (2 + 2 * reach)
 
     def ask_anchors(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        b = Block(pdf, window, seed, False)
-        keys, low, high = b.distinct(b.anchors, b.ids)
-        return X.questions(key[0], keys, parts, (low != high).astype(np.uint8))
+        keys, several = Block(pdf, window, seed).distinct()
+        return pd.DataFrame([(p, key[0], X.pack(X.steps(keys[i:j]), several[i:j].astype(np.uint8))) for p, i, j in X.shares(keys, parts)], columns=["part", "block", "data"])
 
     def join_anchors(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        asked = [X.unpack_keys(d, np.uint8) for d in pdf["data"]]
-        keys = np.concatenate([a[0] for a in asked])
-        _, at, count = np.unique(keys, return_inverse=True, return_counts=True)
+        asked = [(np.cumsum(k, dtype=np.uint64), s) for k, s in (X.unpack(d, np.uint64, np.uint8) for d in pdf["data"])]
+        _, at, count = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True, return_counts=True)
         several = count > 1
         several[at[np.concatenate([a[1] for a in asked]) > 0]] = True
-        found = several[at].astype(np.uint8)
-        return _replies(key, pdf, found, [len(a[0]) for a in asked], "a")
-
-    def ask_windows(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        b = Block(pdf, window, seed, True)
-        keys = b.distinct(b.anchors, b.ids)[0]
-        on = _shared_windows(b, X.answers(got, np.uint8)[0], keys)
-        wkeys, low, _ = b.distinct(b.windows[on], b.ids[on])
-        return X.questions(key[0], wkeys, parts, low)
-
-    def join_windows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        asked = [X.unpack_keys(d, np.int64) for d in pdf["data"]]
-        keys, low = np.concatenate([a[0] for a in asked]), np.concatenate([a[1] for a in asked])
-        distinct, at = np.unique(keys, return_inverse=True)
-        least = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(least, at, low)
-        return _replies(key, pdf, (least[at] < low).astype(np.uint8), [len(a[0]) for a in asked], "w")
+        return _replies(key, pdf, several[at].astype(np.uint8), [len(a[0]) for a in asked], "a")
+
+    def shared_anchors(b: Block, got: pd.DataFrame) -> np.ndarray:
+        flags = [X.unpack(d, np.uint8)[0] for _, d in sorted(zip(got["part"], got["data"], strict=True))]
+        keys = np.unique(b.value)
+        return np.concatenate([np.empty(0, np.uint8), *flags])[np.searchsorted(keys, b.value)].astype(bool) if len(keys) else np.empty(0, bool)
+
+    def ask_neighbours(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        b = Block(pdf, window, seed)
+        near, low, _, _ = b.neighbourhoods(shared_anchors(b, got))
+        packed = lambda i, j: X.pack(X.steps(near[i:j, 0]), low[i:j], *near[i:j, 1:].T)
+        return pd.DataFrame([(p, key[0], packed(i, j)) for p, i, j in X.shares(np.ascontiguousarray(near[:, 0]), parts)], columns=["part", "block", "data"])
+
+    def join_neighbours(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        asked = [X.unpack(d, np.uint64, np.int64, *words[1:]) for d in pdf["data"]]
+        near = np.concatenate([np.stack([np.cumsum(a[0], dtype=np.uint64), *a[2:]], axis=1) for a in asked])
+        least = extend(near, np.concatenate([a[1] for a in asked]), reach)
+        return _replies(key, pdf, least, [len(a[0]) for a in asked], "n")
 
     names = [f.name for f in rows.schema["kept_cols"].dataType.fields]
     ddl = "n_words long, n_removed long, kept_sha256 string"
     ddl += ", repeats array<struct<start:int,end:int>>" * spans + ", kept_text string" * texts
-    schema = schema_with(docs, keep, ddl)
+    made_columns = [f.name for f in T.StructType.fromDDL(ddl).fields]
+    schema = T.StructType([*rows.schema["kept_cols"].dataType.fields, *T.StructType.fromDDL(ddl).fields])
 
     def cut(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        b = Block(pdf, window, seed, True)
-        keys = b.distinct(b.anchors, b.ids)[0]
-        on = _shared_windows(b, X.answers(got[got["kind"] == "a"], np.uint8)[0], keys)
-        wkeys, low, _ = b.distinct(b.windows[on], b.ids[on])
-        below = X.answers(got[got["kind"] == "w"], np.uint8)[0].astype(bool)
-        at = np.searchsorted(wkeys, b.windows[on])
-        covered = np.zeros(len(b.windows), bool)
-        if len(at):
-            covered[on] = below[at] | (b.ids[on] > low[at])
+        b = Block(pdf, window, seed)
+        row_of = b.neighbourhoods(shared_anchors(b, got[got["kind"] == "a"]))[2]
+        told = got[got["kind"] == "n"]
+        parts_ = [np.stack(X.unpack(d, *[np.int64] * (reach + 1)), axis=1) for _, d in sorted(zip(told["part"], told["data"], strict=True))]
+        least = np.concatenate([np.empty((0, reach + 1), np.int64), *parts_])
+        covered = np.zeros(len(b.anchor_of), bool)
+        row = row_of[b.anchor_of]
+        on = np.flatnonzero(row >= 0)
+        covered[on] = least[row[on], b.left[on]] < b.ids[b.anchor_of[on]]
         out, begin = [], 0
-        for (_, _, text), size in zip(b.docs, b.sizes, strict=True):
-            words = words_of(text)
+        for (_, _, text), size in zip(b.docs, b.windows, strict=True):
+            has = words_of(text)
             hit = np.flatnonzero(covered[begin : begin + size])
             begin += size
-            edge = np.zeros(len(words) + 1, np.int64)
+            edge = np.zeros(len(has) + 1, np.int64)
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + window, -1)
             gone = np.cumsum(edge[:-1]) > 0
-            kept = words if not len(hit) else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+            kept = has if not len(hit) else [w for w, g in zip(has, gone.tolist(), strict=True) if not g]
             joined = b" ".join(kept)
-            row = [len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest()]
+            values = [len(has), len(has) - len(kept), hashlib.sha256(joined).hexdigest()]
             if spans:
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                row.append([{"start": int(s), "end": int(e)} for s, e in turn.reshape(-1, 2)])
+                values.append([{"start": int(s), "end": int(e)} for s, e in turn.reshape(-1, 2)])
             if texts:
-                row.append(joined.decode("utf-8", "replace"))
-            out.append(row)
-        made = pd.DataFrame(out, columns=schema.names[len(names) :])
+                values.append(joined.decode("utf-8", "replace"))
+            out.append(values)
         cols = pdf["kept_cols"].tolist()
-        for i, name in enumerate(names):
-            made.insert(i, name, pd.Series([c[name] if isinstance(c, dict) else c[i] for c in cols], dtype=object))
+        kept_cols = [pd.Series([c[n] if isinstance(c, dict) else c[i] for c in cols], dtype=object) for i, n in enumerate(names)]
+        made = pd.concat([*kept_cols, *[pd.Series([o[i] for o in out], dtype=object if i > 2 else None) for i in range(len(made_columns))]], axis=1)
+        made.columns = [*names, *made_columns]
         return made
 
     reply = "block long, part int, data binary, kind string"
-    first = by_block.applyInPandas(ask_anchors, X.ASK).groupBy("part").applyInPandas(join_anchors, reply)
-    second = by_block.cogroup(first.groupBy("block")).applyInPandas(ask_windows, X.ASK).groupBy("part").applyInPandas(join_windows, reply)
+    first = by_block.applyInPandas(ask_anchors, ROWS).groupBy("part").applyInPandas(join_anchors, reply)
+    second = by_block.cogroup(first.groupBy("block")).applyInPandas(ask_neighbours, ROWS).groupBy("part").applyInPandas(join_neighbours, reply)
     return by_block.cogroup(first.unionByName(second).groupBy("block")).applyInPandas(cut, schema)
 
 
 def _replies(key: tuple, pdf: pd.DataFrame, values: np.ndarray, sizes: list[int], kind: str) -> pd.DataFrame:
+    """The rows of values (one or several columns) to the blocks that asked, so many to each."""
     ends = np.cumsum(sizes)
-    data = [X.pack(values[e - n : e]) for n, e in zip(sizes, ends, strict=True)]
+    data = [X.pack(*np.atleast_2d(values[e - n : e].T)) for n, e in zip(sizes, ends, strict=True)]
     return pd.DataFrame({"block": pdf["block"].to_numpy(), "part": key[0], "data": data, "kind": kind})
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return dedup(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
