@@ -5,14 +5,15 @@ the vocabulary, with links from each state to its longest suffix in it, yields t
 tokens that end at each place; a candidate is right if it is compatible with the
 token that ends the prefix before it, that is if the merges would not run across the
 seam earlier than they build the two.  The table of last tokens is followed back from
-the end.  Words are remembered, so that a word costs one search however often it comes.
+the end.  Short words are remembered, so that a word costs one search however often it comes.
+The digest of the decoded text is taken from the ids, token by token.
 
 Text is treated as the vocabulary file says: special tokens are cut out of the raw
 text, the rest is NFC, white space becomes a space, letters become lower case, words are
 split by the file's pattern and mapped byte by byte.
 
-Defined results: null and empty text have no tokens; equal rows get equal results; an
-empty table gives no rows.
+Defined results: null and empty text have no tokens; very long texts are encoded whole; equal rows get equal results;
+columns of docs may have any names but those of the result; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import hashlib
 import json
 import struct
 import unicodedata
-from functools import lru_cache
+import zlib
 
 import ahocorasick
 import numpy as np
@@ -39,6 +40,10 @@ SPACES = regex.compile(f"[{SPACE}]+")
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 
 
+#: Longer pieces are not remembered, so that a worker's memory is bounded.
+LONGEST = 32
+
+
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if printable, else the next letter from 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -49,9 +54,10 @@ def byte_letters() -> list[str]:
 class Encoder:
     """Encodes and decodes as the tokenizers library does with the file at path."""
 
-    def __init__(self, path: str, cache_size: int = 300_000):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, spec: dict | str, cache_size: int = 200_000):
+        """spec: the vocabulary file's contents, or its path."""
+        if isinstance(spec, str):
+            spec = read_vocabulary(spec)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.end = spec["model"]["end_of_word_suffix"]
         letters = byte_letters()
@@ -87,8 +93,8 @@ class Encoder:
             for t in unreachable:
                 self.automaton.remove_word(symbols(t))
             self.automaton.make_automaton()
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.cache_size = cache_size
 
     def _stands(self, token: int) -> bool:
@@ -147,22 +153,22 @@ class Encoder:
             at = start[at] - 1
         return out[::-1]
 
-    def word(self, piece: str) -> tuple[bytes, str]:
+    def word(self, piece: str) -> bytes:
         got = self.words.get(piece)
         if got is None:
             data = piece.encode("utf-8", "surrogatepass")
             ids = self.ids_of(data[:-1].decode("latin-1") + chr(256 + data[-1]))
-            got = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.text_of.__getitem__, ids))
-            if len(self.words) >= self.cache_size:
-                self.words.clear()
-            self.words[piece] = got
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(piece) <= LONGEST:
+                if len(self.words) >= self.cache_size:
+                    self.words.clear()
+                self.words[piece] = got
         return got
 
-    def chunk(self, text: str) -> tuple[bytes, str]:
-        got = [self.word(p) for p in self.pattern.findall(text)]
-        return b"".join(g[0] for g in got), " ".join(g[1] for g in got)
+    def chunk(self, text: str) -> bytes:
+        return b"".join(map(self.word, self.pattern.findall(text)))
 
-    def plain(self, text: str) -> tuple[bytes, str]:
+    def plain(self, text: str) -> bytes:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
@@ -173,29 +179,39 @@ class Encoder:
             got = chunks.get(c)
             if got is None:
                 got = self.chunk(c)
-                if len(c) <= 32:
+                if len(c) <= LONGEST:
                     if len(chunks) >= self.cache_size:
                         chunks.clear()
                     chunks[c] = got
             out.append(got)
-        return b"".join([g[0] for g in out]), " ".join([g[1] for g in out if g[1]])
+        return b"".join(out)
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """The ids as little-endian 32-bit integers, and the decoded text: the tokens joined by a space."""
+    def encode(self, text: str | None) -> bytes:
+        """The ids as little-endian 32-bit integers."""
         if not text:
-            return b"", ""
+            return b""
         if self.cut is None or "<|" not in text:
             return self.plain(text)
-        got = [(struct.pack("<I", self.special[s]), s) if s in self.special else self.plain(s) for s in self.cut.split(text) if s]
-        return b"".join(g[0] for g in got), " ".join(g[1] for g in got if g[1])
+        return b"".join(struct.pack("<I", self.special[s]) if s in self.special else self.plain(s) for s in self.cut.split(text) if s)
 
     def decode(self, ids) -> str:
-        return " ".join(self.text_of[i] for i in ids)
+        return " ".join(map(self.text_of.__getitem__, ids))
+
+
+def read_vocabulary(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(digest: str, shared) -> Encoder:
+    """This worker's encoder of the vocabulary that was shipped as shared."""
+    if digest not in _encoders:
+        _encoders.clear()
+        _encoders[digest] = Encoder(json.loads(zlib.decompress(shared.value)))
+    return _encoders[digest]
 
 
 def default_path() -> str:
@@ -212,16 +228,20 @@ def encode(docs: DataFrame, path: str, keep: list[str], digests: bool = True, id
     if ids:
         schema = schema.add("token_ids", T.ArrayType(T.IntegerType()))
 
+    raw = json.dumps(read_vocabulary(path)).encode()
+    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(raw))  # one vocabulary file: executors need not reach it
+    digest = hashlib.sha256(raw).hexdigest()
+
     def run(batch: pa.RecordBatch):
-        enc = encoder(path)
+        enc = encoder(digest, shared)
         got = [enc.encode(t) for t in texts_of(batch)]
-        cols = [batch.column(k) for k in keep] + [pa.array([len(g[0]) // 4 for g in got], pa.int64())]
+        cols = [batch.column(k) for k in keep] + [pa.array([len(g) // 4 for g in got], pa.int64())]
         if digests:
-            cols.append(pa.array([hashlib.sha256(g[0]).hexdigest() for g in got], pa.string()))
-            cols.append(pa.array([hashlib.sha256(g[1].encode()).hexdigest() for g in got], pa.string()))
+            cols.append(pa.array([hashlib.sha256(g).hexdigest() for g in got], pa.string()))
+            cols.append(pa.array([hashlib.sha256(enc.decode(np.frombuffer(g, "<u4").tolist()).encode()).hexdigest() for g in got], pa.string()))
         if ids:
-            ends = np.cumsum([0, *[len(g[0]) // 4 for g in got]]).astype(np.int32)
-            cols.append(pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(g[0] for g in got), "<i4")))
+            ends = np.cumsum([0, *[len(g) // 4 for g in got]]).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(got), "<i4")))
         yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return with_text(docs, keep).mapInArrow(batches(run), schema)

@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor reaches; a temporary one only where none is set."""
+    """The folder every executor reaches; a temporary one only where none is set and all runs on one machine, as in tests."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set, and executors may not share another folder")
         folder = tempfile.mkdtemp(prefix="quarrystone-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
