@@ -20,8 +20,8 @@ labels' shortcuts.
 
 Defined results: texts of fewer than five words have one shingle, the whole text; null
 and empty texts, and those of white space, have none and are each a class of their own; equal texts are one class;
-a class id is the least doc_id of its documents (null if none has one); an empty table
-gives no rows.
+a class id is the least doc_id of its documents (null if none has one); very long texts are taken whole; columns of
+docs may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +37,17 @@ from .common import BASE, batches, materialise, mix, release, rolling, word_hash
 SHINGLE, BANDS, ROWS = 5, 24, 4
 TURNS = 2  # turns of pivots before all pairs of components
 FEW, CHUNK, BITS = 32, 512, 2048
+SALT = 1000  # nodes of a bucket that one task joins with what its bucket is told
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    """df (bucket, node, n) with salt: a bucket of n nodes is dealt over n / SALT tasks."""
+    return df.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SALT)))
+
+
+def _told(df: DataFrame, n: str = "n") -> DataFrame:
+    """df (bucket, n) once for each of its bucket's salts, without n."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / SALT) - 1))).drop(n)
 
 
 def bag_of_words(words: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +223,9 @@ def components(edges: DataFrame) -> DataFrame:
     shares = max(1, -(-edges.count() // SHARE))
     stars = materialise(edges.select("a", "b").repartition(shares).mapInArrow(_contract, "a binary, b binary"), "stars")
     if shares == 1:
-        return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        roots = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        roots.written_to = stars.written_to
+        return roots
     both = materialise(stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
     while True:
@@ -222,16 +235,19 @@ def components(edges: DataFrame) -> DataFrame:
         fresh = own.join(jump, "least", "left").select("node", F.least("least", F.coalesce("further", "least")).alias("root"), (F.least("least", F.coalesce("further", "least")) < F.col("root")).alias("moved"))
         fresh = materialise(fresh, "labels")
         release(labels)
-        labels = fresh.select("node", "root")
+        labels = fresh
         if not fresh.where("moved").limit(1).count():
             release(both)
-            return labels
+            release(stars)
+            roots = fresh.select("node", "root")
+            roots.written_to = fresh.written_to
+            return roots
 
 
 def candidates(members: DataFrame, turn: int, pivots: int, threshold: float) -> DataFrame:
     """Distinct pairs (a, b) of each bucket's pivots with its members of other components.
 
-    members: bucket, node, size, center, near, root and main, the component with most members of the
+    members: bucket, n (its nodes), node, size, center, near, root and main, the component with most members of the
     bucket.  In the first turn every node is a component of its own, and the pivots are the
     center and others by a hash of bucket, node and turn, so that a node meets different ones
     in its buckets.  In later turns they are four times as many, half of them of the main
@@ -248,8 +264,8 @@ def candidates(members: DataFrame, turn: int, pivots: int, threshold: float) ->
     if turn == 0:
         picks[0] = F.max(F.when(F.col("node") == F.col("center"), F.struct(F.lit(0).cast("long").alias("h"), "node", "root", "near", "size"))).alias("p0")
     drawn = F.array(*[F.struct(*[F.col(f"p{i}.{c}").alias(c) for c in ("node", "root", "near", "size")]) for i in range(n)])
-    chosen = members.groupBy("bucket").agg(*picks).select("bucket", F.explode(F.array_distinct(drawn)).alias("p"))
-    met = (members if turn == 0 else members.where(~inside)).join(chosen, "bucket").where(F.col("root") != F.col("p.root"))
+    chosen = _told(members.groupBy("bucket").agg(*picks, F.max("n").alias("n")).select("bucket", "n", F.explode(F.array_distinct(drawn)).alias("p")))
+    met = _salted(members if turn == 0 else members.where(~inside)).join(chosen, ["bucket", "salt"]).where(F.col("root") != F.col("p.root"))
     met = met.where(F.least("size", "p.size") >= threshold * F.greatest("size", "p.size") - 1e-9)
     met = met.where(F.coalesce(F.abs(F.col("near") - F.col("p.near")) <= 1 - threshold + 1e-9, F.lit(True)))
     return met.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b")).distinct()
@@ -290,8 +306,7 @@ def remaining(members: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     Buckets of up to FEW nodes are joined with themselves.  Larger ones are dealt in chunks of about
     CHUNK nodes, and every two chunks are compared in one task, by the parities of their bags.
     """
-    members = members.select("bucket", "node", "root", "size", "near", (F.col("root") == F.col("main")).alias("inside"))
-    members = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+    members = members.select("bucket", "n", "node", "root", "size", "near", (F.col("root") == F.col("main")).alias("inside"))
     small = members.where(F.col("n") <= FEW)
     other = small.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "size", "near")])
     met = small.where(~F.col("inside")).join(other, "bucket").where(F.col("root") != F.col("root2"))
@@ -312,33 +327,39 @@ def remaining(members: DataFrame, texts: DataFrame, threshold: float) -> DataFra
 
 
 def linked(buckets: DataFrame, texts: DataFrame, threshold: float, pivots: int) -> DataFrame | None:
-    """node, root of every node with a link; buckets: bucket, node, size, center, for buckets of two or more.
+    """node, root of every node with a link; buckets: bucket, n, node, size, center, for buckets of two or more.
 
     TURNS turns compare pivots of the buckets that still hold several components with their
     members of other components, which brings most copies together.  Then all pairs of
     components that are left in a bucket are compared, but for those that are ruled out.
     """
     members = buckets.withColumns({"near": F.lit(None).cast("double"), "root": F.col("node"), "main": F.lit(None).cast("binary")})
-    roots, tested = None, None
+    roots, tested, done = None, None, []
     for turn in range(TURNS + 1):
         pairs = candidates(members, turn, pivots, threshold) if turn < TURNS else remaining(members, texts, threshold)
         pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         seen = materialise(verified(pairs, texts), "similarities")
+        done += [pairs, seen]
         found = seen.where(F.col("similarity") >= threshold).select("a", "b")
         if found.limit(1).count():
+            before = roots
             roots = components(found if roots is None else found.union(roots.select("node", "root")))
+            if before is not None:
+                release(before)
         if turn == TURNS:
+            for frame in [*done, members]:
+                release(frame)
             return roots
         tested = pairs if tested is None else tested.unionByName(pairs)
-        held = members.select("bucket", "node", "size", "center", "near")  # a bucket of one component stays so
+        held = members.select("bucket", "n", "node", "size", "center", "near")  # a bucket of one component stays so
         if turn == 0:
             to_center = seen.select("a", "b", F.col("similarity").alias("s"))
             held = held.withColumns({"a": F.least("node", "center"), "b": F.greatest("node", "center")}).join(to_center, ["a", "b"], "left").withColumn("near", F.when(F.col("node") == F.col("center"), 1.0).otherwise(F.col("s"))).drop("a", "b", "s")
         named = held.withColumn("root", F.col("node")) if roots is None else held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        sizes = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "main")
-        members, done = materialise(named.join(mixed, "bucket"), "members"), members
-        release(done)
+        sizes = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("of_root"), F.max("n").alias("n"))
+        mixed = sizes.groupBy("bucket").agg(F.max(F.struct("of_root", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).where("k > 1").select("bucket", "n", "main")
+        earlier, members = members, materialise(_salted(named).join(_told(mixed), ["bucket", "salt"]).drop("salt"), "members")
+        release(earlier)
 
 
 def _node():
@@ -353,14 +374,20 @@ def rooted(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: in
     # one node for all copies of a text
     nodes = materialise(sketches(texts, bands, rows).groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands")), "bands")
     buckets = nodes.select("node", "size", F.explode("bands").alias("bucket"))
-    several = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = materialise(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     shared = materialise(buckets.join(several, "bucket"), "buckets")
     degree = materialise(shared.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
     few = materialise(texts.join(degree.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     # a bucket's center is the node that shares most buckets with others: nearest to the middle of its copies
-    ranked = materialise(shared.join(degree, "node").select("bucket", "node", "size", "degree"), "ranked")
-    centers = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("center"))
-    return member, linked(materialise(ranked.join(centers, "bucket").select("bucket", "node", "size", "center"), "buckets"), few, threshold, pivots)
+    ranked = materialise(shared.join(degree, "node").select("bucket", "n", "node", "size", "degree"), "ranked")
+    centers = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("center"), F.max("n").alias("n"))
+    centered = materialise(_salted(ranked).join(_told(centers), ["bucket", "salt"]).select("bucket", "n", "node", "size", "center"), "buckets")
+    for frame in (nodes, several, shared, degree, ranked):
+        release(frame)
+    roots = linked(centered, few, threshold, pivots)
+    for frame in (centered, few):
+        release(frame)
+    return member, roots
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -378,7 +405,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """A row of docs for each class: that with the least doc_id (of several texts under it, the least node), or any one if none has an id.
 
-    Rows without words are a class each and all stay, but for repeated ones under one doc_id.
+    Of rows equal in both the one with the least hash of all its columns stays.  Rows without words are a class each
+    and all stay, but for repeated ones under one doc_id.
     """
     _, roots = rooted(docs.select("doc_id", "text"), **options)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", _node().alias("node"))
@@ -391,7 +419,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
         of = of.select(F.col("doc_id").alias("first_id"), F.col("node").alias("first_node"))
         return held.join(of, (F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
 
-    kept = rows(first.where("n = 1")).unionByName(rows(first.where("n > 1")).dropDuplicates(["doc_id", "node"]))
+    kept = rows(first.where("n = 1")).unionByName(rows(first.where("n > 1")).groupBy("doc_id", "node").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc", "doc_id", "node"))
     blank = held.where(F.col("node").isNull())
     again = blank.where(F.col("doc_id").isNotNull()).withColumn("text", F.col("doc.text")).dropDuplicates(["doc_id", "text"]).drop("text")
     kept = kept.unionByName(again).unionByName(blank.where(F.col("doc_id").isNull()))

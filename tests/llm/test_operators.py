@@ -441,11 +441,12 @@ def test_large_near_copy_group_is_one_class(spark):
     assert got == brute_classes(rows)
 
 
-@pytest.mark.parametrize(("few", "chunk"), [(32, 512), (2, 50), (1000, 512)])
-def test_bucket_of_many_pairs_without_a_center(spark, monkeypatch, few, chunk):
+@pytest.mark.parametrize(("few", "chunk", "salt"), [(32, 512, 1000), (2, 50, 7), (1000, 512, 20)])
+def test_bucket_of_many_pairs_without_a_center(spark, monkeypatch, few, chunk, salt):
     """Texts in one bucket through a passage that all share: every link is found, whichever pivots are drawn."""
     monkeypatch.setattr(bagminhash, "FEW", few)
     monkeypatch.setattr(bagminhash, "CHUNK", chunk)
+    monkeypatch.setattr(bagminhash, "SALT", salt)
     rng = random.Random(21)
     passage, rows = [f"p{i}" for i in range(40)], []
     for i in range(80):
@@ -455,7 +456,7 @@ def test_bucket_of_many_pairs_without_a_center(spark, monkeypatch, few, chunk):
             copy[rng.randrange(45, 100)] = f"new{i}x{j}"
             rows.append((bytearray(f"{i:03d}{j}".encode()), " ".join(copy)))
     nodes = spark.createDataFrame(rows, "node binary, text string")
-    buckets = nodes.select(F.lit(1).alias("bucket"), "node", F.lit(96).cast("long").alias("size"), F.lit(b"0000").alias("center"))
+    buckets = nodes.select(F.lit(1).alias("bucket"), F.lit(len(rows)).cast("long").alias("n"), "node", F.lit(96).cast("long").alias("size"), F.lit(b"0000").alias("center"))
     got = {bytes(r["node"]).decode(): bytes(r["root"]).decode() for r in bagminhash.linked(buckets, nodes, 0.8, 2).collect()}
     assert got == {f"{i:03d}{j}": f"{i:03d}0" for i in range(80) if i % 3 for j in range(1 + i % 3)}
 
