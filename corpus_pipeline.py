@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), with docs in the columns of documents, and
 returns a DataFrame that is written and read again as the next one's docs.
+
+Defined results of every stage: an empty table gives no rows; every column of docs is carried, whatever its name
+(the last stage keeps doc_id, lang and source); very long texts are taken whole.  Rows with null or empty texts
+have no letter, so the first stage drops them; the stages after it keep them if they are given some.
 """
 
 from __future__ import annotations
@@ -16,29 +20,38 @@ from quarrystone.llm.common import shared_dir, table, unwrapped, wrapped
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that language identification rejects: those without a letter or with an unsure answer."""
-    named = langid.identify(wrapped(docs), langid.fit(docs), ["doc"])
+    """Drops the documents that language identification rejects: those without a letter or with an unsure answer.
+
+    Equal rows fall or stay together.  Documents none of which has a label are an error: all would be rejected.
+    """
+    model = langid.fit(docs)
+    if model is None and docs.where(F.length("text") > 0).limit(1).count():
+        raise ValueError("no labelled document to learn languages from")
+    named = langid.identify(wrapped(docs), model, ["doc"])
     return unwrapped(named.where(~F.col("rejected")), docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class, the one with the least doc_id."""
+    """Keeps one document of each near-duplicate class: that with the least doc_id, a null one only if none has an id.
+
+    Of rows equal in doc_id and text the one with the least hash of all columns stays; rows without words are a class each.
+    """
     return bagminhash.one_of_each(docs).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that overlap a benchmark item."""
+    """Drops the documents that overlap a benchmark item; an empty benchmark drops none, and equal rows fall or stay together."""
     found = decontam.find_overlaps(wrapped(docs), table(spark, sf_dir, "benchmark"), ["doc"])
     return unwrapped(found.where(F.size("found") == 0), docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets and linked credential parts in the texts; n_chars follows the text."""
+    """Replaces secrets and linked credential parts in the texts; n_chars follows the text.  Equal rows get equal texts; null texts stay null."""
     return secrets.redact(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, digests of ids and of their decoding, and the ids."""
+    """doc_id, lang, source, n_tokens, digests of ids and of their decoding, and the ids; null and empty texts have no tokens, and every row stays."""
     keep = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
     return bpe.encode(docs, bpe.default_path(), keep, ids=True)
 
