@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.gates import GateError
 
@@ -37,31 +38,28 @@ def windowed(events: DataFrame, time: str, window: str, group: list[str], value:
     return events.withWatermark(time, delay).groupBy(F.window(time, window, slide) if slide else F.window(time, window), *group).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, key: str, payload: list[str]):
+def ingest(stream: DataFrame, path: str, checkpoint: str, key: str, payload: list[str], shares: int = 64):
     """Appends events that are new to the folder; the same key with another payload stops the stream.
 
-    Each batch is written under its epoch, over what an earlier try at it may have left.
+    Events lie in shares of a hash of their key, and a batch reads only the shares that its keys fall in.  Each
+    batch is written under its epoch, over what an earlier try at it may have left.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        mark = F.xxhash64(*payload)
-        own = batch.withColumn("_h", mark)
-        clash = own.groupBy(key).agg(F.countDistinct("_h").alias("n")).where("n > 1")
-        try:
-            earlier = spark.read.schema(batch.schema.add("epoch", "long")).parquet(path).where(F.col("epoch") != epoch)
-            earlier.limit(1).count()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            earlier = None
+        mark, share = F.xxhash64(*payload), F.pmod(F.xxhash64(key), F.lit(shares)).cast("int")
+        own = batch.withColumn("_h", mark).withColumn("share", share)
+        clash = own.groupBy(key).agg(F.countDistinct("_h").alias("n")).where("n > 1").select(key)
         fresh = own.dropDuplicates([key])
-        if earlier is not None:
-            old = earlier.select(key, mark.alias("_o"))
-            clash = clash.select(key).union(own.join(old, key).where("_h <> _o").select(key))
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            touched = [r["share"] for r in own.select("share").distinct().collect()]  # at most `shares`
+            kept = spark.read.schema(StructType([*batch.schema.fields]).add("epoch", "long").add("share", "integer")).option("basePath", path).parquet(path)
+            old = kept.where(F.col("share").isin(touched) & (F.col("epoch") != epoch)).select(key, mark.alias("_o"))
+            clash = clash.union(own.join(old, key).where("_h <> _o").select(key))
             fresh = fresh.join(old, key, "left_anti")
         if clash.limit(1).count():
             raise GateError(f"conflicting events for {[r[0] for r in clash.limit(5).collect()]}")
-        fresh.drop("_h").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        fresh.drop("_h").write.mode("overwrite").partitionBy("share").parquet(f"{path}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
