@@ -63,14 +63,18 @@ def fingerprint_reasons(records: DataFrame, held_out: DataFrame, key: str, sets:
     """
     if not held_out.where(" OR ".join(f"size({c}) > 0" for c in sets.values())).limit(1).count():
         raise ValueError("no usable held-out fingerprints")
-    hits = None
-    for reason, column in sets.items():
-        held = held_out.select(F.explode(column).alias("fp")).where("fp IS NOT NULL").distinct()
-        found = records.select(key, F.explode(column).alias("fp")).join(held, "fp", "left_semi").select(key, F.lit(reason).alias("reason")).distinct()
-        hits = found if hits is None else hits.unionByName(found)
+    def tagged(df: DataFrame, *own: str) -> DataFrame:
+        rows = F.explode(F.concat(*[F.transform(F.col(c), _tag(reason)) for reason, c in sets.items()]))
+        return df.select(*own, rows.alias("t")).select(*own, "t.*").where("fp IS NOT NULL")
+
+    hits = tagged(records, key).join(tagged(held_out).distinct(), ["reason", "fp"], "left_semi")
     return hits.groupBy(key).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
+def _tag(reason: str):
+    return lambda x: F.struct(F.lit(reason).alias("reason"), x.alias("fp"))
+
+
 def decontaminate(records: DataFrame, reasons: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Clean records, and the number of dropped ones for each reason."""
     clean = records.join(reasons, key, "left_anti")

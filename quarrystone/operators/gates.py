@@ -108,7 +108,6 @@ def calibration(records: DataFrame, expected: int, fallback_cases: list[str] = (
     """
     gold, mutant = F.col("comparison") == "golden_vs_golden", F.col("comparison") == "golden_vs_mutant"
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    ids = lambda side: F.collect_set(F.when(side, F.col("case_id")))
     fallback = mutant & (F.col("status") == "UNSUPPORTED")
     got = records.agg(
         n(gold).alias("n_golden"),
@@ -124,8 +123,9 @@ def calibration(records: DataFrame, expected: int, fallback_cases: list[str] = (
         F.count_distinct("run_id").alias("n_runs"),
         F.count_distinct("protocol").alias("n_protocols"),
         n(F.col("protocol").isNull() | (F.coalesce("run_id", F.lit("")) == "")).alias("n_unbound"),
-        (F.size(F.array_except(ids(gold), ids(mutant))) + F.size(F.array_except(ids(mutant), ids(gold)))).alias("n_unpaired"),
     )
+    sides = records.groupBy("case_id").agg(n(gold).alias("g"), n(mutant).alias("m")).agg(F.count_if((F.col("g") > 0) != (F.col("m") > 0)).alias("n_unpaired"))
+    got = got.join(F.broadcast(sides))  # one row each
     e, f = F.lit(expected), F.lit(len(fallback_cases))
     rules = [F.col("n_golden") == e, F.col("n_mutant") == e, F.col("n_rows") == 2 * e, F.col("golden_proved") == e, F.col("false_proofs") == 0, F.col("replayed") == e - f, F.col("n_fallback") == f, F.col("fallback_told") == f, F.col("golden_cases") == e, F.col("mutant_cases") == e, F.col("n_runs") == 2 * e, F.col("n_protocols") == 1, F.col("n_unbound") == 0, F.col("n_unpaired") == 0]
     return got.withColumn("passed", reduce(lambda a, b: a & b, rules))

@@ -103,7 +103,7 @@ def validation_jobs(table, spark, sf):
 
 @query("""WITH m AS (SELECT p_partkey, CASE WHEN p_size = 1 THEN 'PROVED' WHEN p_size = 2 THEN 'UNSUPPORTED' ELSE 'COUNTEREXAMPLE' END AS status FROM part), c AS (SELECT count(*) AS n FROM part)
 SELECT n AS n_golden, n AS n_mutant, 2 * n AS n_rows, n AS golden_proved, (SELECT count(*) FROM m WHERE status = 'PROVED') AS false_proofs, (SELECT count(*) FROM m WHERE status = 'COUNTEREXAMPLE') AS replayed,
-(SELECT count(*) FROM m WHERE status = 'UNSUPPORTED') AS n_fallback, n AS golden_cases, n AS mutant_cases, 2 * n AS n_runs, 0::INTEGER AS n_unpaired, false AS passed FROM c""")
+(SELECT count(*) FROM m WHERE status = 'UNSUPPORTED') AS n_fallback, n AS golden_cases, n AS mutant_cases, 2 * n AS n_runs, 0::BIGINT AS n_unpaired, false AS passed FROM c""")
 def calibration_gate(table, spark, sf):
     part = table("part").select(F.col("p_partkey").cast("string").alias("case_id"), "p_size")
     gold = part.select("case_id", F.lit("golden_vs_golden").alias("comparison"), F.lit("PROVED").alias("status"))
