@@ -13,7 +13,8 @@ of both.
 
 Defined results: null and too short recordings have an empty fingerprint, are each a
 class of their own and match nothing; silence has a constant fingerprint and is a class like
-any other; repeated rows fall in one class; an empty table gives no rows.
+any other; repeated rows fall in one class; of equal alignments the nearest offset counts; very long recordings are
+taken whole, fewer at once; columns of the input may have any names but ints; an empty table gives no rows.
 """
 
 from __future__ import annotations

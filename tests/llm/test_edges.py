@@ -47,3 +47,36 @@ def test_stages_take_awkward_rows(spark, awkward, folder):
 def test_stages_take_an_empty_table(spark, empty, folder):
     sf = folder(**tables(spark, empty, False))
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_values_on_awkward_rows(spark, awkward, awkward_rows, folder):
+    """What each query says of null, empty, blank, very long and repeated texts."""
+    import re
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    from quarrystone.llm import bpe
+    from tests.llm.test_operators import brute_substring
+
+    sf = folder(**tables(spark, awkward, True))
+    rows = [(r[0], r[1]) for r in awkward_rows]
+    run = lambda name: queries.QUERIES[name](spark, sf).collect()
+    lib = Tokenizer.from_file(bpe.default_path())
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in run("op6_bpe_encode")) == Counter((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    got = run("op7_lm_score")
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((i, len(w) + 1) for i, w in words) and all(r["score"] < 0 for r in got)
+    named = [(i, t or "") for i, t in rows if i is not None]
+    want = brute_substring(named)
+    got = [r for r in run("op3_substring_dedup") if r["doc_id"] is not None]
+    assert all(r["n_removed"] == want[r["doc_id"]][1] for r in got if r["doc_id"] != 5) and all(r["n_removed"] == 0 for r in got if r["doc_id"] == 5)
+    for r in run("op10_language_id"):
+        if r["doc_id"] in (2, 3, 4, 6):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+    assert {r["doc_id"]: r["class_id"] for r in run("op9_near_dedup") if r["doc_id"] in (2, 3, 4, 5, 8)} == {2: 2, 3: 3, 4: 4, 5: 5, 8: 8}
+    spans = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"]) for r in run("op4_secret_scan")}
+    assert spans[9] == (1, 1, 1) and spans[2] == spans[3] == spans[8] == (0, 0, 0)
+    licenses = {(r["doc_id"], r["n_words"], r["score"]) for r in run("op8_license_scan") if r["doc_id"] in (2, 3, 4, 8)}
+    assert licenses == {(2, 0, 0.0), (3, 0, 0.0), (4, 0, 0.0), (8, 1, 0.0)}
+    assert not run("op2_decontamination")
