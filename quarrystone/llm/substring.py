@@ -11,7 +11,8 @@ document keeps them.  Matches that follow one another make a maximal repeat, of
 more; its words go from every document but the smallest that has each 13 of them.
 
 Extending classes instead of pairs makes the work linear in the places of an anchor, however many documents
-share it.  Both steps go through ``exchange``: packed questions of blocks of documents to parts
+share it.  An anchor with over HOT different surroundings (a line that a third of all documents hold among other words) is not
+extended in one task: each of its windows goes where a hash of its own words sends it.  Both steps go through ``exchange``: packed questions of blocks of documents to parts
 of the key space, with each distinct anchor or neighbourhood of a block once, so that neither a passage that a third of all documents share nor a
 large group of copies lands in one task.
 
@@ -35,10 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import exchange as X
-from .common import rolling, table, word_hashes, words_of
+from .common import BASE, mix, rolling, table, word_hashes, words_of
 
 WINDOW, SEED = 13, 5
 ROWS = "part int, block long, data binary"
+#: Different surroundings of an anchor, over all documents, that one task extends.
+HOT = 1000
 NOBODY = np.iinfo(np.int64).max
 
 
@@ -85,34 +88,64 @@ class Block:
         self.hashes, self.place, self.value, self.ids, self.first, self.last = cat(hashes), cat(anchors), cat(values), cat(ids), cat(first), cat(last)
         self.anchor_of, self.left = cat(of_window), cat(left)  # of each window its anchor, and the words before the anchor
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted distinct anchors, and whether several documents of the block have each."""
-        order = np.argsort(self.value, kind="stable")
-        v, d = self.value[order], self.ids[order]
-        begin = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.empty(0, np.int64)
-        return v[begin], np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin) if len(v) else np.empty(0, bool)
-
-    def neighbourhoods(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the shared anchors (flags by anchor): the distinct rows (anchor, which windows, words before, words behind), sorted; the least document of each; of each anchor its row, or -1."""
-        on = np.flatnonzero(shared)
-        used = np.zeros(len(self.place), np.int64)
-        np.bitwise_or.at(used, self.anchor_of, 1 << self.left)
-        steps = np.arange(1, self.reach + 1)
-        columns = [self.value[on], used[on].astype(np.uint64)]
-        for at, inside in [(self.place[on] - k, self.place[on] - k >= self.first[on]) for k in steps] + [(self.place[on] + self.seed - 1 + k, self.place[on] + self.seed - 1 + k < self.last[on]) for k in steps]:
-            word = self.hashes[np.where(inside, at, 0)] >> np.uint64(16) if len(self.hashes) else np.empty(0, np.uint64)
-            columns.append(np.where(inside, word | np.uint64(1), np.uint64(0)))  # zero: no word
-        rows = np.ascontiguousarray(np.stack(columns, axis=1))
+    def word_at(self, places: np.ndarray, on: np.ndarray) -> np.ndarray:
+        """The words at places of the documents of anchors `on`, of their first 48 bits; zero where there is none."""
+        inside = (places >= self.first[on]) & (places < self.last[on])
+        return np.where(inside, self.hashes[np.where(inside, places, 0)] >> np.uint64(16) | np.uint64(1), np.uint64(0)) if len(on) else np.empty(0, np.uint64)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted distinct anchors, whether several documents of the block have each, and in how many different surroundings."""
+        every = np.arange(len(self.place))
+        ends = mix(self.word_at(self.place - self.reach, every) * BASE + self.word_at(self.place + self.seed - 1 + self.reach, every))
+        order = np.lexsort((ends, self.value))
+        v, d, e = self.value[order], self.ids[order], ends[order]
+        if not len(v):
+            return v, np.empty(0, bool), np.empty(0, np.int64)
+        fresh = np.concatenate([[True], v[1:] != v[:-1]])
+        begin = np.flatnonzero(fresh)
+        kinds = np.add.reduceat((fresh | np.concatenate([[True], e[1:] != e[:-1]])).astype(np.int64), begin)
+        return v[begin], np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin), kinds
+
+    def neighbourhoods(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the anchors with a flag: the distinct rows (route, which windows, words before, words behind), sorted by route; the least document of each; the row of each anchor and window, or -1.
+
+        The route of an anchor is its hash.  With the flag 2 it has a row for each window, with the words of that window alone, whose hash is the route.
+        """
+        on = np.flatnonzero(flags)
+        used = np.zeros(len(self.place), np.uint64)
+        np.bitwise_or.at(used, self.anchor_of, np.uint64(1) << self.left.astype(np.uint64))
+        steps = range(1, self.reach + 1)
+        near = [self.word_at(self.place[on] - k, on) for k in steps] + [self.word_at(self.place[on] + self.seed - 1 + k, on) for k in steps]
+        rows = np.stack([self.value[on], used[on], *near], axis=1) if len(on) else np.empty((0, 2 + 2 * self.reach), np.uint64)
+        hot = flags[on] == 2
+        made, anchors, lefts = [rows[~hot]], [on[~hot]], [np.full((~hot).sum(), -1)]
+        for left in range(self.reach + 1):
+            at = np.flatnonzero(hot & (rows[:, 1] >> np.uint64(left) & np.uint64(1)).astype(bool))
+            window = rows[at].copy()
+            window[:, 1] = 1 << left
+            window[:, 2 + left : 2 + self.reach] = 0
+            window[:, 2 + self.reach + self.reach - left :] = 0
+            for k in range(1, window.shape[1]):
+                window[:, 0] = mix(window[:, 0] * BASE + window[:, k])
+            made.append(window)
+            anchors.append(on[at])
+            lefts.append(np.full(len(at), left))
+        rows, anchor, left = np.ascontiguousarray(np.concatenate(made)), np.concatenate(anchors), np.concatenate(lefts)
+        row_of = np.full((len(self.place), self.reach + 1), -1, np.int32)
+        if not len(rows):
+            return rows, np.empty(0, np.int64), row_of
         kind = np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))
-        _, index, inverse = np.unique(rows.view(kind).ravel(), return_index=True, return_inverse=True) if len(on) else (None, np.empty(0, np.int64), np.empty(0, np.int64))
-        least = np.full(len(index), NOBODY)
-        np.minimum.at(least, inverse, self.ids[on])
+        _, index, inverse = np.unique(rows.view(kind).ravel(), return_index=True, return_inverse=True)
         order = np.argsort(rows[index, 0], kind="stable")
-        row_of = np.full(len(self.place), -1)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        row_of[on] = back[inverse]
-        return rows[index[order]], least[order], row_of, on
+        at = back[inverse]
+        least = np.full(len(index), NOBODY)
+        np.minimum.at(least, at, self.ids[anchor])
+        whole = left < 0
+        row_of[anchor[whole]] = at[whole, None]
+        row_of[anchor[~whole], left[~whole]] = at[~whole]
+        return rows[index[order]], least, row_of
 
 
 def _classes(parent: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -124,7 +157,7 @@ def _classes(parent: np.ndarray, word: np.ndarray) -> np.ndarray:
 def extend(rows: np.ndarray, low: np.ndarray, reach: int) -> np.ndarray:
     """For each row and number of words before the anchor the least document that has the window, NOBODY where the row stands for none.
 
-    rows: anchor, windows it stands for (bits), words before it from the nearest on, words behind it.
+    rows: route, windows it stands for (bits), words before the anchor from the nearest on, words behind it.
     """
     start = np.unique(rows[:, 0], return_inverse=True)[1]
     before, behind = [start], [start]
@@ -152,27 +185,28 @@ def dedup(docs: DataFrame, keep: list[str], window: int = WINDOW, seed: int = SE
     blocks = parts = X.n_blocks(rows, total, block_bytes)
     by_block = rows.select("kept_cols", F.pmod("_h", F.lit(blocks)).alias("block"), "doc_id", "has_id", "text").groupBy("block")
     reach = window - seed
-    words = [np.uint64] * (2 + 2 * reach)
+    words, most = [np.uint64] * (2 + 2 * reach), HOT
 
     def ask_anchors(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, several = Block(pdf, window, seed).distinct()
-        return pd.DataFrame([(p, key[0], X.pack(X.steps(keys[i:j]), several[i:j].astype(np.uint8))) for p, i, j in X.shares(keys, parts)], columns=["part", "block", "data"])
+        keys, several, kinds = Block(pdf, window, seed).distinct()
+        return pd.DataFrame([(p, key[0], X.pack(X.steps(keys[i:j]), several[i:j].astype(np.uint8), kinds[i:j].astype(np.uint32))) for p, i, j in X.shares(keys, parts)], columns=["part", "block", "data"])
 
     def join_anchors(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        asked = [(np.cumsum(k, dtype=np.uint64), s) for k, s in (X.unpack(d, np.uint64, np.uint8) for d in pdf["data"])]
+        asked = [(np.cumsum(k, dtype=np.uint64), s, n) for k, s, n in (X.unpack(d, np.uint64, np.uint8, np.uint32) for d in pdf["data"])]
         _, at, count = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True, return_counts=True)
         several = count > 1
         several[at[np.concatenate([a[1] for a in asked]) > 0]] = True
-        return _replies(key, pdf, several[at].astype(np.uint8), [len(a[0]) for a in asked], "a")
+        hot = several & (np.bincount(at, np.concatenate([a[2] for a in asked])) > most)
+        return _replies(key, pdf, (several[at] + hot[at].astype(np.uint8)).astype(np.uint8), [len(a[0]) for a in asked], "a")
 
     def shared_anchors(b: Block, got: pd.DataFrame) -> np.ndarray:
         flags = [X.unpack(d, np.uint8)[0] for _, d in sorted(zip(got["part"], got["data"], strict=True))]
         keys = np.unique(b.value)
-        return np.concatenate([np.empty(0, np.uint8), *flags])[np.searchsorted(keys, b.value)].astype(bool) if len(keys) else np.empty(0, bool)
+        return np.concatenate([np.empty(0, np.uint8), *flags])[np.searchsorted(keys, b.value)] if len(keys) else np.empty(0, np.uint8)
 
     def ask_neighbours(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         b = Block(pdf, window, seed)
-        near, low, _, _ = b.neighbourhoods(shared_anchors(b, got))
+        near, low, _ = b.neighbourhoods(shared_anchors(b, got))
         packed = lambda i, j: X.pack(X.steps(near[i:j, 0]), low[i:j], *near[i:j, 1:].T)
         return pd.DataFrame([(p, key[0], packed(i, j)) for p, i, j in X.shares(np.ascontiguousarray(near[:, 0]), parts)], columns=["part", "block", "data"])
 
@@ -195,7 +229,7 @@ def dedup(docs: DataFrame, keep: list[str], window: int = WINDOW, seed: int = SE
         parts_ = [np.stack(X.unpack(d, *[np.int64] * (reach + 1)), axis=1) for _, d in sorted(zip(told["part"], told["data"], strict=True))]
         least = np.concatenate([np.empty((0, reach + 1), np.int64), *parts_])
         covered = np.zeros(len(b.anchor_of), bool)
-        row = row_of[b.anchor_of]
+        row = row_of[b.anchor_of, b.left]
         on = np.flatnonzero(row >= 0)
         covered[on] = least[row[on], b.left[on]] < b.ids[b.anchor_of[on]]
         out, begin = [], 0

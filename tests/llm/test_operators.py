@@ -200,6 +200,22 @@ def test_substring_dedup_equals_brute_force(spark):
         assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
 
 
+@pytest.mark.parametrize("hot", [0, 3, 1000])
+def test_substring_dedup_with_common_lines_equals_brute_force(spark, monkeypatch, hot):
+    """Lines of 6 to 20 words that most documents hold, between other words and in whole copies."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    rng = random.Random(31)
+    lines = [[f"l{i}w{k}" for k in range(n)] for i, n in enumerate((6, 9, 12, 14, 20))]
+    rows = []
+    for i in range(150):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += [rng.choice(LOREM) for _ in range(rng.randint(0, 9))] + rng.choice(lines)
+        rows.append((i, " ".join(words if i % 4 else rows[rng.randrange(i)][1].split() if i else words)))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], block_bytes=2000).collect()}
+    assert got == brute_substring(rows)
+
+
 def test_substring_dedup_on_unnamed_and_split_documents(spark):
     rng = random.Random(6)
     passage = rng.choices(LOREM, k=40)
