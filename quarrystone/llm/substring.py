@@ -76,7 +76,7 @@ class Block:
             place, inverse = np.unique(at, return_inverse=True)
             hashes.append(h)
             anchors.append(place + begin)
-            values.append(g[place])
+            values.append(mix(g[place]))  # least hashes crowd at the low end; these do not
             ids.append(np.full(len(place), doc_id, np.int64))
             first.append(np.full(len(place), begin))
             last.append(np.full(len(place), begin + len(h)))
