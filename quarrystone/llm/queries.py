@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bagminhash, bpe, chat, chroma, decontam, hpylm, infill, langid, licenses, quantize, secrets, substring
+from . import bagminhash, bpe, chat, chroma, decontam, hpylm, infill, langid, licenses, ngram_join, quantize, secrets, substring
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_near_dedup": bagminhash.op9_near_dedup,
     "op10_language_id": langid.op10_language_id,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
     "op12_vector_codes": quantize.op12_vector_codes,
     "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
@@ -23,6 +24,7 @@ ORACLES = {
     "op3_substring_dedup": substring.ORACLE,
     "op4_secret_scan": secrets.ORACLE,
     "op9_near_dedup": bagminhash.ORACLE,
+    "op11_ngram_join": ngram_join.ORACLE,
     "op12_vector_codes": quantize.ORACLE,
     "op13_fill_in_middle": infill.ORACLE,
 }
