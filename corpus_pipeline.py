@@ -22,11 +22,11 @@ from quarrystone.llm.common import shared_dir, table, unwrapped, wrapped
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that language identification rejects: those without a letter or with an unsure answer.
 
-    Equal rows fall or stay together.  Documents none of which has a label are an error: all would be rejected.
+    Equal rows fall or stay together.  Where no document has a label, there is no language to be sure of: only those without a letter go.
     """
     model = langid.fit(docs)
-    if model is None and docs.where(F.length("text") > 0).limit(1).count():
-        raise ValueError("no labelled document to learn languages from")
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     named = langid.identify(wrapped(docs), model, ["doc"])
     return unwrapped(named.where(~F.col("rejected")), docs.columns)
 
