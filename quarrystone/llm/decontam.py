@@ -15,7 +15,7 @@ A benchmark of up to ``block_chars`` characters is broadcast as sorted hashes.
 Spark: its seeds with those of the distinct texts, then the texts and items of the hits' diagonals.
 
 Defined results: null or empty texts (documents or items) overlap with nothing; items of fewer than
-``shortest`` words are left out (1 takes all of them); of two stretches of the same length the first counts; very long texts are
+``shortest`` words are left out (none by default: an item of one word is found wherever the word stands); of two stretches of the same length the first counts; very long texts are
 compared whole; repeated rows are reported each; an empty table on either side gives no rows; columns of docs may have any names but found.
 """
 
@@ -34,6 +34,7 @@ from .common import batches, materialise, rolling, texts_of, with_text, word_has
 #: Fixed masks: 1 counts, 0 is ignored.  Any stretch of 13 words with two substitutions holds a hit of one of them.
 MASKS = ("110100111", "111001011", "1100110101", "1011001011")
 SURE = 13
+SALT = 1000  # places of a seed in items that one task joins with the texts that have it
 _PLAIN = bytes(b if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -49,28 +50,31 @@ def masked(h: np.ndarray, no: int) -> np.ndarray:
     return rolling(h, len(mask), tuple(i for i, c in enumerate(mask) if c == "1")) + np.uint64(no)
 
 
-def item_seeds(h: np.ndarray, similarity: float) -> list[tuple[int, int, int]]:
-    """(mask, hash, place) of an item: all of every mask, or the pieces of a short one."""
+def item_seeds(h: np.ndarray, similarity: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(mask, hashes, places) of an item: all of every mask, or the pieces of a short one."""
     if len(h) >= SURE:
-        return [(no, int(x), at) for no in range(len(MASKS)) for at, x in enumerate(masked(h, no))]
+        return [(no, x, np.arange(len(x))) for no in range(len(MASKS)) for x in [masked(h, no)]]
     edges = np.linspace(0, len(h), int((1 - similarity) * len(h) + 1e-9) + 2).round().astype(int)
-    return [(len(MASKS) + b - a - 1, int(masked(h[a:b], len(MASKS) + b - a - 1)[0]), int(a)) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+    return [(len(MASKS) + b - a - 1, masked(h[a:b], len(MASKS) + b - a - 1), np.array([a])) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
 
 
 class Seeds:
     """Seed hashes of a bounded benchmark, with a bit table that answers most misses."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, shortest: int = 5):
+    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, shortest: int = 1):
         hashed = [(i, word_hashes(plain_words(t))) for i, t in items]
         self.items = [(i, h) for i, h in hashed if len(h) >= max(1, shortest)]
-        made = [(no, x, n, at) for n, (_, h) in enumerate(self.items) for no, x, at in item_seeds(h, similarity)]
+        made: dict[int, list] = {}
+        for n, (_, h) in enumerate(self.items):
+            for no, x, at in item_seeds(h, similarity):
+                made.setdefault(no, []).append((x, np.full(len(x), n, np.int32), at.astype(np.int32)))
         self.tables = {}
-        for no in sorted({m[0] for m in made}):
-            mine = sorted((m[1:] for m in made if m[0] == no))
-            keys = np.array([m[0] for m in mine], np.uint64)
+        for no, rows in sorted(made.items()):
+            keys, item, at = map(np.concatenate, zip(*rows, strict=True))
+            order = np.lexsort((at, item, keys))
             bits = np.zeros(1 << 20, bool)
             bits[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.tables[no] = bits, keys, np.array([m[1] for m in mine]), np.array([m[2] for m in mine])
+            self.tables[no] = bits, keys[order], item[order], at[order]
 
     def hits(self, h: np.ndarray) -> list[tuple[int, int]]:
         """(item, diagonal) of every hit in a document."""
@@ -124,10 +128,12 @@ def on_diagonal(h: np.ndarray, own: np.ndarray, diagonal: int, least: int, simil
 def apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Of (equal, start, end, diagonal) those that no better one lies over."""
     kept: list[tuple[int, int, int, int]] = []
+    starts: list[int] = []
     for row in sorted(found, key=lambda r: (-r[0], r[1], r[2])):
-        at = bisect.bisect_left([k[1] for k in kept], row[1])
-        if (at == 0 or kept[at - 1][2] <= row[1]) and (at == len(kept) or kept[at][1] >= row[2]):
+        at = bisect.bisect_left(starts, row[1])
+        if (at == 0 or kept[at - 1][2] <= row[1]) and (at == len(kept) or starts[at] >= row[2]):
             kept.insert(at, row)
+            starts.insert(at, row[1])
     return kept
 
 
@@ -143,7 +149,7 @@ def overlaps(seeds: Seeds, text: str | None, least: int, similarity: float) -> l
 FOUND = T.ArrayType(T.StructType([T.StructField(k, T.LongType()) for k in ("item_id", "start", "end", "item_start", "equal")]))
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], least: int = 13, similarity: float = 0.8, shortest: int = 5, block_chars: int = 8_000_000) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], least: int = 13, similarity: float = 0.8, shortest: int = 1, block_chars: int = 8_000_000) -> DataFrame:
     """keep and found (the verified overlaps with items) for each row of docs."""
     spark = docs.sparkSession
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text")
@@ -171,8 +177,10 @@ def _joined(made: DataFrame, items: DataFrame, keep: list[str], least: int, simi
     items = items.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times")).withColumn("item", F.xxhash64("item_id", "text"))
 
     def of_items(batch: pa.RecordBatch):
-        rows = [(i, no, x, at) for i, t in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True) for h in [word_hashes(plain_words(t))] if len(h) >= max(1, shortest) for no, x, at in item_seeds(h, similarity)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64)), pa.array([r[3] for r in rows], pa.int32())], names=["item", "no", "x", "at"])
+        for i, t in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            h = word_hashes(plain_words(t))
+            for no, x, at in item_seeds(h, similarity) if len(h) >= max(1, shortest) else []:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i)), pa.array(np.full(len(x), no, np.int32)), pa.array(x.view(np.int64)), pa.array(at.astype(np.int32))], names=["item", "no", "x", "at"])
 
     seeds = materialise(items.mapInArrow(batches(of_items), "item long, no int, x long, at int"), "seeds")
     numbers = sorted(r["no"] for r in seeds.select("no").distinct().collect())  # a few masks and lengths of pieces
@@ -184,7 +192,11 @@ def _joined(made: DataFrame, items: DataFrame, keep: list[str], least: int, simi
                 x = masked(h, no)
                 yield pa.RecordBatch.from_arrays([batch.column("k1").take(pa.array([i] * len(x), pa.int32())), batch.column("k2").take(pa.array([i] * len(x), pa.int32())), pa.array(np.full(len(x), no, np.int32)), pa.array(x.view(np.int64)), pa.array(np.arange(len(x), dtype=np.int32))], names=["k1", "k2", "no", "x", "pos"])
 
-    hits = texts.mapInArrow(batches(of_texts), "k1 long, k2 int, no int, x long, pos int").join(seeds, ["no", "x"])
+    # a seed that many items have is dealt over tasks, and a text with it is told to each
+    sizes = materialise(seeds.groupBy("no", "x").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("salts")), "sizes")
+    salted = seeds.join(sizes, ["no", "x"]).withColumn("salt", F.pmod(F.xxhash64("item", "at"), F.col("salts"))).drop("salts")
+    told = texts.mapInArrow(batches(of_texts), "k1 long, k2 int, no int, x long, pos int").join(sizes, ["no", "x"])
+    hits = told.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).join(salted, ["no", "x", "salt"])
     hits = hits.select("k1", "k2", "item", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
     pairs = hits.groupBy("k1", "k2", "item").agg(F.collect_set("diagonal").alias("diagonals")).join(texts, ["k1", "k2"]).join(items.select("item", "item_id", "times", F.col("text").alias("own")), "item")
     kind = T.StructType([*[T.StructField(k, T.LongType()) for k in ("k1", "times")], T.StructField("k2", T.IntegerType()), *FOUND.elementType.fields])

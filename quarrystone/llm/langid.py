@@ -3,8 +3,9 @@
 Byte n-grams of the lower-cased text are hashed to buckets, each with a small
 vector; a text is the mean of its vectors, and a linear softmax names the language.
 Both are trained by stochastic gradient descent in numpy on a bounded sample of
-labelled documents, snippets of many lengths, and calibrated on documents that the descent has not
-seen: by a temperature on their snippets, and by a cut, the least probability from ``floor`` on
+labelled documents: on their whole texts, as bucket counts, and on pieces of many lengths from anywhere in them, both made where
+the texts are, so that what is gathered is bounded however long they are.  It is calibrated on documents that the descent has not
+seen: by a temperature on their pieces, and by a cut, the least probability from ``floor`` on
 above which ``precision`` of their whole texts are named rightly.  A text is rejected if it has no letter or
 if its calibrated probability is below the cut.
 
@@ -19,20 +20,24 @@ whole; columns of docs may have any names.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batches, texts_of, with_text
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 SIZES = (1, 2, 3, 4)
 BITS = 15
+#: Pieces of a text that are learned from, those that calibrate, and of how many bytes all are: from 8 to 8 times as many as this.
+PIECES, SHORT, LONG = 24, 8, 80
 
 
 @dataclass
@@ -63,52 +68,72 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]], dim: int = 16, steps: int = 12_000, rate: float = 0.5, floor: float = 0.5, precision: float = 0.98, seed: int = 7) -> Model | None:
-    """rows: (text, label), in a fixed order."""
-    rows = [(t, y) for t, y in rows if t and y is not None and LETTER.search(t)]
-    labels = sorted({y for _, y in rows})
+class Lesson(NamedTuple):
+    """A labelled text: pieces, the last two for calibration, and how often each bucket occurs in all of it."""
+
+    label: str
+    pieces: list[bytes]
+    buckets: np.ndarray
+    counts: np.ndarray
+
+
+def lesson(label: str, text: str) -> Lesson:
+    data = text.lower().encode("utf-8", "replace")
+    rng = np.random.default_rng(xxhash.xxh64_intdigest(data))
+    pieces = []
+    for longest in [LONG] * PIECES + [SHORT, LONG]:
+        n = int(longest ** rng.random() * 8)
+        at = int(rng.integers(0, max(1, len(data) - n + 1)))
+        pieces.append(data[at : at + n])
+    return Lesson(label, pieces, *np.unique(buckets_of(data), return_counts=True))
+
+
+def train(rows: list[Lesson], dim: int = 16, steps: int = 12_000, rate: float = 0.5, floor: float = 0.5, precision: float = 0.98, seed: int = 7) -> Model | None:
+    """rows: in a fixed order.  One step of eight takes a whole text, the others a piece."""
+    labels = sorted({r.label for r in rows})
     if not labels:
         return None
     rng = np.random.default_rng(seed)
-    data = [(t.lower().encode("utf-8", "replace"), labels.index(y)) for t, y in rows]
-    held = [x for i, x in enumerate(data) if i % 5 == 0] or data
-    used = [x for i, x in enumerate(data) if i % 5] or data
-    by_label = [[d for d, y in used if y == k] for k in range(len(labels))]
-    by_label = [x or [d for d, y in data if y == k] for k, x in enumerate(by_label)]
+    of = {y: k for k, y in enumerate(labels)}
+    held = [r for i, r in enumerate(rows) if i % 5 == 0] or rows
+    used = [r for i, r in enumerate(rows) if i % 5] or rows
+    by_label: list[list[Lesson]] = [[] for _ in labels]
+    for r in used:
+        by_label[of[r.label]].append(r)
+    for k, own in enumerate(by_label):
+        own += [] if own else [r for r in rows if of[r.label] == k]
     vectors = rng.normal(0, 0.1, (1 << BITS, dim)).astype(np.float32)
     weights, bias = np.zeros((dim, len(labels)), np.float32), np.zeros(len(labels), np.float32)
 
-    def snippet(d: bytes, longest: int) -> bytes:
-        n = int(longest ** rng.random() * 8)
-        at = int(rng.integers(0, max(1, len(d) - n + 1)))
-        return d[at : at + n]
-
     for step in range(steps):
         k = int(rng.integers(len(labels)))
-        d = snippet(by_label[k][int(rng.integers(len(by_label[k])))], 80)
-        idx = buckets_of(d)
-        mean = vectors[idx].mean(axis=0)
+        r = by_label[k][int(rng.integers(len(by_label[k])))]
+        if step % 8:
+            idx = buckets_of(r.pieces[int(rng.integers(PIECES))])
+            share = np.full(len(idx), 1 / len(idx), np.float32)
+        else:
+            idx, share = r.buckets, (r.counts / r.counts.sum()).astype(np.float32)
+        mean = share @ vectors[idx]
         error = _softmax(mean @ weights + bias)
         error[k] -= 1
         lr = rate * (1 - step / steps)
         back = weights @ error
         weights -= lr * np.outer(mean, error)
         bias -= 0.1 * lr * error
-        np.subtract.at(vectors, idx, (20 * lr / len(idx)) * back)
+        np.subtract.at(vectors, idx, 20 * lr * share[:, None] * back)
     scores = (vectors @ weights).astype(np.float64)
     bias = bias.astype(np.float64)
     logits, truth = [], []
-    for d, y in held:
-        for longest in (8, 80):
-            idx = buckets_of(snippet(d, longest))
-            logits.append(scores[idx].mean(axis=0) + bias)
-            truth.append(y)
+    for r in held:
+        for piece in r.pieces[PIECES:]:
+            logits.append(scores[buckets_of(piece)].mean(axis=0) + bias)
+            truth.append(of[r.label])
     logits, truth = np.array(logits), np.array(truth)
     grid = np.geomspace(0.05, 20, 61)
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
-    whole = np.array([scores[buckets_of(d)].mean(axis=0) for d, _ in held]) + bias
-    return Model(labels, scores, bias, temperature, cut_at(_softmax(whole / temperature), np.array([y for _, y in held]), floor, precision))
+    whole = np.array([r.counts @ scores[r.buckets] / r.counts.sum() for r in held]) + bias
+    return Model(labels, scores, bias, temperature, cut_at(_softmax(whole / temperature), np.array([of[r.label] for r in held]), floor, precision))
 
 
 def cut_at(p: np.ndarray, truth: np.ndarray, floor: float, precision: float) -> float:
@@ -135,25 +160,31 @@ def predict(model: Model | None, text: str | None) -> tuple[str, float, bool]:
     return model.labels[k], float(p[k]), bool(p[k] < model.reject_below)
 
 
-def labelled_sample(docs: DataFrame, per_class: int = 400, most_classes: int = 512, most_chars: int = 20_000) -> list[tuple[str, str]]:
-    """At most per_class labelled texts of each language, chosen by a hash of the row: bounded, and the same at every run.
+def labelled_sample(docs: DataFrame, per_class: int = 400, most_rows: int = 200_000) -> list[Lesson]:
+    """At most per_class labelled texts with a letter of each language, chosen by a hash of the row: bounded, and the same at every run.
 
-    Counts first (from lang alone), then one filtered read; equal rows count once.  Of a longer text a stretch of most_chars at
-    a hashed place is learned.  More than most_classes labels is an error.
+    Counts first (from lang alone), then one filtered read; equal rows count once.  With more than most_rows / per_class languages each has
+    as many fewer, one at least.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_classes + 1).collect()}
-    if len(sizes) > most_classes:
-        raise ValueError(f"more than {most_classes} languages")
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not sizes:
         return []
+    each = max(1, min(per_class, most_rows // len(sizes)))
     mark = F.xxhash64("doc_id", "text")
     share = F.pmod(mark, F.lit(1 << 30)) / float(1 << 30)
-    limit = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, 1.2 * per_class / n))])
-    start = F.when(F.length("text") > most_chars, F.pmod(mark, F.length("text") - most_chars)).otherwise(0).cast("int") + 1
-    picked = known.where(share <= F.element_at(limit, F.col("lang"))).groupBy("lang", mark.alias("mark")).agg(F.min(F.col("text").substr(start, F.lit(most_chars))).alias("text"))
-    first = picked.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("mark", F.lit(1 << 30)), "mark"))).where(F.col("n") <= per_class)
-    return [(r["text"], r["lang"]) for r in sorted(first.select("lang", "n", "text").collect(), key=lambda r: (r["lang"], r["n"]))]
+    limit = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, 1.2 * each / n + 10 / n))])
+    picked = known.where(share <= F.element_at(limit, F.col("lang"))).groupBy("lang", mark.alias("mark")).agg(F.min("text").alias("text"))
+    first = picked.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("mark", F.lit(1 << 30)), "mark"))).where(F.col("n") <= each)
+
+    def run(batch: pa.RecordBatch):
+        made = [lesson(y, t) for y, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+        arrays = [batch.column("lang"), batch.column("n"), pa.array([m.pieces for m in made], pa.list_(pa.binary())), pa.array([m.buckets for m in made], pa.list_(pa.int32())), pa.array([m.counts for m in made], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "n", "pieces", "buckets", "counts"])
+
+    lessons = first.select("lang", "n", "text").mapInArrow(batches(run), "lang string, n int, pieces array<binary>, buckets array<int>, counts array<long>").toArrow()
+    rows = sorted(lessons.to_pylist(), key=lambda r: (r["lang"], r["n"]))
+    return [Lesson(r["lang"], r["pieces"], np.array(r["buckets"], np.int64), np.array(r["counts"], np.int64)) for r in rows]
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:

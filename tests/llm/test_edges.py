@@ -49,6 +49,15 @@ def test_stages_take_an_empty_table(spark, empty, folder):
     assert corpus_pipeline.run(spark, sf).count() == 0
 
 
+def test_language_stage_keeps_texts_where_nothing_is_labelled(spark, awkward, awkward_rows, folder):
+    from pyspark.sql import functions as F
+
+    sf = folder(**tables(spark, awkward.withColumn("lang", F.lit(None).cast("string")), True))
+    got = corpus_pipeline.identify_language(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(str(r[0]) for r in awkward_rows if r[1] and any(c.isalpha() for c in r[1]))
+    assert {r["lang_pred"] for r in queries.QUERIES["op10_language_id"](spark, sf).collect()} == {"und"}
+
+
 def test_values_on_awkward_rows(spark, awkward, awkward_rows, folder):
     """What each query says of null, empty, blank, very long and repeated texts."""
     import re

@@ -106,7 +106,7 @@ def test_decontamination_recall_against_brute_force():
     rng = random.Random(12)
     missed, sure, total = 0, 0, 0
     for trial in range(900):
-        n = rng.choice([5, 6, 8, 9, 10, 12, 13, 13, 16, 20, 30])
+        n = rng.choice([1, 2, 3, 4, 5, 6, 8, 9, 10, 12, 13, 13, 16, 20, 30])
         item = [f"w{rng.randrange(10**9)}" for _ in range(n)]
         copy = list(item)
         for p in rng.sample(range(n), rng.randint(0, n // 5 + (trial % 10 == 0))):
@@ -121,6 +121,29 @@ def test_decontamination_recall_against_brute_force():
     assert sure == 0 and missed <= 0.02 * total and total > 500
 
 
+def test_items_of_few_words_are_found(spark, folder):
+    """By the query itself: items of one to four words, wherever they stand."""
+    items = [(1, "Zebra!"), (2, "two words"), (3, "three short words"), (4, "these are four words")]
+    docs = [(10, "a zebra, and a zebra"), (11, "two other words"), (12, "the two words"), (13, "three short words; these are four words"), (14, "nothing"), (15, "these are many words")]
+    sf = folder(documents=spark.createDataFrame(docs, "doc_id long, text string"), benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted((r["doc_id"], r["item_id"], r["doc_start"], r["doc_end"]) for r in decontam.op2_decontamination(spark, sf).collect())
+    assert got == [(10, 1, 1, 2), (10, 1, 4, 5), (12, 2, 1, 3), (13, 3, 0, 3), (13, 4, 3, 7)]
+
+
+@pytest.mark.parametrize("salt", [1, 3, 1000])
+def test_seeds_that_many_items_share(spark, monkeypatch, salt):
+    """The joined way deals a common seed over tasks and finds what the broadcast way finds."""
+    monkeypatch.setattr(decontam, "SALT", salt)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    common = " ".join(rng.choices(words, k=14))
+    items = [(i, " ".join([common, *rng.choices(words, k=rng.randint(0, 6))])) for i in range(60)] + [(100 + i, "one two") for i in range(20)]
+    docs = [(i, " ".join([*rng.choices(words, k=5), common, "one two", *rng.choices(words, k=5)])) for i in range(30)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    seen = [sorted((r["doc_id"], sorted(tuple(o) for o in r["found"])) for r in decontam.find_overlaps(frame, bench, ["doc_id"], block_chars=block).collect()) for block in (8_000_000, 10)]
+    assert seen[0] == seen[1] and all(len(found) >= 80 for _, found in seen[0])
+
+
 def test_decontamination_reports_every_copy_and_both_ways_agree(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(3000)]
@@ -502,8 +525,55 @@ def test_language_id_held_out_accuracy(spark):
 def test_language_sample_is_bounded_on_repeated_and_unnamed_rows(spark):
     rows = [(None, f"text number {i} of many", "en") for i in range(3000)] + [(7, "the same row again", "de")] * 2000 + [(8, "x" * 50_000, "fr")]
     got = langid.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_class=50)
-    sizes = Counter(y for _, y in got)
-    assert 30 <= sizes["en"] <= 50 and sizes["de"] <= 1 and sizes["fr"] == 1 and max(len(t) for t, _ in got) == 20_000
+    sizes = Counter(x.label for x in got)
+    assert 30 <= sizes["en"] <= 50 and sizes["de"] <= 1 and sizes["fr"] == 1
+    assert all(len(x.pieces) == langid.PIECES + 2 and max(map(len, x.pieces)) <= 8 * langid.LONG for x in got)
+    whole = next(x for x in got if x.label == "fr")
+    assert whole.counts.sum() == sum(50_000 + 2 - n + 1 for n in langid.SIZES)
+    many = spark.createDataFrame([(i, f"text {i}", f"l{i % 40}") for i in range(400)], "doc_id long, text string, lang string")
+    few = Counter(x.label for x in langid.labelled_sample(many, most_rows=80))
+    assert len(few) == 40 and max(few.values()) <= 2
+
+
+def _plain_buckets(text):
+    """FNV-1a over every byte n-gram of the padded lower-case text, one by one."""
+    data, out = b" " + text.lower().encode("utf-8", "replace") + b" ", []
+    for n in langid.SIZES:
+        for i in range(len(data) - n + 1):
+            h = 2166136261 + n
+            for c in data[i : i + n]:
+                h = (h ^ c) * 16777619 % 2**32
+            out.append((h ^ h >> 15) % 2**langid.BITS)
+    return out
+
+
+def test_language_predictions_equal_sums_over_single_ngrams(spark):
+    """identify() of all rows against softmax of means over n-grams taken one at a time."""
+    import math
+    import unicodedata
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    got = {r["doc_id"]: r for r in langid.identify(docs.select("doc_id", "text"), model, ["doc_id"]).collect()}
+    for r in docs.collect():
+        out = got[r["doc_id"]]
+        if not any(unicodedata.category(c).startswith("L") for c in r["text"] or ""):
+            assert (out["lang_pred"], out["score"], out["rejected"]) == ("und", 0.0, True)
+            continue
+        many = Counter(_plain_buckets(r["text"]))
+        total = sum(many.values())
+        z = [(math.fsum(c * float(model.scores[b, k]) for b, c in many.items()) / total + float(model.bias[k])) / model.temperature for k in range(len(model.labels))]
+        p = [math.exp(x - max(z)) for x in z]
+        best = max(range(len(p)), key=lambda k: p[k])
+        assert out["lang_pred"] == model.labels[best] and abs(out["score"] - p[best] / sum(p)) < 1e-9 and out["rejected"] == (out["score"] < model.reject_below)
+
+
+def test_numbers_and_marks_are_no_letters(spark):
+    model = langid.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    for text in ("\u00bd \u00b2", "\u2167", "\u00b2", "\u0301", "12 34 !!", "_", "\u4e00"):
+        want = "und" if text != "\u4e00" else None
+        got = langid.predict(model, text)
+        assert (got == ("und", 0.0, True)) == (want == "und")
 
 
 def test_cut_keeps_precision():
