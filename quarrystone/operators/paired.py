@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from .bootstrap import cluster_bootstrap, family_bootstrap, python_bootstrap  # noqa: F401
 from .gates import incomplete_grid, require_empty
 
 
 def pivot_arms(rows: DataFrame, case: str, cluster: str, arm: str, value: str, arms: list[str], policy: str = "strict") -> DataFrame:
-    """case, cluster and a column for each arm.  A case in two clusters is an error under every policy.
+    """case, cluster and a column for each arm.  A case in two clusters, or with two rows of an arm, is an error under every policy.
 
     policy: 'strict' (every case has every arm exactly once, also one whose rows are all of other arms, else an error),
     'intersection' (cases without one are dropped), or 'definitive' (also cases with a null value).
@@ -25,6 +23,7 @@ def pivot_arms(rows: DataFrame, case: str, cluster: str, arm: str, value: str, a
         require_empty(none, "cases without any of the arms")
         require_empty(incomplete_grid(rows, case, arm, arms), "incomplete arms")
     has = [F.count(F.when(F.col(arm) == a, 1)).alias(f"_n_{a}") for a in arms]
+    require_empty(listed.groupBy(case, arm).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"), "repeated arms of a case")
     got = listed.groupBy(case).agg(F.max(cluster).alias(cluster), *[F.max(F.when(F.col(arm) == a, F.col(value).cast("double"))).alias(a) for a in arms], *has)
     if policy != "strict":
         got = got.where(" AND ".join(f"`_n_{a}` > 0" for a in arms))
@@ -55,80 +54,6 @@ def contingency(pairs: DataFrame, a: str, b: str, group: list[str] = ()) -> Data
     return got.withColumn("diff_pp", 100.0 * (F.col("only_b") - F.col("only_a")) / total).withColumn("p_exact", S.mcnemar(F.col("only_b"), F.col("only_a")))
 
 
-def cluster_bootstrap(effects: DataFrame, cluster: str, value: str, replicates: int = 10_000, seed: int = 42, interval: str = "linear", add_one: bool = True, alpha: float = 0.05) -> DataFrame:
-    """estimate, low, high and two-sided p of the macro mean, by resampling whole clusters.
-
-    The cluster drawn in a slot of a replicate is a hash of seed, replicate and slot, so that
-    a run gives the same draws on any number of partitions, and in SQL.  interval: 'linear'
-    (interpolated percentiles) or 'index' (the order statistics at floor(alpha/2 B) and
-    floor((1-alpha/2) B)).  Clusters are one row each, and are numbered by their sorted key.
-    """
-    means = effects.groupBy(cluster).agg(F.avg(value).alias("m")).where("m IS NOT NULL")
-    numbered = means.withColumn("i", F.row_number().over(W.orderBy(cluster)) - 1)
-    n = means.count()
-    if not n:
-        raise ValueError("no clusters to resample")
-    spark = effects.sparkSession
-    draws = spark.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("slot").cast("string"))
-    draws = draws.withColumn("i", (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n).cast("int"))
-    per = draws.join(numbered.select("i", "m"), "i").groupBy("rep").agg(F.avg("m").alias("est"))
-    if interval == "linear":
-        low, high = F.percentile("est", F.lit(alpha / 2)), F.percentile("est", F.lit(1 - alpha / 2))
-    elif interval == "index":
-        at = lambda q: F.element_at(F.array_sort(F.collect_list("est")), min(replicates - 1, int(q * replicates)) + 1)
-        low, high = at(alpha / 2), at(1 - alpha / 2)
-    else:
-        raise ValueError(interval)
-    extra = 1 if add_one else 0
-    under, over = F.sum((F.col("est") <= 0).cast("long")) + extra, F.sum((F.col("est") >= 0).cast("long")) + extra
-    ci = per.agg(low.alias("low"), high.alias("high"), F.least(F.lit(1.0), 2 * F.least(under, over) / (replicates + extra)).alias("p"))
-    point = means.agg(F.avg("m").alias("estimate"), F.count("m").alias("n_clusters"))
-    return point.join(F.broadcast(ci))
-
-
-def family_bootstrap(effects: DataFrame, family: str, cluster: str, value: str, replicates: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """family, estimate, n_clusters, low, high, p for every family at once: the draws of cluster_bootstrap, with the seed moved on by the family's place in sorted order."""
-    means = effects.groupBy(family, cluster).agg(F.avg(value).alias("m")).where("m IS NOT NULL")
-    places = W.orderBy(family)  # a row for each family
-    sizes = means.groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.avg("m").alias("estimate"), F.count("m").alias("n_clusters")).withColumn("s", F.row_number().over(places) - 1 + seed)
-    numbered = means.withColumn("i", F.row_number().over(W.partitionBy(family).orderBy(cluster)) - 1)
-    draws = sizes.select(family, "s", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    draws = draws.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    text = F.concat_ws(":", *[F.col(c).cast("string") for c in ("s", "rep", "slot")])
-    draws = draws.withColumn("i", (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.col("n")).cast("int"))
-    per = draws.join(numbered.select(family, "i", "m"), [family, "i"]).groupBy(family, "rep").agg(F.avg("m").alias("est"))
-    under, over = F.count_if(F.col("est") <= 0) + 1, F.count_if(F.col("est") >= 0) + 1
-    ci = per.groupBy(family).agg(F.percentile("est", F.lit(alpha / 2)).alias("low"), F.percentile("est", F.lit(1 - alpha / 2)).alias("high"), F.least(F.lit(1.0), 2 * F.least(under, over) / (replicates + 1)).alias("p"))
-    return sizes.select(family, "estimate", "n_clusters").join(ci, family)
-
-
-def python_bootstrap(effects: DataFrame, cluster: str, value: str, replicates: int = 10_000, seed: int = 42, order: str | None = None, rule: str = "quantile") -> DataFrame:
-    """As cluster_bootstrap, with the draws of Python's own generator: for parity with results made by it.
-
-    Clusters are numbered by their key, or by the first value of order in each (the order of insertion).  rule:
-    'quantile' (randrange, interpolated percentiles, p with one added) or 'script' (choice over keys, order statistics, no
-    p, values times 100 rounded to one digit).  Only one mean for each cluster reaches the task, not the cases.
-    """
-    means = effects.groupBy(cluster).agg(F.avg(value).alias("m"), F.min(order or cluster).alias("o")).where("m IS NOT NULL").withColumn("g", F.lit(1))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import random
-
-        m = pdf.sort_values("o")["m"].to_numpy()
-        rng = random.Random(seed)
-        pick = (lambda: rng.choice(range(len(m)))) if rule == "script" else lambda: rng.randrange(len(m))
-        est = np.array([m[[pick() for _ in m]].mean() for _ in range(replicates)])
-        if rule == "script":
-            est = np.sort(100 * est)
-            return pd.DataFrame([[100 * m.mean(), len(m), round(est[int(0.025 * replicates)], 1), round(est[int(0.975 * replicates)], 1), None]], columns=["estimate", "n_clusters", "low", "high", "p"])
-        p = min(1.0, 2 * min((est <= 0).sum() + 1, (est >= 0).sum() + 1) / (replicates + 1))
-        low, high = np.quantile(est, [0.025, 0.975])
-        return pd.DataFrame([[m.mean(), len(m), low, high, p]], columns=["estimate", "n_clusters", "low", "high", "p"])
-
-    return means.groupBy("g").applyInPandas(run, "estimate double, n_clusters long, low double, high double, p double")
-
-
 def cumulative_by_round(rows: DataFrame, solved_round: str, rounds: int, group: list[str] = ()) -> DataFrame:
     """Cases solved by each round 1..rounds: solved at r counts for every later one."""
     per = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum((F.col(solved_round) <= r).cast("long")) for r in range(1, rounds + 1)]).alias("c"))
