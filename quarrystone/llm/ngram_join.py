@@ -204,8 +204,13 @@ def joined(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFra
     found = materialise(prefixes(docs, percent, k), "prefixes")
     roots = roots_of(found, percent)
     named = found.select("doc_id", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    # written, so that Spark can split the rows of a large component over tasks
+    least = materialise(named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    made = named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    made = materialise(made, "components")
+    for frame in (found, roots, least):
+        release(frame)
+    return made
 
 
 def op11_ngram_join(spark, sf_dir: str) -> DataFrame:
