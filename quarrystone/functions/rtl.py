@@ -202,9 +202,6 @@ class Drives:
         return out
 
 
-_RANGE = r"\[[^\]]*\]"
-_PORT = re.compile(rf"\b(input|output|inout)\b\s*(?:wire|reg|logic)?\s*(signed)?\s*((?:{_RANGE}\s*)*)([A-Za-z_]\w*(?:\s*,\s*(?!input\b|output\b|inout\b)[A-Za-z_]\w*)*)")
-_PARAMETER = re.compile(r"\b(?:parameter|localparam)\b(?:\s*(?:integer|int|logic|signed|unsigned))*\s*(?:\[[^\]]*\]\s*)?([A-Za-z_]\w*)\s*=\s*([^,;)]+)")
 _ARITHMETIC = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.LShift: operator.lshift, ast.RShift: operator.rshift, ast.Pow: operator.pow}
 
 
@@ -236,55 +233,6 @@ def constant(text: str, values: dict[str, int]) -> int | None:
         return None
 
 
-def parse_module(source: str | None) -> dict | None:
-    """name, parameters (name, value) and ports (direction, name, width text, bits, signed) of the first module; bits is null where no constant."""
-    code = mask(source or "")
-    head = re.search(r"\bmodule\s+(\w+)(.*?)\bendmodule\b", code, re.S)
-    if not head:
-        return None
-    values: dict[str, int] = {}
-    listed = re.match(r"\s*#\s*\((.*?)\)\s*\(", head[2], re.S)
-    named = re.findall(r"([A-Za-z_]\w*)\s*=\s*([^,]+)", listed[1]) if listed else []
-    for name, text in [*named, *_PARAMETER.findall(head[2])]:
-        got = constant(text, values)
-        if got is not None:
-            values[name] = got
-
-    def bits(width: str) -> int | None:
-        total = 1
-        for high, low in re.findall(r"\[([^:\]]*):([^\]]*)\]", width):
-            a, b = constant(high, values), constant(low, values)
-            if a is None or b is None:
-                return None
-            total *= abs(a - b) + 1
-        return total
-
-    ports = [{"direction": m[1], "name": name.strip(), "width": re.sub(r"\s+", "", m[3]), "bits": bits(m[3]), "signed": bool(m[2])} for m in _PORT.finditer(head[2]) for name in m[4].split(",")]
-    return {"name": head[1], "parameters": [{"name": k, "value": v} for k, v in values.items()], "ports": ports}
-
-
-def input_drive_reason(source: str | None, inputs: tuple[str, ...] | None = None) -> str:
-    """Why a module is refused that may drive one of its inputs (those of its interface, if none are given); empty if it is not."""
-    if inputs is None:
-        parsed = parse_module(source)
-        inputs = tuple(p["name"] for p in parsed["ports"] if p["direction"] == "input") if parsed else ()
-    return Drives(source, inputs).reason()
-
-
-def vcd_values(text: str | None) -> list[dict]:
-    """The last value of every signal of a change dump, and the time of its last change."""
-    names, state, now = {}, {}, 0
-    for line in (text or "").splitlines():
-        line = line.strip()
-        if m := re.match(r"\$var\s+\S+\s+(\d+)\s+(\S+)\s+(\S+)", line):
-            names[m[2]] = m[3]
-        elif m := re.match(r"#(\d+)$", line):
-            now = int(m[1])
-        elif (m := re.match(r"([01xzXZ])(\S+)$", line)) or (m := re.match(r"b([01xzXZ]+)\s+(\S+)$", line)):
-            state[m[2]] = (m[1].lower(), now)
-    return [{"signal": names[k], "value": v, "time": t} for k, (v, t) in sorted(state.items()) if k in names]
-
-
 def canonical_json(text: str | None) -> str | None:
     """JSON with sorted keys, no spaces, nothing escaped but what must be; null if it is no JSON."""
     try:
@@ -309,23 +257,10 @@ def refused(c: Column | str, reserved: tuple[str, ...] = ()) -> Column:
     return _series(lambda x: security_reason(x, reserved), "string")(c)
 
 
-def driven_input(c: Column | str) -> Column:
-    return _series(input_drive_reason, "string")(c)
-
-
-def module_info(c: Column | str) -> Column:
-    return F.from_json(_series(lambda x: json.dumps(parse_module(x)) if parse_module(x) else None, "string")(c), "name string, parameters array<struct<name:string,value:long>>, ports array<struct<direction:string,name:string,width:string,bits:long,signed:boolean>>")
-
-
 def canonical_sha256(json_text: Column | str) -> Column:
     return F.sha2(_series(canonical_json, "string")(json_text), 256)
 
 
-def dump_values(c: Column | str) -> Column:
-    """array of struct(signal, value, time) of a value change dump."""
-    return F.from_json(_series(lambda x: json.dumps(vcd_values(x)), "string")(c), "array<struct<signal:string,value:string,time:long>>")
-
-
 def single_deletion(original: str | None, reduced: str | None) -> str | None:
     """The one stretch whose removal turns original into reduced; null if there is none."""
     if not original or reduced is None or len(reduced) >= len(original):

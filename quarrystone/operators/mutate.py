@@ -1,4 +1,4 @@
-"""Mutations of a source as a table function: a row for each operator that changed it.
+"""Mutations of a source: a row for each operator that changed it.
 
 A source is read as lexemes with their places; comments and strings are no lexemes.  An operator
 is a function from these to edits (begin, end, new text), of which one is chosen by a hash of
@@ -7,14 +7,14 @@ seed, operator and source, so that it does not depend on partitions.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql import types as T
 
 from ..functions.rtl import mask
 
@@ -177,26 +177,43 @@ SEMANTIC = {
 REGISTRIES = {"lint": LINT, "semantic": SEMANTIC}
 
 
-def mutate(source: str, registry: str, name: str, seed: int) -> str | None:
-    """source with one of the operator's edits made, or null if it has none that changes anything."""
-    edits = [e for e in REGISTRIES[registry][name](Source(source)) if source[e[0] : e[1]] != e[2]]
+def picked(s: Source, name: str, edits: list[Edit], seed: int) -> str | None:
+    """The source with one of an operator's edits made, chosen by a hash; null if none of them changes anything."""
+    edits = sorted(e for e in edits if s.text[e[0] : e[1]] != e[2])
     if not edits:
         return None
-    begin, end, new = sorted(edits)[xxhash.xxh3_64_intdigest(f"{seed}:{name}:{source}") % len(edits)]
-    return source[:begin] + new + source[end:]
-
-
-@udtf(returnType="mutation string, registry_pos int, broken string")
-class Mutations:
-    """mutations(source, registry, seed)"""
+    begin, end, new = edits[int(hashlib.md5(f"{seed}:{name}:{s.text}".encode()).hexdigest()[:8], 16) % len(edits)]
+    return s.text[:begin] + new + s.text[end:]
 
-    def eval(self, source: str, registry: str, seed: int) -> Iterator[tuple[str, int, str]]:
-        for i, name in enumerate(REGISTRIES[registry]):
-            broken = mutate(source, registry, name, seed) if source is not None else None
-            if broken is not None:
-                yield name, i, broken
 
-
-def expand(seeds: DataFrame, source: str, registry: str = "lint", seed: int = 0) -> DataFrame:
-    """Every seed row with each mutation that changes its source."""
-    return seeds.lateralJoin(Mutations(F.col(source).outer(), F.lit(registry), F.lit(seed)))
+def mutate(source: str, registry: str, name: str, seed: int) -> str | None:
+    s = Source(source)
+    return picked(s, name, REGISTRIES[registry][name](s), seed)
+
+
+def expand(seeds: DataFrame, source: str, registry: str | list[str] = "lint", seed: int = 0) -> DataFrame:
+    """Every seed row with each mutation (mutation, registry, registry_pos, broken) of one or several registries that changes its source.
+
+    A source is read as lexemes once, for all operators.  Rows come in Arrow batches and go out a batch for each few sources.
+    """
+    wanted = [registry] if isinstance(registry, str) else registry
+    schema = T.StructType([*seeds.schema.fields, *T.StructType.fromDDL("mutation string, registry string, registry_pos int, broken string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, made = [], []
+            for i, text in enumerate(batch.column(source).to_pylist()):
+                s = Source(text) if text else None
+                for kind in wanted if s else []:
+                    for at, (name, edits) in enumerate(REGISTRIES[kind].items()):
+                        broken = picked(s, name, edits(s), seed)
+                        if broken is not None:
+                            rows.append(i)
+                            made.append((name, kind, at, broken))
+                if len(rows) >= 4096 or (rows and i + 1 == batch.num_rows):
+                    held = batch.take(pa.array(rows, pa.int32()))
+                    own = [pa.array([m[k] for m in made], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*held.columns, *own], names=schema.names)
+                    rows, made = [], []
+
+    return seeds.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json_tree as J
 from ..functions import prompts
+from ..functions import header as H
 from ..functions import rtl as R
 from ..functions import text as T
 from ..operators import datagen as D
@@ -69,7 +70,7 @@ def candidate_gate(table, spark, sf):
     """A module with each construct, one for each nation, through both gates."""
     bodies = F.array(*[F.lit(b) for b, _, _ in CONSTRUCTS])
     source = F.concat(F.lit("module m(input clk, input [3:0] d, output reg [3:0] q, output y);\n"), F.get(bodies, F.col("n_nationkey")), F.lit("\nendmodule\n"))
-    return table("nation").where(F.col("n_nationkey") < len(CONSTRUCTS)).select("n_nationkey", R.refused(source).alias("refused"), R.driven_input(source).alias("driven"))
+    return table("nation").where(F.col("n_nationkey") < len(CONSTRUCTS)).select("n_nationkey", R.refused(source).alias("refused"), H.driven_input(source).alias("driven"))
 
 
 _COHORT = """r AS (SELECT o_orderkey, o_custkey, trim('rtl ' || o_totalprice) AS rtl FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority < '4'),

@@ -1,6 +1,6 @@
 """All registered queries of the engine proper."""
 
-from . import experiment_queries, gate_queries, ledger_queries, report_queries, text_queries  # noqa: F401
+from . import experiment_queries, gate_queries, ledger_queries, report_queries, rtl_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -9,7 +9,6 @@ from ..functions import rtl as R
 from ..functions import text as T
 from ..operators import datagen as D
 from ..operators import gates as G
-from ..operators.mutate import expand
 from ..operators.sampling import quota_sample
 from .registry import query
 
@@ -183,46 +182,6 @@ def diff_round_trip(table, spark, sf):
     return got.select("doc_id", F.md5("d.text").alias("restored_md5"), "d.error")
 
 
-def _module():
-    """A module for each part; what it holds follows the part's number and size."""
-    when = lambda c, text: F.when(c, text).otherwise("")
-    size = F.col("p_size")
-    return F.concat(
-        F.lit("module m"), F.col("p_partkey").cast("string"), F.lit("(input clk, input rst_n, input [W-1:0] a, output reg [W-1:0] q);\n"),
-        when(size % 2 == 0, "wire [3:0] t;\n"), F.lit("always @(posedge clk) begin\n"), when(size % 3 == 0, "if (!rst_n)\n"),
-        F.lit("q <= 4'd"), size.cast("string"), F.lit(";\nend\n"),
-        when(size % 5 == 0, "assign t = a == q ? a : q;\n"), when(size % 7 == 0, "sub u(.x(a));\n"), when(size % 4 == 0, "assign t = a + q;\n"), when(size % 6 == 0, "assign t = a && q;\n"), when(size % 10 == 0, "assign t = a << 2;\n"),
-        when(size % 11 == 0, "initial $display(1);\n"), when(size % 13 == 0, "assign a = q;\n"), F.lit("endmodule\n"),
-    )
-
-
-_SQL_WHEN = lambda n, text: f"CASE WHEN p_size % {n} = 0 THEN '{text}' ELSE '' END"
-_SQL_MODULE = "replace('module m' || p_partkey || '(input clk, input rst_n, input [W-1:0] a, output reg [W-1:0] q);~' || " + " || ".join([
-    _SQL_WHEN(2, "wire [3:0] t;~"), "'always @(posedge clk) begin~'", _SQL_WHEN(3, "if (!rst_n)~"), "'q <= 4''d' || p_size || ';~end~'", _SQL_WHEN(5, "assign t = a == q ? a : q;~"), _SQL_WHEN(7, "sub u(.x(a));~"),
-    _SQL_WHEN(4, "assign t = a + q;~"), _SQL_WHEN(6, "assign t = a && q;~"), _SQL_WHEN(10, "assign t = a << 2;~"), _SQL_WHEN(11, "initial $display(1);~"), _SQL_WHEN(13, "assign a = q;~")]) + " || 'endmodule~', '~', chr(10))"
-#: What a source must hold for each mutation to change it.
-_SQL_HOLDS = {
-    "drop_endmodule": r"(?m)^endmodule$", "delete_semicolon": r"(?m);$", "drop_one_end": r"(?m)^end$", "corrupt_pin": r"\.\w+\(", "width_mismatch": r"\[W-1:0\]", "rename_declaration": r"wire \[3:0\] t;", "blocking_in_seq": r"(?m)^q <= ",
-    "op_swap": r" \+ | & ", "flip_reset_polarity": r"!rst_n", "flip_equality": r" == | != ", "swap_logical": r" && ", "shift_swap": r" << ", "swap_ternary": r"\?", "off_by_one_literal": r"4'd\d",
-}
-
-
-@query(f"WITH s AS (SELECT {_SQL_MODULE} AS source FROM part) " + " UNION ALL ".join(f"SELECT '{k}' AS mutation, count(*) AS n FROM s WHERE regexp_matches(source, '{v.replace(chr(39), chr(39) * 2)}')" for k, v in _SQL_HOLDS.items()))
-def mutation_counts(table, spark, sf):
-    """Mutations of both registries of a module made from each part, as training seeds are expanded."""
-    seeds = table("part").select("p_partkey", _module().alias("source"))
-    both = expand(seeds, "source").unionByName(expand(seeds, "source", "semantic"))
-    return both.where("broken <> source").groupBy("mutation").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(rf"""WITH s AS (SELECT p_size, {_SQL_MODULE} AS source FROM part) SELECT regexp_extract(source, 'module (\w+)', 1) AS name, len(regexp_extract_all(source, '\b(input|output|inout)\b'))::BIGINT AS n_ports,
-CASE WHEN contains(source, '$display') THEN 'candidate security preflight rejected system task/function $display' ELSE '' END AS refused, CASE WHEN contains(source, 'assign a =') THEN 'candidate security preflight rejected drive of input port' ELSE '' END AS driven,
-len(regexp_extract_all(source, '\bbegin\b')) = len(regexp_extract_all(source, '\bend\b')) AS balanced FROM s""")
-def module_checks(table, spark, sf):
-    seeds = table("part").select(_module().alias("source")).withColumn("info", R.module_info("source"))
-    return seeds.select("info.name", F.size("info.ports").cast("long").alias("n_ports"), R.refused("source").alias("refused"), R.driven_input("source").alias("driven"), T.brackets_balanced("source").alias("balanced"))
-
-
 @query()
 def quota_cohort(table, spark, sf):
     docs = table("documents").select(F.md5("text").alias("task"), "doc_id", "lang", F.when(F.length("text") > 1500, "long").otherwise("short").alias("size"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.functions import diffs
+from quarrystone.functions import header as H
 from quarrystone.functions import rtl as R
 from quarrystone.functions import stats as S
 from quarrystone.functions import text as T
@@ -142,14 +143,12 @@ def test_rtl_functions():
     assert refused("assign x = u.secret; assign") == "hierarchical or cross-scope reference" and refused("property p; endproperty assign").startswith("embedded verification")
     assert R.security_reason(MODULE.replace("always @(posedge clk)", "always @(*)")) == ""
     assert refused("(* keep *) wire", "wire") == "source attribute" and R.security_reason(MODULE, ("u",)) == R.REFUSED + "reserved verifier hierarchy"
-    drives = lambda new, old="assign t =": R.input_drive_reason(MODULE.replace(old, new)).removeprefix(R.REFUSED)
-    assert R.input_drive_reason(MODULE) == "" and R.input_drive_reason("") == "" and drives("assign d =") == "drive of input port"
+    drives = lambda new, old="assign t =": H.input_drive_reason(MODULE.replace(old, new)).removeprefix(R.REFUSED)
+    assert H.input_drive_reason(MODULE) == "" and H.input_drive_reason("") == "" and drives("assign d =") == "drive of input port"
     assert drives("assign {d, q} =") == drives("always @* d++; assign t =") == drives("always @* {t, {d[1], q}} <= 2; assign t =") == drives("always @* case (q) 1: d <= q; endcase assign t =") == "drive of input port"
     assert drives("buf(d, q); assign t =") == "primitive drive of input port" and drives("assign t = d <= 3 ? d : d <= 2; assign q =") == ""
-    assert R.parse_module("module m #(parameter W = 8)(input [W-1:0] a, output [$clog2(W)-1:0] b); endmodule")["ports"][1]["bits"] == 3
-    assert [p["name"] for p in R.parse_module(MODULE)["ports"]] == ["clk", "rst_n", "d", "q"]
-    dump = "$var wire 1 ! clk $end\n$var reg 4 \" q $end\n#0\n0!\nb0x \"\n#5\n1!\n"
-    assert R.vcd_values(dump) == [{"signal": "q", "value": "0x", "time": 0}, {"signal": "clk", "value": "1", "time": 5}] or {v["signal"]: v["value"] for v in R.vcd_values(dump)} == {"clk": "1", "q": "0x"}
+    assert H.parse_module("module m #(parameter W = 8)(input [W-1:0] a, output [$clog2(W)-1:0] b); endmodule")["ports"][1]["bits"] == 3
+    assert [p["name"] for p in H.parse_module(MODULE)["ports"]] == ["clk", "rst_n", "d", "q"]
     assert R.canonical_json('{"b": 1, "a": "é"}') == '{"a":"é","b":1}' and R.canonical_json("x") is None
 
 
