@@ -23,7 +23,7 @@ from quarrystone.sources import readers, sinks
 from quarrystone.streaming import ledger as SL
 
 MODULE = """// a counter
-module cnt(input clk, input rst_n, input [W-1:0] d, output reg [3:0] q);
+module cnt #(parameter W = 4)(input clk, input rst_n, input [W-1:0] d, output reg [3:0] q);
   wire [3:0] t;
   assign t = q + 4'd1; /* module fake */
   always @(posedge clk) begin
