@@ -16,6 +16,7 @@ from ..operators import gates as G
 from ..operators import ledger as L
 from ..operators import paired as P
 from ..operators import reports as Rp
+from ..operators import rules as Ru
 from ..sources import readers, sinks
 from ..sources.scratch import scratch
 from ..streaming import ledger as S
@@ -342,3 +343,34 @@ def stream_matches(table, spark, sf):
     q = both.select(F.col("r.event_id").alias("event_id"), F.col("v.event_id").alias("verdict_id")).writeStream.outputMode("append").format("memory").queryName(name)
     q.option("checkpointLocation", scratch(spark, "matches")).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).where("verdict_id IS NOT NULL")
+
+
+_RESULTS = """r AS (SELECT 'shift' AS mode, arm, c_custkey::VARCHAR AS case_id, CASE WHEN c_custkey % 31 = 0 AND arm = 'b' THEN 'other' ELSE 'n' || c_nationkey END AS seed_id, CASE WHEN c_acctbal > 0 THEN c_acctbal > 5000 END AS success, CASE WHEN c_acctbal <= 0 THEN c_custkey % 37 = 0 END AS resolved,
+CASE WHEN c_custkey % 41 = 0 THEN 'PROVED' ELSE 'timeout' END AS formal_status, CASE WHEN c_mktsegment = 'BUILDING' THEN 'UNSUPPORTED' ELSE 'COMPILE_FAIL' END AS simulation_status, CASE WHEN c_custkey % 43 > 0 THEN c_mktsegment END AS reason, dirty
+FROM customer, (VALUES ('a'), ('b')) a(arm), (VALUES (true), (false)) d(dirty) WHERE NOT (dirty AND c_custkey % 29 = 0 AND arm = 'a')),
+f AS (SELECT * REPLACE (CASE WHEN dirty THEN seed_id ELSE 's' END AS seed_id, CASE WHEN dirty THEN resolved WHEN success IS NULL THEN false END AS resolved, CASE WHEN dirty THEN formal_status ELSE 'TIMEOUT' END AS formal_status, CASE WHEN dirty THEN reason ELSE 'r' END AS reason) FROM r), n AS (SELECT count(*) AS n FROM customer), k AS (FROM (VALUES (true), (false)) k(dirty))"""
+_COUNTED = {
+    "manifest size": "0",
+    "number of results": "(SELECT (count(*) <> 2 * any_value(n.n))::INTEGER FROM f, n WHERE f.dirty = k.dirty)",
+    "missing result": "(SELECT 2 * any_value(n.n) - count(*) FROM f, n WHERE f.dirty = k.dirty)",
+    "one seed a case": "(SELECT count(*) FROM (SELECT case_id FROM f WHERE f.dirty = k.dirty GROUP BY 1 HAVING count(DISTINCT seed_id) > 1))",
+    "null success is unresolved": "(SELECT count(*) FROM f WHERE f.dirty = k.dirty AND success IS NULL AND resolved)",
+    "inconclusive formal status": "(SELECT count(*) FROM f WHERE f.dirty = k.dirty AND success IS NULL AND formal_status = 'PROVED')",
+    "reason of an inconclusive result": "(SELECT count(*) FROM f WHERE f.dirty = k.dirty AND success IS NULL AND reason IS NULL)",
+}
+_ZERO = ["unexpected arm", "case and seed are named", "not in the manifest", "repeated result", "success against resolved", "inconclusive simulation status"]
+
+
+@query(f"WITH {_RESULTS} SELECT dirty, rule, n_violations::BIGINT AS n_violations, n_violations = 0 AS passed FROM (" + " UNION ALL ".join([f"SELECT dirty, '{name}' AS rule, {sql} AS n_violations FROM k" for name, sql in _COUNTED.items()] + [f"SELECT dirty, '{name}', 0 FROM k" for name in _ZERO]) + ")")
+def frozen_grid_gate(table, spark, sf):
+    """A grid of customers and two arms against its rules, once as it should be and once with every kind of defect that its rows can have."""
+    customer = table("customer")
+    expected = customer.count()
+    manifest = customer.select(F.col("c_custkey").cast("string").alias("case_id"))
+    key, text = F.col("c_custkey"), lambda c: F.col(c).cast("string")
+    base = D.arm_grid(customer, ["a", "b"]).withColumn("mode", F.lit("shift")).withColumn("case_id", text("c_custkey")).withColumn("success", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") > 5000))
+    simulated = F.when(F.col("c_mktsegment") == "BUILDING", "UNSUPPORTED").otherwise("COMPILE_FAIL")
+    dirty = base.where(~((key % 29 == 0) & (F.col("arm") == "a"))).select("mode", "arm", "case_id", F.when((key % 31 == 0) & (F.col("arm") == "b"), "other").otherwise(F.concat(F.lit("n"), text("c_nationkey"))).alias("seed_id"), "success", F.when(F.col("c_acctbal") <= 0, key % 37 == 0).alias("resolved"), F.when(key % 41 == 0, "PROVED").otherwise("timeout").alias("formal_status"), simulated.alias("simulation_status"), F.when(key % 43 > 0, F.col("c_mktsegment")).alias("reason"))
+    clean = base.select("mode", "arm", "case_id", F.lit("s").alias("seed_id"), "success", F.when(F.col("success").isNull(), F.lit(False)).alias("resolved"), F.lit("TIMEOUT").alias("formal_status"), simulated.alias("simulation_status"), F.lit("r").alias("reason"))
+    said = [Ru.grid_report(rows, manifest, ["a", "b"], expected).select(F.lit(d).alias("dirty"), "rule", "n_violations", "passed") for rows, d in ((dirty, True), (clean, False))]
+    return said[0].unionByName(said[1])
