@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import annotations as A
 from ..functions import diffs
 from ..functions import text as T
+from ..functions.payload import payload_places
 from ..operators import documents as D
 from ..operators import names as N
 from .registry import query
@@ -86,3 +87,31 @@ def renamed_texts(table, spark, sf):
     listed = words.withColumn("new", F.concat(F.lit("<"), F.upper("old"), F.lit(">")))
     got = N.replace_names(table("documents").where("text <> ''").select("doc_id", "text"), "text", listed)
     return got.select("doc_id", F.col("n_replaced").cast("long").alias("n_replaced"), F.md5("replaced").alias("replaced_md5"))
+
+
+#: A piece for some kinds, put behind each document; and for each kind a pattern for SQL, whose group 2 is the finding and group 1 what may stand before it.
+_PIECES = ["sk-" + "a" * 24, "ghp_" + "c" * 32, "xoxb-" + "d" * 24, "AIza" + "e" * 32, "https://u:p@h/", "/home/u/x", "NVIDIA", "abc--my-app.modal.run", "</think >", "<Reasoning mode=1>"]
+_FOUND = {
+    "provider API key": r"(^|[^A-Za-z0-9])(sk-[A-Za-z0-9_-]{20,})",
+    "GitHub token": r"(^|[^A-Za-z0-9])(gh[opsu]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,})",
+    "Slack token": r"(^|[^A-Za-z0-9])(xox[baprs]-[A-Za-z0-9-]{20,})",
+    "Google API key": r"(^|[^A-Za-z0-9])(AIza[0-9A-Za-z_-]{30,})",
+    "credential-bearing URL": r"(?i)()(https?://[^/\s:@]+:[^/\s@]+@)",
+    "POSIX home path": r"(^|[^A-Za-z0-9])(/(?:Users|home)/[A-Za-z0-9._-]+/[^\s\"''<>]+)",
+    "home folder": r"()(/(?:Users|home)/[A-Za-z0-9._-]+/)",
+    "organization identifier": r"(?i)()(\bnvidia\b|\bnvcf\b|\bngc\b)",
+    "personal serving endpoint": r"(^|[^<\w-])([a-z0-9]{3,}--[a-z0-9-]+\.modal\.run)",
+    "reasoning tag": r"(?i)()(<\s*/?\s*(?:think|analysis|reasoning)(?:\s+[^>]*)?\s*>)",
+    "e-mail address": r"()([\w.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})",
+}
+_PIECE_LIST = ", ".join(f"'{x}'" for x in _PIECES)
+
+
+@query(f"WITH d AS (SELECT doc_id, coalesce(text, '') || ' ' || ([{_PIECE_LIST}])[1 + doc_id % {len(_PIECES)}] AS t FROM documents), f AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, regexp_extract_all(t, '{p}', 2) AS found FROM d" for k, p in _FOUND.items()) + ") SELECT doc_id, kind, len(found)::BIGINT AS n_places, list_sum(list_transform(found, lambda x: strlen(x)))::BIGINT AS n_bytes FROM f WHERE len(found) > 0")
+def payload_findings(table, spark, sf):
+    """How many findings of each kind the bytes of every document hold, and how long they are, with a piece put behind each."""
+    piece = F.get(F.array(*[F.lit(x) for x in _PIECES]), (F.col("doc_id") % len(_PIECES)).cast("int"))
+    content = F.encode(F.concat(F.coalesce("text", F.lit("")), F.lit(" "), piece), "UTF-8")
+    docs = table("documents").select("doc_id", content.alias("content"))
+    places = docs.select("doc_id", F.explode(payload_places(F.lit("document.txt"), F.col("content"))).alias("f")).select("doc_id", "f.*")
+    return places.where(F.col("kind").isin(list(_FOUND))).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n_places"), F.sum(F.col("end") - F.col("start")).alias("n_bytes"))
