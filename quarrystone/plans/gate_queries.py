@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import json_tree as J
@@ -334,15 +332,27 @@ def partitioned_runs(table, spark, sf):
 
 
 @query("""WITH r AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click'), v AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase')
-SELECT r.event_id, v.event_id AS verdict_id FROM r JOIN v ON v.user_id = r.user_id AND v.ts >= r.ts AND v.ts <= r.ts + INTERVAL 6 HOUR""")
+SELECT r.event_id, v.event_id AS verdict_id FROM r LEFT JOIN v ON v.user_id = r.user_id AND v.ts >= r.ts AND v.ts <= r.ts + INTERVAL 6 HOUR""")
 def stream_matches(table, spark, sf):
-    """Responses of the event stream with the verdicts that follow within six hours."""
-    read = lambda kind: S.read_events(spark, f"{sf}/events.parquet*", table("events").schema).where(F.col("event_type") == kind).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    name = f"matches_{uuid.uuid4().hex}"
-    both = S.matched(read("click"), read("purchase"), "user_id", "ts", "6 hours", "1 hour")
-    q = both.select(F.col("r.event_id").alias("event_id"), F.col("v.event_id").alias("verdict_id")).writeStream.outputMode("append").format("memory").queryName(name)
-    q.option("checkpointLocation", scratch(spark, "matches")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).where("verdict_id IS NOT NULL")
+    """Responses of the event stream with the verdicts that follow within six hours, and those that none follows.
+
+    An event of either kind long after all others moves the watermark past them, so that every response is decided.
+    """
+    src, out, checkpoint = (scratch(spark, n) for n in ("events", "matches", "checkpoint"))
+    events = table("events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    events.write.parquet(src)
+    last = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("event_id"), F.lit("click").alias("event_type")), F.struct(F.lit(-2).cast("long").alias("event_id"), F.lit("purchase").alias("event_type")))).alias("e"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+
+    def run() -> None:
+        read = lambda kind: S.read_events(spark, src, events.schema).where(F.col("event_type") == kind).select("user_id", "event_id", "ts")
+        both = S.matched(read("click"), read("purchase"), "user_id", "ts", "6 hours", "1 hour")
+        made = both.select(F.col("r.event_id").alias("event_id"), F.col("v.event_id").alias("verdict_id"))
+        made.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+
+    run()
+    last.select("user_id", "e.event_id", "e.event_type", "ts").select(*[F.col(f.name).cast(f.dataType) for f in events.schema]).write.mode("append").parquet(src)
+    run()  # goes on from the checkpoint
+    return spark.read.parquet(out).where("event_id >= 0")
 
 
 _RESULTS = """r AS (SELECT 'shift' AS mode, arm, c_custkey::VARCHAR AS case_id, CASE WHEN c_custkey % 31 = 0 AND arm = 'b' THEN 'other' ELSE 'n' || c_nationkey END AS seed_id, CASE WHEN c_acctbal > 0 THEN c_acctbal > 5000 END AS success, CASE WHEN c_acctbal <= 0 THEN c_custkey % 37 = 0 END AS resolved,

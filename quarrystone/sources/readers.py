@@ -109,13 +109,14 @@ def ledger_records(spark: SparkSession, source, schema: StructType | str | None
 
 
 def parse_trace(text):
-    """struct(output, mismatches, samples, first_mismatch_time) from simulator log text."""
+    """struct(output, mismatches, samples, first_mismatch_time) from simulator log text; output and time are of one message, the totals of another."""
+    first, total = r"Output '([^']+)' has (\d+) mismatches\. First mismatch occurred at time (\d+)", r"Mismatches:\s*(\d+)\s*in\s*(\d+)\s*samples"
     get = lambda p, i: F.nullif(F.regexp_extract(text, p, i), F.lit(""))
     return F.struct(
-        get(r"Output '?(\w+)'? has", 1).alias("output"),
-        get(r"[Mm]ismatches: (\d+) in (\d+)", 1).cast("long").alias("mismatches"),
-        get(r"[Mm]ismatches: (\d+) in (\d+)", 2).cast("long").alias("samples"),
-        get(r"[Ff]irst mismatch (?:occurred )?at time (\d+)", 1).cast("long").alias("first_mismatch_time"),
+        get(first, 1).alias("output"),
+        get(total, 1).cast("long").alias("mismatches"),
+        get(total, 2).cast("long").alias("samples"),
+        get(first, 3).cast("long").alias("first_mismatch_time"),
     )
 
 
