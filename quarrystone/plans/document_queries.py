@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import annotations as A
-from ..functions import diffs
+from ..functions import diffs, prompts
+from ..functions import json_tree as J
 from ..functions import text as T
 from ..functions.payload import payload_places
 from ..operators import documents as D
 from ..operators import names as N
 from .registry import query
+from .text_queries import _sql_sanitize
 
 _SPLIT = [("/name", "'equal'"), ("/balance", "CASE k WHEN 0 THEN 'within' WHEN 1 THEN 'changed' ELSE 'equal' END"), ("/nation/key", "CASE k WHEN 5 THEN 'type' ELSE 'equal' END"), ("/nation/segment", "CASE k WHEN 2 THEN 'missing' ELSE 'equal' END"), ("/marks/0", "'equal'"), ("/marks/1", "CASE k WHEN 4 THEN 'missing' ELSE 'equal' END"), ("/note", "CASE k WHEN 3 THEN 'extra' END")]
 
@@ -115,3 +117,25 @@ def payload_findings(table, spark, sf):
     docs = table("documents").select("doc_id", content.alias("content"))
     places = docs.select("doc_id", F.explode(payload_places(F.lit("document.txt"), F.col("content"))).alias("f")).select("doc_id", "f.*")
     return places.where(F.col("kind").isin(list(_FOUND))).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n_places"), F.sum(F.col("end") - F.col("start")).alias("n_bytes"))
+
+
+@query(rf"""WITH d AS (SELECT doc_id, left(trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')), 150) AS p, 'module ' || lang || '_' || doc_id || '; endmodule' AS c FROM documents)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN c WHEN 1 THEN c END AS code, trim(p) AS explanation FROM d WHERE p <> ''""")
+def document_answers(table, spark, sf):
+    """Answers that explain with the words of each document: with code tagged behind an untagged block, untagged, of another language, or none."""
+    said = F.trim(F.left(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+", " ")), F.lit(150)))
+    code = F.concat(F.lit("module "), "lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit("; endmodule"))
+    fence = lambda tag, body: F.concat(F.lit(f"\n```{tag}\n"), body, F.lit("\n```\n"))
+    kind = F.col("doc_id") % 4
+    text = F.when(kind == 0, F.concat("p", fence("", F.lit("x")), fence("verilog", code))).when(kind == 1, F.concat("p", fence("", code), fence("py", F.lit("y")))).when(kind == 2, F.concat("p", fence("py", F.lit("module")))).otherwise(F.col("p"))
+    made = prompts.explanation_and_code(text)
+    return table("documents").withColumn("p", said).where("p <> ''").select("doc_id", made["code"].alias("code"), made["explanation"].alias("explanation"))
+
+
+@query(rf"""SELECT doc_id, md5({_sql_sanitize('text')}) AS note_md5, '[ANONYMIZED]' AS author, CASE WHEN lang = 'de' THEN '$.more[0].raw response' ELSE '' END AS private FROM documents WHERE text IS NOT NULL""")
+def sanitized_documents(table, spark, sf):
+    """Every document as a value of a nested record: its text redacted, its source hidden, forbidden fields found."""
+    more = F.array(F.struct(F.when(F.col("lang") == "de", F.col("lang")).alias("raw response"), F.col("n_chars").alias("n")))
+    doc = F.to_json(F.struct(F.col("source").alias("author"), F.struct(F.col("text").alias("note")).alias("body"), more.alias("more")))
+    got = table("documents").where("text IS NOT NULL").select("doc_id", J.sanitized(doc)["value"].alias("clean"), F.array_join(J.private_fields(doc), ",").alias("private"))
+    return got.select("doc_id", F.md5(F.get_json_object("clean", "$.body.note")).alias("note_md5"), F.get_json_object("clean", "$.author").alias("author"), "private")

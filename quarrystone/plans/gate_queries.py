@@ -64,12 +64,15 @@ _REASON = lambda k: "candidate security preflight rejected " + _SAID.get(k, k) i
 _EXPECTED = ", ".join(f"({i}, '{_REASON(a)}', '{_REASON(b)}')" for i, (_, a, b) in enumerate(CONSTRUCTS))
 
 
-@query(f"SELECT n_nationkey, refused, driven FROM nation JOIN (VALUES {_EXPECTED}) v(n_nationkey, refused, driven) USING (n_nationkey)")
+@query(f"SELECT p_partkey, refused, driven FROM part JOIN (VALUES {_EXPECTED}) v(i, refused, driven) ON p_partkey % {len(CONSTRUCTS)} = i")
 def candidate_gate(table, spark, sf):
-    """A module with each construct, one for each nation, through both gates."""
+    """A module of each part, whose ports are named by its words, with one of the constructs, through both gates."""
+    names = {"d": F.concat(F.split("p_name", " ")[0], F.lit("_in")), "q": F.concat(F.split("p_name", " ")[1], F.lit("_out")), "y": F.concat(F.lower("p_type"), F.lit("_y"))}
     bodies = F.array(*[F.lit(b) for b, _, _ in CONSTRUCTS])
-    source = F.concat(F.lit("module m(input clk, input [3:0] d, output reg [3:0] q, output y);\n"), F.get(bodies, F.col("n_nationkey")), F.lit("\nendmodule\n"))
-    return table("nation").where(F.col("n_nationkey") < len(CONSTRUCTS)).select("n_nationkey", R.refused(source).alias("refused"), H.driven_input(source).alias("driven"))
+    source = F.concat(F.lit("module m(input clk, input [3:0] d, output reg [3:0] q, output y);\n"), F.get(bodies, (F.col("p_partkey") % len(CONSTRUCTS)).cast("int")), F.lit("\nendmodule\n"))
+    for port, name in names.items():
+        source = F.regexp_replace(source, F.lit(rf"\b{port}\b"), name)
+    return table("part").select("p_partkey", R.refused(source).alias("refused"), H.driven_input(source).alias("driven"))
 
 
 _COHORT = """r AS (SELECT o_orderkey, o_custkey, trim('rtl ' || o_totalprice) AS rtl FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority < '4'),
@@ -184,9 +187,9 @@ def sanitized_events(table, spark, sf):
     return rows.select("event_id", J.sanitized("doc")["value"].alias("clean"), F.array_join(J.private_fields("doc"), ",").alias("private"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN sha1('module m' || p_partkey || '; endmodule') ELSE '' END AS prints FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN sha1('module ' || lower(replace(p_name, ' ', '_') || p_type) || '; endmodule') ELSE '' END AS prints FROM part""")
 def embedded_sources(table, spark, sf):
-    source = F.concat(F.lit("MODULE m"), F.col("p_partkey"), F.lit(";  // note\n endmodule "))
+    source = F.concat(F.lit("MODULE "), F.translate("p_name", " ", "_"), "p_type", F.lit(";  // "), "p_brand", F.lit("\n endmodule "))
     rows = table("part").withColumn("doc", F.to_json(F.struct(F.array(F.struct(F.when(F.col("p_size") % 2 == 0, source).otherwise("none").alias("x"))).alias("rows"), F.col("p_name").alias("name"))))
     return rows.select("p_partkey", F.array_join(J.embedded_prints("doc"), ",").alias("prints"))
 
@@ -204,10 +207,10 @@ def answer_blocks(table, spark, sf):
     return table("part").select("p_partkey", prompts.explanation_and_code(text)["code"].alias("code"), prompts.explanation_and_code(text)["explanation"].alias("explanation"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN 'module n' || p_partkey || ' (input a);' || chr(10) || 'assign b = a;' || chr(10) || 'endmodule' ELSE 'module k (x);' || chr(10) || 'assign b = a;' || chr(10) || 'endmodule' END AS source FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN 'module ' || replace(p_name, ' ', '_') || ' (input a);' || chr(10) || 'assign b = a;' || chr(10) || 'endmodule' ELSE 'module k (x);' || chr(10) || 'assign b = a;' || chr(10) || 'endmodule' END AS source FROM part""")
 def rebuilt_modules(table, spark, sf):
     code = F.when(F.col("p_size") % 3 == 0, "assign b = a;").otherwise(" assign b = a;\nendmodule ")
-    first = F.when(F.col("p_size") % 3 == 1, F.concat(F.lit("[INST] A module that adds. module n"), F.col("p_partkey"), F.lit(" (input a); [/INST]"))).otherwise("module a (x); then a module without one")
+    first = F.when(F.col("p_size") % 3 == 1, F.concat(F.lit("[INST] A "), F.lower("p_type"), F.lit(" one. module "), F.translate("p_name", " ", "_"), F.lit(" (input a); [/INST]"))).otherwise("module a (x); then a module without one")
     return table("part").select("p_partkey", T.full_module(code, [first, F.lit("module k (x); end")]).alias("source"))
 
 
