@@ -8,7 +8,7 @@ inserted or dropped words do not split a match; a merged match is verified by th
 longest chain of its hits that runs forward in the text and in the template, as the share of the
 template's words under it.
 
-Equal texts are one text while votes are counted; their key is a hash of their words, so that a
+Equal texts are one text while votes are counted; their key is a hash of the raw text, so that a
 repeated task makes the same rows, and votes of copies are merged before they are shuffled.
 
 Words are runs of letters, digits and anything outside ASCII, A-Z as a-z.  Beside that, the
@@ -59,6 +59,10 @@ def base_places(words: list[bytes]) -> tuple[list[int], list[str]]:
     return places, sorted(labels)
 
 
+#: Characters of all templates that are broadcast; more are joined by shuffling.
+BROADCAST = 10_000_000
+
+
 def template_positions(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     """template, t_label, t_words, t_pos, gram: a row for each of the templates' words."""
     rows = []
@@ -103,7 +107,9 @@ def _grams(texts: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, templates: list[tuple[str, str]], drift: int) -> DataFrame:
     """k1, k2, label, share: the verified matches of the texts of docs (_text) with templates."""
     texts = docs.where(F.length("_text") > 0).select(*_key(F.col("_text")), "_text")
-    known = F.broadcast(template_positions(docs.sparkSession, templates))  # as many rows as the templates have words
+    known = template_positions(docs.sparkSession, templates)  # as many rows as the templates have words
+    if sum(len(text) for _, text in templates) <= BROADCAST:
+        known = F.broadcast(known)
     hits = _grams(texts).join(known, "gram")
     votes = hits.groupBy("k1", "k2", "template", "t_label", "t_words", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.collect_set("t_pos").alias("at"))
     order = W.partitionBy("k1", "k2", "template").orderBy("diagonal", "start")
