@@ -102,17 +102,34 @@ def _over(json_text: Column | str, fn, kind: str) -> Column:
     return run(col(json_text))
 
 
-def sanitized(json_text: Column | str, identifiers: dict[str, str] | None = None, people: tuple[str, ...] = (), internal: tuple[str, ...] = ()) -> Column:
-    """struct(value, error): the sanitized document, or why there is none."""
+def examined(json_text: Column | str, identifiers: dict[str, str] | None = None, people: tuple[str, ...] = (), internal: tuple[str, ...] = ()) -> Column:
+    """struct(value, error, places): the sanitized document or why there is none, and the places of forbidden keys ('$' of text that is no JSON); each document is parsed once."""
     made = Sanitizer(identifiers, people, internal)
 
-    def one(x: str):
+    def one(x):
+        if not isinstance(x, str):
+            return None, None, None
         try:
-            return json.dumps({"value": json.dumps(made.value(json.loads(x)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)})
+            doc = json.loads(x)
+        except ValueError:
+            return None, "no JSON", ["$"]
+        places = private_places(doc)
+        try:
+            return json.dumps(made.value(doc), sort_keys=True, separators=(",", ":"), ensure_ascii=False), None, places
         except ValueError as e:
-            return json.dumps({"error": "no JSON" if isinstance(e, json.JSONDecodeError) else str(e)})
+            return None, str(e), places
+
+    @F.pandas_udf("value string, error string, places array<string>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x) for x in s], columns=["value", "error", "places"], dtype=object)
 
-    return F.from_json(_over(json_text, one, "string"), "value string, error string")
+    return run(col(json_text))
+
+
+def sanitized(json_text: Column | str, identifiers: dict[str, str] | None = None, people: tuple[str, ...] = (), internal: tuple[str, ...] = ()) -> Column:
+    """struct(value, error): the sanitized document, or why there is none."""
+    got = examined(json_text, identifiers, people, internal)
+    return F.struct(got["value"].alias("value"), got["error"].alias("error"))
 
 
 def private_fields(json_text: Column | str) -> Column:

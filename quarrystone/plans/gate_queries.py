@@ -183,8 +183,8 @@ def _payload(bad):
 
 @query("""SELECT event_id, '{"api-key":"[REDACTED]","author":"[ANONYMIZED]","note":"mail [REDACTED_EMAIL] or see <LOCAL_PATH>","rows":[{' || CASE WHEN event_type = 'error' THEN '"Chain-of Thought":"secret thoughts",' ELSE '' END || '"k":' || trunc(value)::INTEGER || '}]}' AS clean, CASE WHEN event_type = 'error' THEN '$.rows[0].Chain-of Thought' ELSE '' END AS private FROM events""")
 def sanitized_events(table, spark, sf):
-    rows = table("events").withColumn("doc", _payload(F.col("event_type") == "error"))
-    return rows.select("event_id", J.sanitized("doc")["value"].alias("clean"), F.array_join(J.private_fields("doc"), ",").alias("private"))
+    rows = table("events").select("event_id", J.examined(_payload(F.col("event_type") == "error")).alias("x"))
+    return rows.select("event_id", F.col("x.value").alias("clean"), F.array_join("x.places", ",").alias("private"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN sha1('module ' || lower(replace(p_name, ' ', '_') || p_type) || '; endmodule') ELSE '' END AS prints FROM part""")
