@@ -21,6 +21,7 @@ def test_report_reads_a_source_once(monkeypatch):
     assert len(read) == len(SOURCES)
 
 
-@pytest.mark.parametrize("name", ["module_checks", "module_headers"])
+@pytest.mark.parametrize("name", ["module_checks", "module_headers", "mutated_sources", "mutation_counts"])
 def test_modules_are_read_by_many_tasks(spark, name):
-    assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
