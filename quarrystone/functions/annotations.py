@@ -22,31 +22,43 @@ def _common(a: Column, b: Column, end: bool = False) -> Column:
     return F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(31))]), F.lit(0), take)
 
 
+def _bound(values: dict[str, Column], then) -> Column:
+    """then(struct of values): each value is worked out once a row, however often then uses it; else it is worked out at every use, and what it uses again."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(k) for k, c in values.items()])), then), F.lit(0))
+
+
 def clause_windows(full: Column, reduced: Column, clause: Column) -> Column:
     """array of struct(first, last): windows of places (from 0) at which taking length(clause) characters from full leaves reduced, ends stripped.
 
     Inside the text every place between what both share from the front and from the back leaves the same text.  At an end the
     white space that the clause leaves there is stripped as well.
     """
-    size, n = F.length(clause), F.length(full)
-    lead = n - F.length(F.regexp_replace(full, f"^{_WHITE}+", ""))
-    trail = n - F.length(F.regexp_replace(full, f"{_WHITE}+$", ""))
-    core, rest = _stripped(full), _stripped(reduced)
-    inside = F.length(core) - size == F.length(rest)
-    head, tail = _common(core, rest), _common(core, rest, True)
-    middle = F.struct((lead + F.greatest(F.lit(0), F.length(core) - size - tail)).alias("first"), (lead + F.least(head, F.length(core) - size)).alias("last"))
+    lead = F.length(full) - F.length(F.regexp_replace(full, f"^{_WHITE}+", ""))
+    trail = F.length(full) - F.length(F.regexp_replace(full, f"{_WHITE}+$", ""))
+    texts = {"core": _stripped(full), "rest": _stripped(reduced), "lead": lead, "trail": trail, "size": F.length(clause), "n": F.length(full)}
+
+    def sized(v: Column) -> Column:
+        numbers = {"n_core": F.length(v["core"]), "n_rest": F.length(v["rest"]), "head": _common(v["core"], v["rest"]), "tail": _common(v["core"], v["rest"], True)}
+        return _bound(numbers, lambda m: _windows(v["core"], v["rest"], v["lead"], v["trail"], v["size"], v["n"], m))
+
+    return _bound(texts, sized)
+
+
+def _windows(core: Column, rest: Column, lead: Column, trail: Column, size: Column, n: Column, m: Column) -> Column:
+    inside = m["n_core"] - size == m["n_rest"]
+    middle = F.struct((lead + F.greatest(F.lit(0), m["n_core"] - size - m["tail"])).alias("first"), (lead + F.least(m["head"], m["n_core"] - size)).alias("last"))
     # at the front, or within the white space there: what is left begins behind the clause, perhaps behind white space
     before = core.endswith(rest)
-    gap = F.length(core) - F.length(rest)
+    gap = m["n_core"] - m["n_rest"]
     white = lambda s, end: F.length(s) - F.length(F.regexp_replace(s, f"{_WHITE}+$" if end else f"^{_WHITE}+", ""))
     kept = F.when(gap == 0, lead).otherwise(white(F.left(core, gap), True))
     start = F.struct(F.greatest(F.lit(0), lead + gap - kept - size).alias("first"), F.least(lead, lead + gap - size).alias("last"))
     # at the end, or within the white space there
     after = core.startswith(rest)
     behind = F.when(gap == 0, trail).otherwise(white(F.right(core, gap), False))
-    stop = F.struct(F.greatest(lead + F.length(rest), n - trail - size).alias("first"), F.least(n - size, lead + F.length(rest) + behind).alias("last"))
+    stop = F.struct(F.greatest(lead + m["n_rest"], n - trail - size).alias("first"), F.least(n - size, lead + m["n_rest"] + behind).alias("last"))
     # nothing is left: the clause may end in the white space behind the text
-    whole = F.struct(F.greatest(F.lit(0), lead + F.length(core) - size).alias("first"), F.least(lead, n - size).alias("last"))
+    whole = F.struct(F.greatest(F.lit(0), lead + m["n_core"] - size).alias("first"), F.least(lead, n - size).alias("last"))
     windows = F.array(F.when(rest == "", whole), F.when(inside, middle), F.when(before, start), F.when(after, stop))
     return F.filter(windows, lambda w: w.isNotNull() & (w["first"] <= w["last"]))
 
@@ -58,8 +70,8 @@ def removed_at(full: Column, reduced: Column, clause: Column) -> Column:
         clause_windows(full, reduced, clause),
         lambda w: F.struct(w["first"].alias("first"), F.instr(F.substring(full, w["first"] + 1, w["last"] - w["first"] + size), clause).alias("at")),
     )
-    hits = F.filter(places, lambda p: p["at"] > 0)
-    return F.when(size > 0, F.get(hits, F.lit(0))["first"] + F.get(hits, F.lit(0))["at"] - 1)
+    hit = F.get(F.filter(places, lambda p: p["at"] > 0), F.lit(0))
+    return F.when(size > 0, _bound({"hit": hit}, lambda h: h["hit"]["first"] + h["hit"]["at"] - 1))
 
 
 def annotation_error(annotation: str, full: Column | str, labels: list[str], absent: str = "absent") -> Column:

@@ -54,3 +54,12 @@ def test_each_refusal(spark):
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, a struct<annotator_id:string,intent_label:string,redactable_without_hint:boolean,redacted_spec:string,minimal_removed_clause:string>")
     got = [r["e"] for r in df.select("i", A.annotation_error("a", F.lit(full), ["explicit", "implied", "absent"]).alias("e")).orderBy("i").collect()]
     assert got == [want for _, want in cases]
+
+
+def test_texts_are_worked_out_once(spark):
+    from pyspark.sql import functions as F
+
+    from quarrystone.functions import annotations as A
+
+    plan = spark.range(1).select(A.removed_at(F.lit("a b"), F.lit("a"), F.lit("b")).alias("x"))._jdf.queryExecution().logical().toString()
+    assert 0 < plan.count("regexp_replace") <= 8
