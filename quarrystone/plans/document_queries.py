@@ -45,7 +45,7 @@ def diff_targets(table, spark, sf):
     line = lambda x, i: F.when(i != at, F.array(x)).when(key % 5 == 0, F.array(F.concat(F.lit("X"), x), F.lit("Y"))).when(key % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("X"), x)))
     text = lambda lines: F.when(F.size(lines) == 0, "").otherwise(F.concat(F.array_join(lines, "\n"), F.lit("\n")))
     both = docs.select("doc_id", text(F.col("l")).alias("old"), text(F.when(key % 7 == 0, F.col("l")).otherwise(F.flatten(F.transform("l", line)))).alias("new"))
-    got = both.select("doc_id", diffs.diff_target("old", diffs.make_diff("old", "new")).alias("t"))
+    got = both.select("doc_id", diffs.made_target("old", "new").alias("t"))
     return got.select("doc_id", "t.old_line", F.md5("t.old_text").alias("old_md5"), "t.new_line", F.md5("t.new_text").alias("new_md5"), "t.error")
 
 

@@ -66,3 +66,23 @@ def test_columns(spark):
     got = df.select(D.diff_target("o", "p").alias("t"), D.changed_lines("o", "n").alias("c")).collect()
     assert [r["t"]["error"] for r in got] == [None, "no hunk", "no hunk", "0 lines are taken away, not one", "0 lines are put in, not one"]
     assert tuple(got[0]["t"])[:4] == (2, "b", 2, "c") and tuple(got[4]["c"]) == (1, 1)
+
+
+def test_a_diff_that_is_made_and_used_at_once(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a\nb\n", "a\nc\n"), ("a\n", "a\n"), (None, "b\n"), ("a\n", None), (None, None), ("a\nb\n", "b\n"), ("", "x")] * 40
+    df = spark.createDataFrame(rows, "o string, n string").coalesce(1)
+    one = df.select(D.apply_made("o", "n").alias("a"), D.made_target("o", "n").alias("t")).collect()
+    two = df.withColumn("p", D.make_diff("o", "n")).select(D.apply_diff("o", "p").alias("a"), D.diff_target("o", "p").alias("t")).collect()
+    assert one == two and len(one) == len(rows) and spark.createDataFrame([], df.schema).select(D.apply_made("o", "n")).collect() == []
+
+
+def test_few_rows_are_python_texts_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(D.F, "arrow_udf", lambda kind: lambda run: run)
+    run = D._sliced(lambda x, y: seen.append(x) or x, "string", pa.string())
+    out = run(iter([(pa.array([str(i) for i in range(1000)]),) * 2]))
+    assert len(next(out)) == len(seen) == D.SLICE and sum(map(len, out)) == 1000 - D.SLICE
