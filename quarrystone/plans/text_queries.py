@@ -178,7 +178,7 @@ def diff_round_trip(table, spark, sf):
     old = T.canonical_newlines("text")
     new = F.concat(F.regexp_replace(old, r"(?m)^The ", "A "), F.lit("\nlast line\n"))
     docs = table("documents").select("doc_id", old.alias("old"), new.alias("new"))
-    got = docs.withColumn("d", diffs.apply_diff("old", diffs.make_diff("old", "new")))
+    got = docs.withColumn("d", diffs.apply_made("old", "new"))
     return got.select("doc_id", F.md5("d.text").alias("restored_md5"), "d.error")
 
 
