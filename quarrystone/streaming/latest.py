@@ -40,15 +40,18 @@ class Keeper(StatefulProcessor):
         self.due = handle.getValueState("due", T.StructType([T.StructField("at", T.LongType())]))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.held.get() if self.held.exists() else None
+        state = self.held.get()  # null if there is none: one call, not two
         order, n, value = (state[0], state[1], tuple(state[2:])) if state else (None, 0, None)
         made, latest = [], None
         for pdf in rows:
-            pdf = pdf.sort_values(ORDER, kind="stable")
             if self.idle is not None:
                 top = int(pd.to_datetime(pdf[TIME]).max().timestamp() * 1000)
                 latest = top if latest is None else max(latest, top)
-            for o, *new in zip(pdf[ORDER].tolist(), *[[None if x is pd.NaT or (not isinstance(x, (list, dict)) and pd.isna(x)) else x for x in pdf[c].tolist()] for c in self.names], strict=True):
+            # most keys have a few rows, for which sorting a frame costs more than the rows
+            orders = pdf[ORDER].tolist()
+            columns = [[None if x is pd.NaT or (not isinstance(x, (list, dict)) and pd.isna(x)) else x for x in pdf[c].tolist()] for c in self.names]
+            for i in sorted(range(len(orders)), key=lambda i: (orders[i] != orders[i], orders[i])):
+                o, new = orders[i], [c[i] for c in columns]
                 got = tuple(new)
                 if value is None or (self.policy == "last" and o > order and got != value):
                     order, n, value = o, n + 1, got
@@ -78,7 +81,7 @@ class Keeper(StatefulProcessor):
         yield self._frame(made)
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({i: pd.Series([r[i] for r in rows], dtype=object) for i in range(len(self.columns))}).set_axis(self.columns, axis=1)
+        return pd.DataFrame(rows, columns=self.columns, dtype=object)
 
     def close(self) -> None:
         pass
