@@ -20,6 +20,7 @@ whole; columns of docs may have any names.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -69,12 +70,26 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 class Lesson(NamedTuple):
-    """A labelled text: pieces, the last two for calibration, and how often each bucket occurs in all of it."""
+    """A labelled text: pieces, the last two for calibration, and how often each bucket occurs in all of it, packed: the driver holds many and looks at few at a time."""
 
     label: str
     pieces: list[bytes]
-    buckets: np.ndarray
-    counts: np.ndarray
+    packed: bytes
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of all of the text and their counts."""
+        data = zlib.decompress(self.packed)
+        n = len(data) // 10
+        return np.cumsum(np.frombuffer(data, "<u2", n), dtype=np.int64), np.frombuffer(data, "<i8", n, 2 * n)
+
+    @property
+    def counts(self) -> np.ndarray:
+        return self.whole()[1]
+
+
+def packed(buckets: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending buckets as steps, then counts: both small numbers, a tenth of their arrays' size or so."""
+    return zlib.compress(np.diff(buckets, prepend=0).astype("<u2").tobytes() + counts.astype("<i8").tobytes(), 1)
 
 
 def lesson(label: str, text: str) -> Lesson:
@@ -85,7 +100,8 @@ def lesson(label: str, text: str) -> Lesson:
         n = int(longest ** rng.random() * 8)
         at = int(rng.integers(0, max(1, len(data) - n + 1)))
         pieces.append(data[at : at + n])
-    return Lesson(label, pieces, *np.unique(buckets_of(data), return_counts=True))
+    buckets, counts = np.unique(buckets_of(data), return_counts=True)
+    return Lesson(label, pieces, packed(buckets.astype(np.int64), counts))
 
 
 def train(rows: list[Lesson], dim: int = 16, steps: int = 12_000, rate: float = 0.5, floor: float = 0.5, precision: float = 0.98, seed: int = 7) -> Model | None:
@@ -112,7 +128,8 @@ def train(rows: list[Lesson], dim: int = 16, steps: int = 12_000, rate: float =
             idx = buckets_of(r.pieces[int(rng.integers(PIECES))])
             share = np.full(len(idx), 1 / len(idx), np.float32)
         else:
-            idx, share = r.buckets, (r.counts / r.counts.sum()).astype(np.float32)
+            idx, counts = r.whole()
+            share = (counts / counts.sum()).astype(np.float32)
         mean = share @ vectors[idx]
         error = _softmax(mean @ weights + bias)
         error[k] -= 1
@@ -132,7 +149,7 @@ def train(rows: list[Lesson], dim: int = 16, steps: int = 12_000, rate: float =
     grid = np.geomspace(0.05, 20, 61)
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
-    whole = np.array([r.counts @ scores[r.buckets] / r.counts.sum() for r in held]) + bias
+    whole = np.array([counts @ scores[idx] / counts.sum() for idx, counts in (r.whole() for r in held)]) + bias
     return Model(labels, scores, bias, temperature, cut_at(_softmax(whole / temperature), np.array([of[r.label] for r in held]), floor, precision))
 
 
@@ -179,12 +196,12 @@ def labelled_sample(docs: DataFrame, per_class: int = 400, most_rows: int = 200_
 
     def run(batch: pa.RecordBatch):
         made = [lesson(y, t) for y, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-        arrays = [batch.column("lang"), batch.column("n"), pa.array([m.pieces for m in made], pa.list_(pa.binary())), pa.array([m.buckets for m in made], pa.list_(pa.int32())), pa.array([m.counts for m in made], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "n", "pieces", "buckets", "counts"])
+        arrays = [batch.column("lang"), batch.column("n"), pa.array([m.pieces for m in made], pa.list_(pa.binary())), pa.array([m.packed for m in made], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "n", "pieces", "packed"])
 
-    lessons = first.select("lang", "n", "text").mapInArrow(batches(run), "lang string, n int, pieces array<binary>, buckets array<int>, counts array<long>").toArrow()
+    lessons = first.select("lang", "n", "text").mapInArrow(batches(run), "lang string, n int, pieces array<binary>, packed binary").toArrow()
     rows = sorted(lessons.to_pylist(), key=lambda r: (r["lang"], r["n"]))
-    return [Lesson(r["lang"], r["pieces"], np.array(r["buckets"], np.int64), np.array(r["counts"], np.int64)) for r in rows]
+    return [Lesson(r["lang"], r["pieces"], r["packed"]) for r in rows]
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
